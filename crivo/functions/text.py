@@ -64,21 +64,16 @@ def word_tokens(text: Column) -> Column:
 
 def ngrams(tokens: Column, low: int = 1, high: int = 3) -> Column:
     """All n-grams for n in low..high, joined by a space. Short documents give fewer, never an error."""
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(tokens)
-            continue
-        empty = F.array().cast("array<string>")
-
-        def gram(i, n=n):
-            return F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)])
-
-        starts = F.sequence(F.lit(0), F.size(tokens) - n)
-        parts.append(F.when(F.size(tokens) >= n, F.transform(starts, gram)).otherwise(empty))
+    parts = [tokens if n == 1 else _grams(tokens, n) for n in range(low, high + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def _grams(tokens: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(0), F.size(tokens) - n)
+    grams = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
+    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+
 def strip_accents(text: Column) -> Column:
     return F.translate(text, ACCENTED, PLAIN)
 
