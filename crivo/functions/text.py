@@ -64,14 +64,15 @@ def word_tokens(text: Column) -> Column:
 
 def ngrams(tokens: Column, low: int = 1, high: int = 3) -> Column:
     """All n-grams for n in low..high, joined by a space. Short documents give fewer, never an error."""
-    parts = [tokens if n == 1 else _grams(tokens, n) for n in range(low, high + 1)]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
-
-
-def _grams(tokens: Column, n: int) -> Column:
-    starts = F.sequence(F.lit(0), F.size(tokens) - n)
-    grams = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+    out, grams = [], tokens
+    for n in range(1, high + 1):
+        if n > 1:
+            # Each gram meets the next word; past the end that word is NULL and so is the gram. The lambda sees only
+            # its own arguments: a column inside it would be computed once per element.
+            grams = F.zip_with(grams, F.slice(tokens, F.lit(n), F.size(tokens)), lambda g, w: F.concat(g, F.lit(" "), w))
+        if n >= low:
+            out.append(grams if n == 1 else F.filter(grams, lambda g: g.isNotNull()))
+    return out[0] if len(out) == 1 else F.concat(*out)
 
 
 def strip_accents(text: Column) -> Column:

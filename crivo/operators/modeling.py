@@ -33,12 +33,13 @@ class TextVectorizer:
     spec: TfidfSpec
 
     def transform(self, df: DataFrame) -> DataFrame:
-        tokens = df.withColumn("_terms", ngrams(word_tokens(F.col("text")), self.spec.low, self.spec.high))
+        words = df.withColumn("_words", word_tokens(F.col("text")))
+        tokens = words.withColumn("_terms", ngrams(F.col("_words"), self.spec.low, self.spec.high))
         count = CountVectorizerModel.from_vocabulary(list(self.terms), inputCol="_terms", outputCol="_tf")
         scale = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_w")
         unit = Normalizer(p=2.0, inputCol="_w", outputCol="features")
         out = unit.transform(scale.transform(count.transform(tokens)))
-        return out.drop("_terms", "_tf", "_w", "text")
+        return out.drop("_words", "_terms", "_tf", "_w", "text")
 
 
 def fit_vectorizer(train: DataFrame, spec: TfidfSpec = CLASSIFIER) -> TextVectorizer:

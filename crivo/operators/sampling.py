@@ -144,7 +144,7 @@ def ratio_oversample(df: DataFrame, ratio: float = 10.0, seed=42, key: str = "do
     whole = F.floor(F.col("target") / F.col("n_pos"))
     extra = F.when(F.col("rank") <= F.col("target") - whole * F.col("n_pos"), 1).otherwise(0)
     copies = F.sequence(F.lit(1).cast("bigint"), whole + extra)
-    pos = pos.select(key, "label", F.explode(copies).cast("int").alias("copy"))
+    pos = pos.select(key, "label", F.explode(copies).alias("copy")).withColumn("copy", F.col("copy").cast("int"))
     return pos.unionByName(narrow.where("label = 0").withColumn("copy", F.lit(1)))
 
 

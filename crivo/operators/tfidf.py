@@ -33,7 +33,8 @@ def term_counts(df: DataFrame, spec: TfidfSpec = AUDIT, key: str = "doc_id", kee
     The text is shuffled once by key; counting and every later grouping by key then need no exchange.
     """
     base = df.select(key, *keep, "text").repartition(key)
-    terms = ngrams(word_tokens(F.col("text")), spec.low, spec.high)
+    base = base.select(key, *keep, word_tokens(F.col("text")).alias("_words"))
+    terms = ngrams(F.col("_words"), spec.low, spec.high)
     return base.select(key, *keep, F.explode_outer(terms).alias("term")).groupBy(key, *keep, "term").agg(
         F.count("term").alias("tf")
     )
