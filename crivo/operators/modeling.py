@@ -7,16 +7,14 @@ from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
-from crivo.functions.text import ngrams, word_tokens
 from crivo.operators.metrics import binary_metrics, ranking_metrics
 from crivo.operators.sampling import NATURAL, ratio_undersample, stratified_folds
-from crivo.operators.tfidf import CLASSIFIER, TfidfSpec, term_counts, vocabulary
+from crivo.operators.tfidf import CLASSIFIER, TfidfSpec, collect_vocabulary, count_vectors, vocabulary
 
 # The grid of the reference experiment.
 GRID_C = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0)
@@ -33,21 +31,16 @@ class TextVectorizer:
     spec: TfidfSpec
 
     def transform(self, df: DataFrame) -> DataFrame:
-        words = df.withColumn("_words", word_tokens(F.col("text")))
-        tokens = words.withColumn("_terms", ngrams(F.col("_words"), self.spec.low, self.spec.high))
-        count = CountVectorizerModel.from_vocabulary(list(self.terms), inputCol="_terms", outputCol="_tf")
-        scale = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_w")
-        unit = Normalizer(p=2.0, inputCol="_w", outputCol="features")
-        out = unit.transform(scale.transform(count.transform(tokens)))
-        return out.drop("_words", "_terms", "_tf", "_w", "text")
+        counted = count_vectors(df, list(self.terms), list(self.idf), self.spec)
+        return Normalizer(p=2.0, inputCol="_w", outputCol="features").transform(counted).drop("_tf", "_w", "text")
 
 
 def fit_vectorizer(train: DataFrame, spec: TfidfSpec = CLASSIFIER) -> TextVectorizer:
     """The vocabulary is counted on the cluster; max_features bounds what reaches the driver."""
-    if spec.max_features is None or spec.sublinear:
-        raise ValueError("the classifier needs a bounded vocabulary and plain term counts")
-    rows = vocabulary(train, term_counts(train, spec), spec).select("term", "idf").orderBy("term").collect()
-    return TextVectorizer(tuple(r["term"] for r in rows), tuple(r["idf"] for r in rows), spec)
+    if spec.sublinear:
+        raise ValueError("the classifier takes plain term counts")
+    terms, idf = collect_vocabulary(vocabulary(train, spec), spec)
+    return TextVectorizer(tuple(terms), tuple(idf), spec)
 
 
 def embedding_features(df: DataFrame, column: str = "embedding") -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window, functions as F
 
 from crivo.functions.text import ngrams, word_tokens
@@ -40,16 +46,22 @@ def term_counts(df: DataFrame, spec: TfidfSpec = AUDIT, key: str = "doc_id", kee
     )
 
 
-def vocabulary(df: DataFrame, counts: DataFrame, spec: TfidfSpec) -> DataFrame:
+def vocabulary(df: DataFrame, spec: TfidfSpec) -> DataFrame:
     """(term, df, total, idf, idx): document-frequency limits first, then the cap on total count, ties by term.
 
-    `idx` numbers the kept terms from rare to common.
+    Each document offers every occurrence and every distinct term; both fold per task, so only per-term sums are
+    shuffled, never the text. `idx` numbers the kept terms from rare to common.
     """
     n = df.agg(F.count(F.lit(1)).alias("_docs")).withColumn("_one", F.lit(0))  # one row
-    terms = (
-        counts.where("term IS NOT NULL")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    words = df.select(word_tokens(F.col("text")).alias("_words"))
+    terms = words.select(ngrams(F.col("_words"), spec.low, spec.high).alias("_terms"))
+    every = F.transform("_terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first")))
+    distinct = F.transform(F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first")))
+    entry = F.col("e.first")
+    kept = (
+        terms.select(F.explode(F.concat(every, distinct)).alias("e"))
+        .groupBy(F.col("e.term").alias("term"))
+        .agg(F.sum(entry).alias("df"), F.sum(1 - entry).alias("total"))
         .where(F.col("df") >= spec.min_df)
         .withColumn("_one", F.lit(0))
         .join(F.broadcast(n), "_one")
@@ -58,13 +70,30 @@ def vocabulary(df: DataFrame, counts: DataFrame, spec: TfidfSpec) -> DataFrame:
         .drop("_one", "_docs")
     )
     if spec.max_features is None:
-        return terms
-    top = terms.orderBy(F.desc("total"), "term").limit(spec.max_features)
+        return kept
+    top = kept.orderBy(F.desc("total"), "term").limit(spec.max_features)
     # At most max_features rows, so one task may number them.
     order = Window.partitionBy(F.lit(0)).orderBy("df", "term")
     return top.withColumn("idx", F.row_number().over(order) - 1)
 
 
+def collect_vocabulary(vocab: DataFrame, spec: TfidfSpec) -> tuple[list[str], list[float]]:
+    """Terms and idf in idx order on the driver; only a vocabulary bounded by max_features may come here."""
+    if spec.max_features is None:
+        raise ValueError("set max_features: the vocabulary is sent to every task")
+    rows = vocab.select("idx", "term", "idf").toArrow().sort_by("idx")
+    return rows["term"].to_pylist(), rows["idf"].to_pylist()
+
+
+def count_vectors(df: DataFrame, terms: list[str], idf: list[float], spec: TfidfSpec) -> DataFrame:
+    """Adds `_tf` (term counts) and `_w` (counts times idf) as sparse vectors, row by row in the JVM, without a shuffle."""
+    words = df.withColumn("_words", F.coalesce(word_tokens(F.col("text")), F.array().cast("array<string>")))
+    tokens = words.withColumn("_terms", ngrams(F.col("_words"), spec.low, spec.high))
+    count = CountVectorizerModel.from_vocabulary(terms, inputCol="_terms", outputCol="_tf")
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_w")
+    return scale.transform(count.transform(tokens)).drop("_words", "_terms")
+
+
 def _bounded(vocab: DataFrame, spec: TfidfSpec) -> DataFrame:
     """Broadcast the vocabulary only where max_features bounds it."""
     return F.broadcast(vocab) if spec.max_features is not None else vocab
@@ -83,27 +112,47 @@ def tfidf_weights(counts: DataFrame, vocab: DataFrame, spec: TfidfSpec, key: str
     return raw.select(key, "term", (F.col("_w") / norm).alias("weight"))
 
 
-def tfidf_vectors(
-    counts: DataFrame, vocab: DataFrame, spec: TfidfSpec, key: str = "doc_id", keep: tuple[str, ...] = ()
-) -> DataFrame:
+def _vectoriser(vocab, sublinear: bool, keep: tuple[str, ...]):
+    """Arrow batches of word lists to sparse rows; the vocabulary arrives once per worker as a broadcast."""
+
+    def vectorise(batches):
+        terms, idf = pa.array(vocab.value[0], pa.string()), np.asarray(vocab.value[1])
+        size = max(len(idf), 1)
+        for batch in batches:
+            lists = batch.column("_terms")
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            at = pc.index_in(lists.flatten(), value_set=terms).fill_null(-1).to_numpy()
+            code, tf = np.unique((rows * size + at)[at >= 0], return_counts=True)
+            row, idx = code // size, (code % size).astype(np.int32)
+            v = (1.0 + np.log(tf) if sublinear else tf) * idf[idx]
+            w = v / np.sqrt(np.bincount(row, v * v, batch.num_rows))[row]
+            ptr = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32)
+            marks = [
+                hashlib.md5(idx[a:b].tobytes() + tf[a:b].tobytes()).hexdigest() for a, b in zip(ptr[:-1], ptr[1:], strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c) for c in keep],
+                    pa.ListArray.from_arrays(pa.array(ptr), pa.array(idx, pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(ptr), pa.array(w, pa.float64())),
+                    pa.array(marks, pa.string()),
+                ],
+                names=[*keep, "idx", "w", "sig"],
+            )
+
+    return vectorise
+
+
+def tfidf_vectors(df: DataFrame, vocab: DataFrame, spec: TfidfSpec, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: idx (terms, rare to common), w (unit-length weights) and sig.
 
-    `sig` is equal for documents with the same terms and counts. A document without terms has empty arrays.
+    Row by row, without a shuffle. `sig` is equal for documents with the same terms and counts. A document without
+    terms has empty arrays.
     """
-    slim = vocab.select("term", "idx", "idf")
-    joined = counts.join(_bounded(slim, spec), "term", "left")
-    entry = F.struct("idx", "tf", (_tf(spec) * F.col("idf")).alias("v"))
-    v = F.when(F.col("idx").isNotNull(), entry["v"])
-    # The norm is an aggregate of its own: inside the transform below it would be computed per element.
-    g = joined.groupBy(key, *keep).agg(
-        F.array_sort(F.collect_list(F.when(F.col("idx").isNotNull(), entry))).alias("e"),
-        F.sqrt(F.sum(v * v)).alias("_n"),
-    )
-    text = F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["idx"], x["tf"])), ",")
-    return g.select(
-        key,
-        *keep,
-        F.transform("e", lambda x: x["idx"]).alias("idx"),
-        F.transform("e", lambda x: x["v"] / F.col("_n")).alias("w"),
-        F.md5(text).alias("sig"),
-    )
+    bound = df.sparkSession.sparkContext.broadcast(collect_vocabulary(vocab, spec))  # at most max_features terms
+    words = F.coalesce(word_tokens(F.col("text")), F.array().cast("array<string>"))
+    base = df.select(*keep, words.alias("_words"))
+    base = base.select(*keep, ngrams(F.col("_words"), spec.low, spec.high).alias("_terms"))
+    fields = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in keep)
+    schema = f"{fields}, idx array<int>, w array<double>, sig string"
+    return base.mapInArrow(_vectoriser(bound, spec.sublinear, keep), schema)

@@ -165,14 +165,13 @@ _PAIR = """pairs AS (SELECT query, doc_id, nn_doc_id, sim, a.label, b.label AS n
 @query("tfidf_vocab", "SELECT term, df, total, round_even(idf,6) AS idf FROM voc", "corpus_all", _AUDIT)
 def tfidf_vocab(spark, sf):
     c = V.corpus_all(spark, sf)
-    return vocabulary(c, term_counts(c, AUDIT), AUDIT).select("term", "df", "total", F.bround("idf", 6).alias("idf"))
+    return vocabulary(c, AUDIT).select("term", "df", "total", F.bround("idf", 6).alias("idf"))
 
 
 @query("tfidf_weights", "SELECT doc_id, term, round_even(w,6) AS weight FROM w", "corpus_all", _AUDIT)
 def tfidf_weights_query(spark, sf):
     c = V.corpus_all(spark, sf)
-    counts = term_counts(c, AUDIT)
-    w = tfidf_weights(counts, vocabulary(c, counts, AUDIT), AUDIT)
+    w = tfidf_weights(term_counts(c, AUDIT), vocabulary(c, AUDIT), AUDIT)
     return w.select("doc_id", "term", F.bround("weight", 6).alias("weight"))
 
 

@@ -15,8 +15,22 @@ def hash_split(key: Column) -> Column:
     return F.when(b < 16, "train").when(b < 20, "dev").otherwise("test")
 
 
+KEYS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table, spread over the cores when its files give fewer scan tasks than there are cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, KEYS[name]) if name in KEYS else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash `df`, a plain scan, by `key` into one partition per core if the scan has fewer; else leave it alone.
+
+    Text work is bound by the processor, and one large file is one task. A table of many files is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def corpus_all(spark: SparkSession, sf_dir: str) -> DataFrame:
