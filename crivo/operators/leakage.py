@@ -9,31 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from crivo.functions.scores import hash_number, percent
 from crivo.functions.text import folded_hash, norm_hash, normalize_space, raw_hash, strip_footer
 from crivo.functions.urls import canonical_url
+from crivo.operators.relational import join_groups
 from crivo.sources.corpus import SPLITS, split_rank
 
 SPLIT_PAIRS = (("train", "dev"), ("train", "test"), ("dev", "test"))
-HOT_SHARE = 1000  # a key is hot above 1/HOT_SHARE of the rows, so there are at most HOT_SHARE hot keys
-SALTS = 64
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, unique: str) -> DataFrame:
-    """rows JOIN groups ON key where one key may hold a third of the rows.
-
-    `groups` has one row per key with its row count in `size`. Hot keys (at most HOT_SHARE of them, hence a
-    broadcast of known size) get their rows spread over SALTS sub-keys and their group row repeated per sub-key.
-    """
-    total = groups.agg(F.sum(size).alias("_total")).withColumn("_one", F.lit(0))
-    sized = groups.withColumn("_one", F.lit(0)).join(F.broadcast(total), "_one").drop("_one")
-    hot = F.col(size) * HOT_SHARE > F.col("_total")
-    salted = sized.withColumn(
-        "_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    ).drop("_total")
-    hot_keys = sized.where(hot).select(key, F.lit(True).alias("_hot"))
-    spread = rows.join(F.broadcast(hot_keys), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(unique), F.lit(SALTS)).cast("int")).otherwise(0)
-    )
-    return spread.drop("_hot").join(salted, [key, "_salt"]).drop("_salt")
-
 
 # ---- exact duplicates
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crivo.functions.scores import hash_number, predict_at, ratio
 from crivo.operators.ranking import hash_rank, running_points, score_points
+from crivo.operators.relational import with_row
 
 ROUND = 6
 
@@ -210,10 +211,8 @@ def bootstrap_replicates(
     )
     if not with_ap:
         total = confusion(preds.withColumn("pred", predict_at(F.col("score"), F.lit(threshold))))
-        # One row.
         idx = F.pmod(hash_number(seed, F.col("replicate"), F.col("_key")), F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn"))
-        drawn = draws.withColumn("_one", F.lit(0)).join(F.broadcast(total.withColumn("_one", F.lit(0))), "_one")
-        drawn = drawn.withColumn("i", idx)
+        drawn = with_row(draws, total).withColumn("i", idx)
         a, b, c = F.col("tp"), F.col("tp") + F.col("fn"), F.col("tp") + F.col("fn") + F.col("fp")
         cells = drawn.groupBy("replicate").agg(
             F.count_if(F.col("i") < a).alias("tp"),
@@ -229,11 +228,8 @@ def _replicates_with_ap(preds: DataFrame, draws: DataFrame, threshold: float, ke
     # Any one-to-one row index serves; hash order needs no sort by score and has even keys for the join.
     index = hash_rank(preds.select(key, "score", "label"), key, f"{seed}:index", out="_i")
     index = index.select((F.col("_i") - 1).alias("i"), "score", "label")
-    size = preds.agg(F.count(F.lit(1)).alias("size")).withColumn("_one", F.lit(0))
-    drawn = (
-        draws.withColumn("_one", F.lit(0))
-        .join(F.broadcast(size), "_one")
-        .select("replicate", F.pmod(hash_number(seed, F.col("replicate"), F.col("_key")), F.col("size")).alias("i"))
+    drawn = with_row(draws, preds.agg(F.count(F.lit(1)).alias("size"))).select(
+        "replicate", F.pmod(hash_number(seed, F.col("replicate"), F.col("_key")), F.col("size")).alias("i")
     )
     sample = (
         drawn.join(index, "i")

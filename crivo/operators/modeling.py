@@ -13,6 +13,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crivo.operators.metrics import binary_metrics, ranking_metrics
+from crivo.operators.relational import with_row
 from crivo.operators.sampling import NATURAL, ratio_undersample, stratified_folds
 from crivo.operators.tfidf import CLASSIFIER, TfidfSpec, collect_vocabulary, count_vectors, vocabulary
 
@@ -184,10 +185,9 @@ def class_weights(df: DataFrame, ratio_name: str = NATURAL) -> DataFrame:
         return df.withColumn("weight", F.lit(1.0))
     total = df.agg(
         F.try_divide(F.count_if(F.col("label") == 0).cast("double"), F.count_if(F.col("label") == 1)).alias("_pos")
-    ).withColumn("_one", F.lit(0))
-    joined = df.withColumn("_one", F.lit(0)).join(F.broadcast(total), "_one")  # one row
+    )
     weight = F.when(F.col("label") == 1, F.coalesce("_pos", F.lit(1.0))).otherwise(1.0)
-    return joined.withColumn("weight", weight).drop("_one", "_pos")
+    return with_row(df, total).withColumn("weight", weight).drop("_pos")
 
 
 def weighted_logreg(

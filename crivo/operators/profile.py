@@ -10,6 +10,7 @@ from crivo.functions.scores import percent
 from crivo.functions.text import GIVEAWAY_TERMS, contains_folded, excerpt, word_tokens
 from crivo.functions.tokens import MAX_TOKENS, is_truncated
 from crivo.functions.urls import display_host, is_suspicious_page
+from crivo.operators.relational import with_row
 from crivo.sources.corpus import SPLITS, split_rank
 
 def _n() -> Column:
@@ -76,19 +77,13 @@ def dominant_share(df: DataFrame, dominant: Sequence[str]) -> DataFrame:
 def source_profile(df: DataFrame, split: str | None = None) -> DataFrame:
     """Rows, positives, % positive and share of all positives per source."""
     g = by_split(df, split).groupBy("source").agg(_n(), _pos())
-    total = g.agg(F.sum("pos").alias("_total")).withColumn("_one", F.lit(0))
-    # The total is one row.
-    return (
-        g.withColumn("_one", F.lit(0))
-        .join(F.broadcast(total), "_one")
-        .select(
-            "source",
-            "n",
-            "pos",
-            percent(F.col("pos"), F.col("n")).alias("pct"),
-            (F.col("n") - F.col("pos")).alias("neg"),
-            percent(F.col("pos"), F.greatest("_total", F.lit(1))).alias("pos_share"),
-        )
+    return with_row(g, g.agg(F.sum("pos").alias("_total"))).select(
+        "source",
+        "n",
+        "pos",
+        percent(F.col("pos"), F.col("n")).alias("pct"),
+        (F.col("n") - F.col("pos")).alias("neg"),
+        percent(F.col("pos"), F.greatest("_total", F.lit(1))).alias("pos_share"),
     )
 
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from crivo.operators.relational import with_row
+
 SCORE_BUCKETS = 64
 
 
@@ -54,34 +56,30 @@ def running_points(points: DataFrame, by: Sequence[str] = (), buckets: int = SCO
     the result. `by` names evaluation sets, of which there are few: one row of edges per set is broadcast.
     """
     by = list(by)
-    keys = by or ["_all"]
-    if not by:
-        points = points.withColumn("_all", F.lit(0))
     probs = [i / buckets for i in range(1, buckets)]
-    edges = points.groupBy(*keys).agg(F.percentile_approx("score", probs, 1000).alias("_edges"))
-    spread = points.join(F.broadcast(edges), keys).withColumn(
-        "_b", F.size(F.filter("_edges", lambda e: e < F.col("score")))
-    )
-    spread = spread.drop("_edges")
-    totals = spread.groupBy(*keys, "_b").agg(
+    edges = points.groupBy(*by).agg(F.percentile_approx("score", probs, 1000).alias("_edges"))
+    edged = points.join(F.broadcast(edges), by) if by else with_row(points, edges)
+    spread = edged.withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col("score")))).drop("_edges")
+    totals = spread.groupBy(*by, "_b").agg(
         F.sum("n").alias("_bn"), F.sum("pos").alias("_bp"), F.min("score").alias("_bmin")
     )
-    above = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    whole_set = by or [F.lit(0)]
+    above = Window.partitionBy(*whole_set).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*whole_set)
     offsets = totals.select(
-        *keys,
+        *by,
         "_b",
         F.coalesce(F.sum("_bn").over(above), F.lit(0)).alias("_n_above"),
         F.coalesce(F.sum("_bp").over(above), F.lit(0)).alias("_p_above"),
         F.sum("_bn").over(whole).alias("total_n"),
         F.sum("_bp").over(whole).alias("total_pos"),
-        F.lag("_bmin").over(Window.partitionBy(*keys).orderBy(F.desc("_b"))).alias("_min_above"),
+        F.lag("_bmin").over(Window.partitionBy(*whole_set).orderBy(F.desc("_b"))).alias("_min_above"),
     )
-    down = Window.partitionBy(*keys, "_b").orderBy(F.desc("score"))
+    down = Window.partitionBy(*by, "_b").orderBy(F.desc("score"))
     upto = down.rowsBetween(Window.unboundedPreceding, 0)
     # At most `buckets` rows per evaluation set.
-    out = spread.join(F.broadcast(offsets), [*keys, "_b"]).select(
-        *keys,
+    return spread.join(F.broadcast(offsets), [*by, "_b"]).select(
+        *by,
         "score",
         "n",
         "pos",
@@ -91,4 +89,3 @@ def running_points(points: DataFrame, by: Sequence[str] = (), buckets: int = SCO
         "total_pos",
         F.coalesce(F.lag("score").over(down), F.col("_min_above")).alias("next_score"),
     )
-    return out if by else out.drop("_all")

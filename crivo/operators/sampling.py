@@ -7,8 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from crivo.operators.ranking import hash_rank, seeded_hash
+from crivo.operators.relational import with_row
 
 NATURAL = "natural"
+GROUP_LIMIT = 1000  # the default of spark.sql.optimizer.windowGroupLimitThreshold
 
 
 def domain_partition(df: DataFrame, dominant: Sequence[str]) -> DataFrame:
@@ -19,21 +21,15 @@ def domain_partition(df: DataFrame, dominant: Sequence[str]) -> DataFrame:
 def capped_positive_sample(df: DataFrame, cap: int, seed=42) -> DataFrame:
     """Up to `cap` positives per source; a smaller cap gives a subset.
 
-    Spark keeps `cap` rows per source in each task before the shuffle, so a hot source does not pile up.
+    Spark keeps `cap` rows per source in each task before the shuffle, so a hot source does not pile up. It does so
+    for caps up to 1000; beyond that the same order is ranked bucket by bucket.
     """
+    if cap > GROUP_LIMIT:
+        return hash_rank(df.where("label = 1"), "doc_id", seed, by=["source"], out="pick").where(F.col("pick") <= cap)
     w = Window.partitionBy("source").orderBy(seeded_hash(seed, "doc_id"), "doc_id")
     return df.where("label = 1").withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= cap)
 
 
-def _one_row(df: DataFrame, *aggs) -> DataFrame:
-    return df.agg(*aggs).withColumn("_one", F.lit(0))
-
-
-def _with_constants(df: DataFrame, constants: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row table."""
-    return df.withColumn("_one", F.lit(0)).join(F.broadcast(constants), "_one").drop("_one")
-
-
 def ratio_undersample(df: DataFrame, ratios: Mapping[str, float | None], seed=42, key: str = "doc_id") -> DataFrame:
     """All positives plus, per named ratio, the first n_pos * ratio negatives of one hash order.
 
@@ -41,12 +37,12 @@ def ratio_undersample(df: DataFrame, ratios: Mapping[str, float | None], seed=42
     """
     narrow = df.select(key, "label")
     ranked = hash_rank(narrow.where("label = 0"), key, seed)
-    n_pos = _one_row(narrow, F.count_if(F.col("label") == 1).alias("n_pos"))
+    n_pos = narrow.agg(F.count_if(F.col("label") == 1).alias("n_pos"))
     cuts = F.array(
         *[F.struct(F.lit(n).alias("set_name"), F.lit(r).cast("double").alias("ratio")) for n, r in ratios.items()]
     )
     negatives = (
-        _with_constants(ranked, n_pos)
+        with_row(ranked, n_pos)
         .select(key, "label", "rank", "n_pos", F.explode(cuts).alias("c"))
         .where(F.col("c.ratio").isNull() | (F.col("rank") <= F.col("n_pos") * F.col("c.ratio")))
         .select(F.col("c.set_name").alias("set_name"), key, "label")
@@ -82,10 +78,10 @@ def exposure_sets(
         .where(F.col("pick") <= F.col("c.cap"))
         .select(F.col("c.set_name").alias("set_name"), key, "label", F.col("c.ratio").alias("ratio"))
     )
-    natural = _one_row(
-        train, F.count_if(F.col("label") == 0).alias("tn"), F.count_if(F.col("label") == 1).alias("tp")
+    natural = train.agg(
+        F.count_if(F.col("label") == 0).alias("tn"), F.count_if(F.col("label") == 1).alias("tp")
     )
-    counts = _with_constants(positives.groupBy("set_name", "ratio").agg(F.count(F.lit(1)).alias("n_pos")), natural)
+    counts = with_row(positives.groupBy("set_name", "ratio").agg(F.count(F.lit(1)).alias("n_pos")), natural)
     ratio = F.coalesce("ratio", F.col("tn").cast("double") / F.col("tp"))
     limits = counts.select("set_name", F.bround(F.col("n_pos") * ratio, 0).cast("bigint").alias("n_neg"))
     ranked = hash_rank(narrow.where("label = 0").select(key, "label"), key, seed)
@@ -137,10 +133,10 @@ def ratio_oversample(df: DataFrame, ratio: float = 10.0, seed=42, key: str = "do
     Adds `copy`. The negatives appear once; a class that is already large enough is left alone.
     """
     narrow = df.select(key, "label")
-    totals = _one_row(
-        narrow, F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg")
+    totals = narrow.agg(
+        F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg")
     ).withColumn("target", F.greatest(F.floor(F.col("n_neg") / F.lit(float(ratio))), F.col("n_pos")))
-    pos = _with_constants(hash_rank(narrow.where("label = 1"), key, seed), totals)
+    pos = with_row(hash_rank(narrow.where("label = 1"), key, seed), totals)
     whole = F.floor(F.col("target") / F.col("n_pos"))
     extra = F.when(F.col("rank") <= F.col("target") - whole * F.col("n_pos"), 1).otherwise(0)
     copies = F.sequence(F.lit(1).cast("bigint"), whole + extra)

@@ -13,6 +13,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window, functions as F
 
 from crivo.functions.text import ngrams, word_tokens
+from crivo.operators.relational import with_row
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ def vocabulary(df: DataFrame, spec: TfidfSpec) -> DataFrame:
     Each document offers every occurrence and every distinct term; both fold per task, so only per-term sums are
     shuffled, never the text. `idx` numbers the kept terms from rare to common.
     """
-    n = df.agg(F.count(F.lit(1)).alias("_docs")).withColumn("_one", F.lit(0))  # one row
+    n = df.agg(F.count(F.lit(1)).alias("_docs"))
     words = df.select(word_tokens(F.col("text")).alias("_words"))
     terms = words.select(ngrams(F.col("_words"), spec.low, spec.high).alias("_terms"))
     every = F.transform("_terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first")))
@@ -63,11 +64,12 @@ def vocabulary(df: DataFrame, spec: TfidfSpec) -> DataFrame:
         .groupBy(F.col("e.term").alias("term"))
         .agg(F.sum(entry).alias("df"), F.sum(1 - entry).alias("total"))
         .where(F.col("df") >= spec.min_df)
-        .withColumn("_one", F.lit(0))
-        .join(F.broadcast(n), "_one")
+    )
+    kept = (
+        with_row(kept, n)
         .where(F.col("df") <= F.col("_docs") * spec.max_df)
         .withColumn("idf", F.ln((1.0 + F.col("_docs")) / (1.0 + F.col("df"))) + 1.0)
-        .drop("_one", "_docs")
+        .drop("_docs")
     )
     if spec.max_features is None:
         return kept
