@@ -21,6 +21,7 @@ from crivo.operators.tfidf import CLASSIFIER, TfidfSpec, collect_vocabulary, cou
 GRID_C = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0)
 GRID_FEATURES = (1_000, 3_000, 5_000, 10_000)
 QUERY_PREFIX = "query: "
+ROWS_PER_TASK = 2_000  # the least worth a task in each iteration
 
 
 @dataclass(frozen=True)
@@ -65,12 +66,18 @@ def decision_scores(model, df: DataFrame) -> DataFrame:
     )
 
 
+def pack(rows: DataFrame, n: int) -> DataFrame:
+    """Fewer, fuller partitions for a small training set: every iteration of a fit starts one task per partition."""
+    return rows.coalesce(max(1, -(-n // ROWS_PER_TASK)))
+
+
 def svm_scores(train: DataFrame, others: DataFrame, spec: TfidfSpec = CLASSIFIER, c: float = 0.1, max_iter: int = 100) -> DataFrame:
     """Fit on `train`, score `others`: (doc_id, url, source, label, split, score, pred)."""
     vec = fit_vectorizer(train, spec)
     features = vec.transform(train).select("label", "features").persist()
     try:
-        model = svm(features.count(), c, max_iter).fit(features)
+        n = features.count()
+        model = svm(n, c, max_iter).fit(pack(features, n))
     finally:
         features.unpersist()
     return decision_scores(model, vec.transform(others))
@@ -118,13 +125,13 @@ def cross_validate(features: DataFrame, cs: Sequence[float], folds: int = 5, see
     rows = features.join(stratified_folds(features, folds, seed).select("doc_id", "fold"), "doc_id")
     rows = rows.select("label", "features", "fold").persist()
     try:
-        est = svm(rows.count(), cs[0], max_iter)
         n = rows.count()
+        est = svm(n, cs[0], max_iter)
         grid = ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * max(n, 1)) for c in cs]).build()
         f1 = MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0)
         cv = CrossValidator(
             estimator=est, estimatorParamMaps=grid, evaluator=f1, numFolds=folds, foldCol="fold", parallelism=parallelism
-        ).fit(rows)
+        ).fit(pack(rows, n))
     finally:
         rows.unpersist()
     best = max(range(len(cs)), key=lambda i: cv.avgMetrics[i])
@@ -196,9 +203,12 @@ def weighted_logreg(
 ) -> DataFrame:
     """Class-weighted logistic regression; adds the margin, the prediction and the probability of class 1."""
     vec = fit_vectorizer(train, spec)
-    rows = class_weights(vec.transform(train), ratio_name).select("label", "features", "weight")
-    est = LogisticRegression(weightCol="weight", regParam=reg, maxIter=max_iter, standardization=False)
-    model = est.fit(rows)
+    rows = class_weights(vec.transform(train), ratio_name).select("label", "features", "weight").persist()
+    try:
+        est = LogisticRegression(weightCol="weight", regParam=reg, maxIter=max_iter, standardization=False)
+        model = est.fit(pack(rows, rows.count()))
+    finally:
+        rows.unpersist()
     scored = model.transform(vec.transform(others))
     return scored.select(
         *[c for c in others.columns if c != "text"],

@@ -616,7 +616,8 @@ def top_coefficients(spark, sf):
     train, _, _ = _splits(spark, sf)
     vec = ML.fit_vectorizer(train, MODEL)
     rows = vec.transform(train).select("label", "features")
-    model = ML.svm(train.count(), 0.1, 20).fit(rows)
+    n = train.count()
+    model = ML.svm(n, 0.1, 20).fit(ML.pack(rows, n))
     return ML.top_coefficients(model, vec, spark, 30, P.source_terms(V.corpus_all(spark, sf)).select("term", "source"))
 
 
