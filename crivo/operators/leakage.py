@@ -120,9 +120,8 @@ def leakage_guard(df: DataFrame, fail: bool = False) -> DataFrame:
 
 def url_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: distinct urls the two tables share."""
-    return left.select("url").distinct().join(right.select("url"), "url", "left_semi").agg(
-        F.count(F.lit(1)).alias("common_urls")
-    )
+    common = left.select("url").distinct().join(right.select("url").distinct(), "url", "left_semi")
+    return common.agg(F.count(F.lit(1)).alias("common_urls"))
 
 
 def assert_no_url_overlap(left: DataFrame, right: DataFrame) -> None:
@@ -198,7 +197,7 @@ def integrity_audit(df: DataFrame, columns: Sequence[str] = ("url", "text", "lab
 
 
 def reconcile_versions(old: DataFrame, new: DataFrame, columns: Sequence[str], key: str = "url") -> DataFrame:
-    """Full join of two versions on a key: rows on each side, mismatches per column, texts equal after normalising."""
+    """Full join of two versions on a unique key: rows per side, mismatches per column, texts equal after normalising."""
     a = old.select(key, *[F.col(c).alias(f"a_{c}") for c in columns], F.lit(True).alias("_a"))
     b = new.select(key, *[F.col(c).alias(f"b_{c}") for c in columns], F.lit(True).alias("_b"))
     j = a.join(b, key, "full")

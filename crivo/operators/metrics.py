@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crivo.functions.scores import hash_number, predict_at, ratio
 from crivo.operators.ranking import hash_rank, running_points, score_points
@@ -236,18 +236,18 @@ def _replicates_with_ap(preds: DataFrame, draws: DataFrame, threshold: float, ke
         .groupBy("replicate", "score")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
     )
-    # One replicate is one evaluation set of n rows; there are as many windows as replicates.
-    down = Window.partitionBy("replicate").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = sample.withColumn("tp_at", F.sum("pos").over(down)).withColumn("n_at", F.sum("n").over(down))
+    # Each replicate is an evaluation set of its own; its running totals are bucketed like any other's.
+    run = running_points(sample, ["replicate"])
     hit = F.col("score") >= threshold
     neg = F.col("n") - F.col("pos")
     out = run.groupBy("replicate").agg(
-        F.coalesce(F.sum(F.when(hit, F.col("pos"))), F.lit(0)).alias("tp"),
-        F.coalesce(F.sum(F.when(hit, neg)), F.lit(0)).alias("fp"),
+        F.coalesce(F.sum(F.when(hit, F.col("pos"))), F.lit(0)).alias("tp_hit"),
+        F.coalesce(F.sum(F.when(hit, neg)), F.lit(0)).alias("fp_hit"),
         F.coalesce(F.sum(F.when(~hit, F.col("pos"))), F.lit(0)).alias("fn"),
         F.coalesce(F.sum(F.when(~hit, neg)), F.lit(0)).alias("tn"),
-        ratio(F.sum(F.col("pos") * ratio(F.col("tp_at"), F.col("n_at"))), F.sum("pos")).alias("ap"),
+        ratio(F.sum(F.col("pos") * ratio(F.col("tp"), F.col("tp") + F.col("fp"))), F.sum("pos")).alias("ap"),
     )
+    out = out.withColumnsRenamed({"tp_hit": "tp", "fp_hit": "fp"})
     return rates(out)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from crivo.functions import text as X, tokens as K, urls as U
@@ -48,7 +50,7 @@ def corpus_load(spark, sf):
 
 @query("sink_roundtrip", "SELECT split, label, count(*) AS n, sum(length(text))::BIGINT AS chars FROM corpus GROUP BY ALL", "corpus")
 def sink_roundtrip(spark, sf):
-    path = f"{shared_dir(spark)}/sink_{abs(hash(sf))}"
+    path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
     df = V.corpus(spark, sf)
     S.write_table(df, path, partition_by=["split"])
     back = spark.read.schema(df.schema).parquet(path)
