@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from crivo.session import ship
 from crivo.sources.views import CORPUS_ALL_SQL, CORPUS_SQL, VECTORS_SQL, WEB_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +20,11 @@ def query(name: str, sql: str | None = None, views: str = "", ctes: str = ""):
     """Register a query; `views` names the canonical views the SQL needs, `ctes` adds further ones."""
 
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             parts = [_VIEWS[v] for v in views.split()] + ([ctes] if ctes else [])
             ORACLE[name] = (f"WITH {', '.join(parts)} " if parts else "") + sql
