@@ -4,16 +4,47 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from struct import pack
+from unicodedata import normalize
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the tokenizer
 _STOPS = frozenset(".,;:!?")
 _CODERS: dict[tuple[str, int], Coder] = {}
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level vocabularies write for bytes: printable ones as they are, others from 256 up."""
+    plain = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
+    others = (b for b in range(256) if b not in plain)
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+class _Words(dict):
+    """Ids of words, as little-endian unsigned 32-bit numbers; a word is encoded when first asked for."""
+
+    def __init__(self, tokenizer, max_words: int):
+        self.tokenizer, self.model, self.max_words = tokenizer, tokenizer.model, max_words
+        self.letters = _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        lower = word if word.isascii() else normalize("NFC", word).replace("Σ", "σ").lower()  # letter by letter, as the tokenizer does
+        if lower.isalpha():  # one piece to the tokenizer's splitter: straight to its merges
+            ids = [t.id for t in self.model.tokenize(lower.encode().decode("latin-1").translate(self.letters))]
+            coded = pack(f"<{len(ids)}I", *ids)
+        elif word[-1] in _STOPS and lower[:-1].isalpha():  # splits before the stop
+            coded = self[word[:-1]] + self[word[-1]]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            coded = pack(f"<{len(ids)}I", *ids)
+        if len(word) <= 100:
+            if len(self) >= self.max_words:
+                self.clear()
+            self[word] = coded
+        return coded
+
+
 class Coder:
-    """Encodes with a `tokenizers` file whose words never span white space and whose letters are lower-cased.
+    """Encodes with a `tokenizers` file of byte-level BPE with lower-casing, whose words never span white space.
 
     A text's ids are then the ids of its white-space-separated words in order. Words repeat, so their ids are kept:
     at most `max_words` of them, then the cache starts anew. Words over 100 characters are not kept.
@@ -24,46 +55,21 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.max_words = max_words
-        self.known: dict[str, bytes] = {}
+        self.known = _Words(self.tokenizer, max_words)
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers, straight from the tokenizer."""
-        coded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(c.ids, "<u4").tobytes() for c in coded]
-
-    def words(self, text: str) -> list[str]:
-        lower = text.lower() if text.isascii() else text.encode().lower().decode()
-        return lower.split()
+    def whole(self, text: str) -> bytes:
+        """The text's ids straight from the tokenizer, as little-endian unsigned 32-bit numbers."""
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
-        """The same ids as `whole` gives, for one text; a null text is empty."""
+        """The same ids as `whole` gives, through the cache; a null text is empty."""
         if not text:
             return b""
         if _ODD_SPACE.search(text):
-            return self.whole([text])[0]
-        words = self.words(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            return b"".join(map(self._learn(words).__getitem__, words))
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        if len(self.known) > self.max_words:
-            self.known.clear()
-        known = self.known
-        fresh = {w for w in words if w not in known}
-        # a word of letters with one stop at its end splits before the stop
-        split = {w for w in fresh if w[-1] in _STOPS and w[:-1].isalpha()}
-        ask = (fresh - split) | {x for w in split for x in (w[:-1], w[-1]) if x not in known}
-        long = {w for w in ask if len(w) > 100}
-        ask = list(ask - long)
-        known.update(zip(ask, self.whole(ask)))
-        extra = dict(zip(long, self.whole(list(long)))) if long else {}
-        for w in split:
-            ids = (extra.get(w[:-1]) or known[w[:-1]]) + known[w[-1]]
-            (extra if len(w) > 100 else known)[w] = ids
-        return {w: extra[w] if w in extra else known[w] for w in set(words)} if extra else known
+            return self.whole(text)
+        lower = text.lower() if text.isascii() else text.encode().lower().decode()
+        return b"".join(map(self.known.__getitem__, lower.split()))
 
 
 def coder(path: str, max_words: int = 600_000) -> Coder:
