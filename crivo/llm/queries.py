@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from crivo.llm.neardup import near_duplicates
-from crivo.llm.packing import pack
+from crivo.llm import attention_lm, exactdedup, langid, mixing, neardup, packing, quality, rollups, toxicity, warc
 from crivo.plans.registry import query
+from crivo.session import scratch
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -19,12 +19,137 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def crc_part(key: str, parts: int) -> Column:
+    """crc32 of an identifier as text, modulo `parts`; a null one is empty text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts
+
+
 @query("op1_packing")
-def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(documents(spark, sf_dir), tokenizer_file())
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 @query("op2_near_duplicates")
-def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), percent=85)
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op3_warc")
+def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), uri)
+    return warc.read_archives(spark, uri, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_WORDS = "size(regexp_extract_all(coalesce(text, ''), '[^\\\\x20\\\\x09-\\\\x0D]+', 0))"
+_PIECES = "size(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[0-9]|[^\\\\x20\\\\x09-\\\\x0DA-Za-z0-9]', 0))"
+
+
+@query(
+    "op4_token_counts",
+    """
+WITH counted AS (
+    SELECT source, lang,
+           len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS words,
+           len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[0-9]|[^\\x20\\x09-\\x0DA-Za-z0-9]'))::BIGINT AS pieces
+    FROM documents
+), present AS (
+    SELECT source, lang, 'words-1' AS version, words + 1 AS tokens, words >= 50 AS there FROM counted
+    UNION ALL
+    SELECT source, lang, 'pieces-1', pieces, TRUE FROM counted
+)
+SELECT source, lang, version, CAST(sum(there::INT) AS BIGINT) AS n_docs,
+       CAST(sum(CASE WHEN there THEN tokens ELSE 0 END) AS BIGINT) AS n_tokens
+FROM present GROUP BY ALL
+""",
+)
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert all documents under two tokenizers, revise one count by an end token, delete short documents; repeat batches."""
+    docs = table(spark, sf_dir, "documents")
+    words, pieces = F.expr(_WORDS), F.expr(_PIECES)
+    rollup = rollups.Rollup(spark, scratch(spark, "rollup"))
+    batches = {
+        "1-words": rollups.changes(docs, "insert", "words-1", words),
+        "2-pieces": rollups.changes(docs, "insert", "pieces-1", pieces),
+        "3-ends": rollups.changes(docs, "revise", "words-1", words + 1, words),
+        "4-short": rollups.changes(docs.where(words < 50), "delete", "words-1", was=words + 1),
+    }
+    for name in ("1-words", "2-pieces", "3-ends", "3-ends", "4-short", "1-words"):
+        rollup.commit(name, batches[name])
+        if name == "2-pieces":
+            rollup.compact()
+    return rollup.totals()
+
+
+@query("op5_attention_lm")
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.language_scores(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@query("op6_toxicity")
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    field = toxicity.learn(docs, labels.where(crc_part("doc_id", 5) != 0))
+    rows = docs.select("doc_id", "text", (crc_part("doc_id", 5) == 0).alias("held_out"))
+    scored = toxicity.score(rows, field)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+_BASE_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM t),
+g AS (
+    SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)
+),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+c AS (
+    SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+    FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id
+),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t)
+SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+       (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+       (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+       coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+       len(words) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(words) AS base_failed
+FROM w JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+@query("op7_quality")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality(table(spark, sf_dir, "documents"))
+    return judged.select("row.doc_id", *judged.columns[1:])
+
+
+@query(
+    "op8_exact_dedup",
+    """
+WITH t AS (
+    SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS body
+    FROM documents
+), k AS (
+    SELECT doc_id, body, first_value(doc_id) OVER (PARTITION BY body ORDER BY points DESC, doc_id) AS keep_id,
+           count(*) OVER (PARTITION BY body) AS group_size FROM t
+)
+SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM k
+""",
+)
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.deduplicate(table(spark, sf_dir, "documents")).drop("locator")
+
+
+@query("op9_mixing")
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    names = ("block", "release", "deadline", "slot", "place")
+    return out.select("doc_id", "source", *[F.col(f"_{n}").alias(n) for n in names])
+
+
+@query("op10_language")
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_part("doc_id", 4) == 2)
+    model = langid.learn(docs.where("NOT held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
