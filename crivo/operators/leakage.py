@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from crivo.functions.scores import hash_number, percent
+from crivo.functions.scores import percent
 from crivo.functions.text import folded_hash, norm_hash, normalize_space, raw_hash, strip_footer
 from crivo.functions.urls import canonical_url
-from crivo.operators.relational import join_groups
+from crivo.operators.relational import join_groups, join_nullsafe
 from crivo.sources.corpus import SPLITS, split_rank
 
 SPLIT_PAIRS = (("train", "dev"), ("train", "test"), ("dev", "test"))
@@ -33,8 +33,12 @@ def exact_dedup_keys(df: DataFrame, digest: Column | None = None) -> DataFrame:
 
 
 def exact_dedup(df: DataFrame, digest: Column | None = None) -> DataFrame:
-    """Drop every copy but the first."""
-    return df.join(exact_dedup_keys(df, digest).select("doc_id"), "doc_id", "left_semi")
+    """Drop every copy but the first; NULL texts are copies of each other.
+
+    Few rows go, so these are found and taken out: the corpus itself meets only the keys of repeated texts.
+    """
+    gone = exact_dedup_removed(df, digest).select(F.col("doc_id").alias("_gone"))
+    return df.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def exact_dedup_removed(df: DataFrame, digest: Column | None = None) -> DataFrame:
@@ -182,25 +186,40 @@ def canonical_split_counts(df: DataFrame, drop_suffix: bool = False) -> DataFram
 
 def integrity_audit(df: DataFrame, columns: Sequence[str] = ("url", "text", "label", "source")) -> DataFrame:
     """Rows, NULLs per column, repeated urls and repeated whole rows, per split."""
-    row = F.md5(F.to_json(F.struct(*columns)))
-    base = df.select("split", F.md5("url").alias("_u"), row.alias("_r"), *[F.col(c).isNull().alias(f"_{c}") for c in columns])
-    nulls = base.groupBy("split").agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f"_{c}")).alias(f"null_{c}") for c in columns]
+    marks = [F.coalesce(F.md5(F.col(c).cast("string")), F.lit("-")) for c in columns]
+    # One scan: each row offers its url's digest and its own; both fold per task, so only distinct digests are shuffled.
+    empty = F.struct(*[F.col(c).isNull().alias(f"null_{c}") for c in columns])
+    offers = F.array(
+        F.struct(F.lit("url").alias("kind"), F.coalesce(F.md5("url"), F.lit("-")).alias("mark")),
+        F.struct(F.lit("row").alias("kind"), F.md5(F.concat_ws(",", *marks)).alias("mark")),
+    )
+    long = df.select("split", empty.alias("_empty"), F.explode(offers).alias("o"))
+    folded = long.groupBy("split", "o.kind", "o.mark").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"_empty.null_{c}")).alias(f"null_{c}") for c in columns]
+    )
+    row, url = F.col("kind") == "row", F.col("kind") == "url"
+    return folded.groupBy("split").agg(
+        F.sum(F.when(row, F.col("n"))).alias("rows"),
+        *[F.sum(F.when(row, F.col(f"null_{c}"))).alias(f"null_{c}") for c in columns],
+        F.sum(F.when(url, F.col("n") - 1)).alias("dup_urls"),
+        F.sum(F.when(row, F.col("n") - 1)).alias("dup_rows"),
     )
-
-    def repeats(col: str, name: str) -> DataFrame:
-        g = base.groupBy("split", col).agg(F.count(F.lit(1)).alias("n"))
-        return g.groupBy("split").agg(F.sum(F.col("n") - 1).alias(name))
-
-    # One row per split on every side.
-    return nulls.join(F.broadcast(repeats("_u", "dup_urls")), "split").join(F.broadcast(repeats("_r", "dup_rows")), "split")
 
 
 def reconcile_versions(old: DataFrame, new: DataFrame, columns: Sequence[str], key: str = "url") -> DataFrame:
-    """Full join of two versions on a unique key: rows per side, mismatches per column, texts equal after normalising."""
-    a = old.select(key, *[F.col(c).alias(f"a_{c}") for c in columns], F.lit(True).alias("_a"))
-    b = new.select(key, *[F.col(c).alias(f"b_{c}") for c in columns], F.lit(True).alias("_b"))
-    j = a.join(b, key, "full")
+    """Full join of two versions on a unique key: rows per side, mismatches per column, texts equal after normalising.
+
+    An empty or NULL key names no row, so such rows count as unmatched on their own side.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        # Texts are compared by digest, so none is shuffled. A row without a key gets one of its own: it matches nothing.
+        digests = [F.md5(F.col(c).cast("string")).alias(f"{name}_{c}") for c in columns]
+        if "text" in columns:
+            digests.append(F.md5(normalize_space(F.col("text"))).alias(f"{name}_norm"))
+        lone = F.when(F.coalesce(F.col(key), F.lit("")) == "", F.concat(F.lit(name), F.monotonically_increasing_id().cast("string")))
+        return df.select(F.col(key).alias("_key"), lone.alias("_lone"), *digests, F.lit(True).alias(f"_{name}"))
+
+    j = join_nullsafe(side(old, "a"), side(new, "b"), ["_key", "_lone"], "full")
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     aggs = [
         F.count("_a").alias("old_rows"),
@@ -211,7 +230,7 @@ def reconcile_versions(old: DataFrame, new: DataFrame, columns: Sequence[str], k
         *[F.count_if(both & ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))).alias(f"diff_{c}") for c in columns],
     ]
     if "text" in columns:
-        same = normalize_space(F.col("a_text")).eqNullSafe(normalize_space(F.col("b_text")))
+        same = F.col("a_norm").eqNullSafe(F.col("b_norm"))
         aggs.append(percent(F.count_if(both & same), F.count_if(both), 1).alias("text_equal_pct"))
     return j.agg(*aggs)
 
@@ -225,11 +244,17 @@ def dataset_diff(old: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("split",)) -> DataFrame:
-    """Order-independent content mark: row count and the sum of each row's md5 head."""
+    """Order-independent content mark: row count and the sums of two parts of each row's md5.
+
+    The sums are decimals of 38 digits, which no number of rows fills.
+    """
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]
-    head = hash_number(F.concat_ws("\x1f", *cells), digits=8)
-    return df.select(*by, head.alias("_h")).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("_h").alias("fingerprint")
+    mark = F.md5(F.concat_ws("\x1f", *cells))
+    part = [F.conv(F.substring(mark, at, 15), 16, 10).cast("decimal(20,0)").alias(n) for at, n in ((1, "_a"), (16, "_b"))]
+    return df.select(*by, *part).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("_a").cast("decimal(38,0)").cast("string").alias("fingerprint"),
+        F.sum("_b").cast("decimal(38,0)").cast("string").alias("second_mark"),
     )
 
 

@@ -12,10 +12,11 @@ from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_a
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
+from crivo.functions.text import word_tokens
 from crivo.operators.metrics import binary_metrics, ranking_metrics
 from crivo.operators.relational import with_row
 from crivo.operators.sampling import NATURAL, ratio_undersample, stratified_folds
-from crivo.operators.tfidf import CLASSIFIER, TfidfSpec, collect_vocabulary, count_vectors, vocabulary
+from crivo.operators.tfidf import CLASSIFIER, TfidfSpec, collect_vocabulary, count_vectors, most_frequent, vocabulary
 
 # The grid of the reference experiment.
 GRID_C = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0)
@@ -50,6 +51,32 @@ def embedding_features(df: DataFrame, column: str = "embedding") -> DataFrame:
     return Normalizer(p=2.0, inputCol="_v", outputCol="features").transform(raw).drop("_v", column)
 
 
+def lexicon(train: DataFrame, min_df: int = 5, max_features: int | None = None) -> DataFrame:
+    """(term, weight): smoothed log odds of a term's presence in class 1 against class 0, in ten-thousandths.
+
+    Terms of at least `min_df` documents, at most `max_features` of them by document count, ties by term. Counts fold in
+    each task; whole-number weights make the sums of `lexicon_scores` the same in any order.
+    """
+    sizes = train.agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
+    present = train.select("label", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("term"))
+    counts = present.groupBy("term").agg(
+        F.count_if(F.col("label") == 1).alias("c1"), F.count_if(F.col("label") == 0).alias("c0")
+    )
+    counts = counts.withColumn("total", F.col("c1") + F.col("c0")).where(F.col("total") >= min_df)
+    if max_features is not None:
+        counts = most_frequent(counts, max_features)
+    one, other = (F.col("c1") + 1.0) / (F.col("n1") + 2.0), (F.col("c0") + 1.0) / (F.col("n0") + 2.0)
+    return with_row(counts, sizes).select("term", F.round(F.log(one / other) * 10000).cast("bigint").alias("weight"))
+
+
+def lexicon_scores(df: DataFrame, weights: DataFrame) -> DataFrame:
+    """Adds `score`, the sum of the weights of the distinct terms of `text`; 0 if none is known."""
+    present = df.select("doc_id", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("term"))
+    sums = present.join(weights, "term").groupBy("doc_id").agg((F.sum("weight") / 10000.0).alias("score"))
+    rest = df.drop("text", "score")
+    return rest.join(sums, "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def svm(n: int, c: float = 0.1, max_iter: int = 100, weight: str | None = None) -> LinearSVC:
     """Linear SVM whose penalty matches C on n rows; the margin is the score, its cut is 0."""
     est = LinearSVC(regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=max_iter, labelCol="label")
@@ -90,7 +117,9 @@ def top_coefficients(model, vec: TextVectorizer, spark, k: int = 30, flags: Data
     df = spark.createDataFrame([(i + 1, t, w) for i, (t, w) in enumerate(top)], "position int, term string, weight double")
     if flags is None:
         return df
-    return flags.join(F.broadcast(df), "term", "right").select(*df.columns, F.col("source").alias("source_term_of"))
+    # The k terms take the flags table down to k rows at most before anything is joined to them.
+    few = flags.join(F.broadcast(df.select("term")), "term", "left_semi").select("term", F.col("source").alias("source_term_of"))
+    return df.join(F.broadcast(few), "term", "left").select(*df.columns, "source_term_of")
 
 
 def training_sets(train: DataFrame, ratios: Mapping[str, float | None], seed=42) -> DataFrame:
@@ -127,15 +156,18 @@ def cross_validate(features: DataFrame, cs: Sequence[float], folds: int = 5, see
     try:
         n = rows.count()
         est = svm(n, cs[0], max_iter)
-        grid = ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * max(n, 1)) for c in cs]).build()
+        # C holds for the rows that are fitted on: those outside the fold.
+        fitted_on = max(n, 1) * (folds - 1) / folds
+        grid = ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * fitted_on) for c in cs]).build()
         f1 = MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0)
         cv = CrossValidator(
             estimator=est, estimatorParamMaps=grid, evaluator=f1, numFolds=folds, foldCol="fold", parallelism=parallelism
         ).fit(pack(rows, n))
+        best = max(range(len(cs)), key=lambda i: cv.avgMetrics[i])
+        model = svm(n, cs[best], max_iter).fit(pack(rows, n))
     finally:
         rows.unpersist()
-    best = max(range(len(cs)), key=lambda i: cv.avgMetrics[i])
-    return cs[best], cv.avgMetrics[best], cv.bestModel
+    return cs[best], cv.avgMetrics[best], model
 
 
 def grid_search(

@@ -10,7 +10,7 @@ from crivo.functions.scores import percent
 from crivo.functions.text import GIVEAWAY_TERMS, contains_folded, excerpt, word_tokens
 from crivo.functions.tokens import MAX_TOKENS, is_truncated
 from crivo.functions.urls import display_host, is_suspicious_page
-from crivo.operators.relational import with_row
+from crivo.operators.relational import join_nullsafe, with_row
 from crivo.sources.corpus import SPLITS, split_rank
 
 def _n() -> Column:
@@ -18,7 +18,11 @@ def _n() -> Column:
 
 
 def _pos(name: str = "pos") -> Column:
-    return F.sum(F.col("label").cast("bigint")).alias(name)
+    return F.count_if(F.col("label") == 1).alias(name)
+
+
+def _neg(name: str = "neg") -> Column:
+    return F.count_if(F.col("label") == 0).alias(name)
 
 
 def by_split(df: DataFrame, split: str | None) -> DataFrame:
@@ -39,8 +43,8 @@ def class_weight(df: DataFrame) -> DataFrame:
 
 
 def overview(df: DataFrame) -> DataFrame:
-    """Rows, positives, negatives, % positive and distinct sources per split and in total."""
-    per_source = df.groupBy("split", "source").agg(_n(), _pos())
+    """Rows, positives, negatives, % positive of the labelled rows and distinct sources per split and in total."""
+    per_source = df.groupBy("split", "source").agg(_n(), _pos(), _neg())
     split = F.when(F.grouping("split") == 1, "total").otherwise(F.col("split"))
     return (
         per_source.rollup("split")
@@ -48,14 +52,15 @@ def overview(df: DataFrame) -> DataFrame:
             split.alias("part"),
             F.sum("n").alias("n"),
             F.sum("pos").alias("pos"),
+            F.sum("neg").alias("neg"),
             F.count_distinct("source").alias("sources"),
         )
         .select(
             F.col("part").alias("split"),
             "n",
             "pos",
-            (F.col("n") - F.col("pos")).alias("neg"),
-            percent(F.col("pos"), F.col("n"), 3).alias("pct"),
+            "neg",
+            percent(F.col("pos"), F.col("pos") + F.col("neg"), 3).alias("pct"),
             "sources",
         )
     )
@@ -75,14 +80,14 @@ def dominant_share(df: DataFrame, dominant: Sequence[str]) -> DataFrame:
 
 
 def source_profile(df: DataFrame, split: str | None = None) -> DataFrame:
-    """Rows, positives, % positive and share of all positives per source."""
-    g = by_split(df, split).groupBy("source").agg(_n(), _pos())
+    """Rows, positives, % positive of the labelled rows and share of all positives per source."""
+    g = by_split(df, split).groupBy("source").agg(_n(), _pos(), _neg())
     return with_row(g, g.agg(F.sum("pos").alias("_total"))).select(
         "source",
         "n",
         "pos",
-        percent(F.col("pos"), F.col("n")).alias("pct"),
-        (F.col("n") - F.col("pos")).alias("neg"),
+        percent(F.col("pos"), F.col("pos") + F.col("neg")).alias("pct"),
+        "neg",
         percent(F.col("pos"), F.greatest("_total", F.lit(1))).alias("pos_share"),
     )
 
@@ -93,12 +98,12 @@ def source_by_split(df: DataFrame) -> DataFrame:
     for s in SPLITS:
         here = F.col("split") == s
         cells += [F.count_if(here).alias(f"n_{s}"), F.count_if(here & (F.col("label") == 1)).alias(f"pos_{s}")]
-    g = df.groupBy("source").agg(_n().alias("n_total"), _pos("pos_total"), *cells)
+    g = df.groupBy("source").agg(_n().alias("n_total"), _pos("pos_total"), _neg("_neg"), *cells)
     return g.select(
         "source",
         "n_total",
         "pos_total",
-        percent(F.col("pos_total"), F.col("n_total")).alias("pct"),
+        percent(F.col("pos_total"), F.col("pos_total") + F.col("_neg")).alias("pct"),
         *[f"{p}_{s}" for s in SPLITS for p in ("n", "pos")],
     )
 
@@ -245,9 +250,9 @@ def context_coverage(df: DataFrame, limits: Sequence[int] = (512, 1024, 2048, 40
 def _histogram(df: DataFrame, binned: Column, bins: int) -> DataFrame:
     """Counts and % of class for every (label, bin); empty bins are rows of 0, out-of-range rows count in the base."""
     g = df.groupBy("label", binned.alias("bin")).agg(_n())
-    total = g.groupBy("label").agg(F.sum("n").alias("total"))  # two classes
+    total = g.groupBy("label").agg(F.sum("n").alias("total"))  # one row per class, and one for rows without a label
     grid = total.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return grid.join(F.broadcast(g.where("bin IS NOT NULL")), ["label", "bin"], "left").select(
+    return join_nullsafe(grid, F.broadcast(g.where("bin IS NOT NULL")), ["label", "bin"], "left").select(
         "label", "bin", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "total",
         percent(F.coalesce("n", F.lit(0)), F.col("total")).alias("pct"),
     )

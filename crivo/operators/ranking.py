@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from crivo.operators.relational import with_row
+from crivo.operators.relational import join_nullsafe, with_row
 
 SCORE_BUCKETS = 64
 
@@ -23,7 +23,7 @@ def seeded_hash(seed, key: Column | str) -> Column:
 
 
 def hash_rank(df: DataFrame, key: str, seed, by: Sequence[str] = (), out: str = "rank", digits: int = 3) -> DataFrame:
-    """Add the 1-based rank of each row in seeded-hash order, per group `by`.
+    """Add the 1-based rank of each row in seeded-hash order, per group `by`; NULL is a group like any other.
 
     Buckets are the first `digits` hex digits, so they are even whatever the key or group looks like, and the
     offsets are at most 16**digits rows per group. Pass narrow rows: they are shuffled once.
@@ -35,7 +35,7 @@ def hash_rank(df: DataFrame, key: str, seed, by: Sequence[str] = (), out: str =
     starts = counts.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy(*by, "_b").orderBy("_h", key)
     return (
-        rows.join(starts, [*by, "_b"])
+        join_nullsafe(rows, starts, [*by, "_b"])
         .withColumn(out, F.col("_start") + F.row_number().over(within))
         .drop("_h", "_b", "_start")
     )
@@ -58,7 +58,7 @@ def running_points(points: DataFrame, by: Sequence[str] = (), buckets: int = SCO
     by = list(by)
     probs = [i / buckets for i in range(1, buckets)]
     edges = points.groupBy(*by).agg(F.percentile_approx("score", probs, 1000).alias("_edges"))
-    edged = points.join(F.broadcast(edges), by) if by else with_row(points, edges)
+    edged = join_nullsafe(points, F.broadcast(edges), by) if by else with_row(points, edges)
     spread = edged.withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col("score")))).drop("_edges")
     totals = spread.groupBy(*by, "_b").agg(
         F.sum("n").alias("_bn"), F.sum("pos").alias("_bp"), F.min("score").alias("_bmin")
@@ -78,7 +78,7 @@ def running_points(points: DataFrame, by: Sequence[str] = (), buckets: int = SCO
     down = Window.partitionBy(*by, "_b").orderBy(F.desc("score"))
     upto = down.rowsBetween(Window.unboundedPreceding, 0)
     # At most `buckets` rows per evaluation set.
-    return spread.join(F.broadcast(offsets), [*by, "_b"]).select(
+    return join_nullsafe(spread, F.broadcast(offsets), [*by, "_b"]).select(
         *by,
         "score",
         "n",

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from crivo.functions.text import ngrams, word_tokens
 from crivo.operators.relational import with_row
+from crivo.session import materialise, ship
 
 
 @dataclass(frozen=True)
@@ -73,12 +74,35 @@ def vocabulary(df: DataFrame, spec: TfidfSpec) -> DataFrame:
     )
     if spec.max_features is None:
         return kept
-    top = kept.orderBy(F.desc("total"), "term").limit(spec.max_features)
+    top = most_frequent(kept, spec.max_features)
     # At most max_features rows, so one task may number them.
     order = Window.partitionBy(F.lit(0)).orderBy("df", "term")
     return top.withColumn("idx", F.row_number().over(order) - 1)
 
 
+def most_frequent(terms: DataFrame, k: int) -> DataFrame:
+    """The k terms with the highest total, ties by term, without sending every partition's best k to one task.
+
+    Counts per total tell at which total rank k lies: higher ones are in, lower ones out. Within it, counts per first
+    two and then four letters narrow the tie down alike; only terms that agree on all three are put in order.
+    """
+    rows = materialise(terms, "terms").withColumn("_left", F.lit(k).cast("bigint"))
+    out = None
+    for value in (-F.col("total"), F.substring("term", 1, 2), F.substring("term", 1, 4)):
+        rows = rows.withColumn("_v", value)
+        per_value = rows.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"), F.max("_left").alias("_left"))
+        upto = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_v"))  # one row per distinct value
+        running = per_value.withColumn("_upto", upto).where("_upto >= _left")
+        at = F.min(F.struct("_v", (F.col("_left") - F.col("_upto") + F.col("_n")).alias("rest")))
+        marked = with_row(rows, running.agg(at.alias("_edge")))
+        inside = marked.where("_edge IS NULL OR _v < _edge._v").select(*terms.columns)
+        out = inside if out is None else out.unionByName(inside)
+        rows = marked.where("_v = _edge._v").withColumn("_left", F.col("_edge.rest")).drop("_edge")
+    order = Window.partitionBy(F.lit(0)).orderBy("term")
+    ties = rows.withColumn("_r", F.row_number().over(order)).where("_r <= _left").select(*terms.columns)
+    return out.unionByName(ties)
+
+
 def collect_vocabulary(vocab: DataFrame, spec: TfidfSpec) -> tuple[list[str], list[float]]:
     """Terms and idf in idx order on the driver; only a vocabulary bounded by max_features may come here."""
     if spec.max_features is None:
@@ -151,6 +175,7 @@ def tfidf_vectors(df: DataFrame, vocab: DataFrame, spec: TfidfSpec, keep: tuple[
     Row by row, without a shuffle. `sig` is equal for documents with the same terms and counts. A document without
     terms has empty arrays.
     """
+    ship(df.sparkSession)
     bound = df.sparkSession.sparkContext.broadcast(collect_vocabulary(vocab, spec))  # at most max_features terms
     words = F.coalesce(word_tokens(F.col("text")), F.array().cast("array<string>"))
     base = df.select(*keep, words.alias("_words"))

@@ -41,17 +41,17 @@ KEPT = (
 
 @query(
     "corpus_load",
-    "SELECT doc_id, url, md5(text) AS text_md5, label, source, split FROM corpus",
-    "corpus",
+    "SELECT doc_id, url, md5(text) AS text_md5, label, source, split FROM corpus_all",
+    "corpus_all",
 )
 def corpus_load(spark, sf):
-    return V.corpus(spark, sf).select("doc_id", "url", F.md5("text").alias("text_md5"), "label", "source", "split")
+    return V.corpus_all(spark, sf).select("doc_id", "url", F.md5("text").alias("text_md5"), "label", "source", "split")
 
 
-@query("sink_roundtrip", "SELECT split, label, count(*) AS n, sum(length(text))::BIGINT AS chars FROM corpus GROUP BY ALL", "corpus")
+@query("sink_roundtrip", "SELECT split, label, count(*) AS n, sum(length(text))::BIGINT AS chars FROM corpus_all GROUP BY ALL", "corpus_all")
 def sink_roundtrip(spark, sf):
     path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
-    df = V.corpus(spark, sf)
+    df = V.corpus_all(spark, sf)
     S.write_table(df, path, partition_by=["split"])
     back = spark.read.schema(df.schema).parquet(path)
     return back.groupBy("split", "label").agg(
@@ -61,8 +61,8 @@ def sink_roundtrip(spark, sf):
 
 @query(
     "table_fingerprint",
-    "SELECT split, count(*) AS rows, sum(('0x'||substr(md5(concat_ws(chr(31), url, text, coalesce(label::VARCHAR, chr(0)), source)),1,8))::BIGINT)::BIGINT AS fingerprint "
-    "FROM corpus_all GROUP BY split",
+    "SELECT split, count(*) AS rows, sum(('0x'||substr(m,1,15))::HUGEINT)::VARCHAR AS fingerprint, sum(('0x'||substr(m,16,15))::HUGEINT)::VARCHAR AS second_mark "
+    "FROM (SELECT split, md5(concat_ws(chr(31), url, text, coalesce(label::VARCHAR, chr(0)), source)) AS m FROM corpus_all) GROUP BY split",
     "corpus_all",
 )
 def table_fingerprint(spark, sf):
@@ -146,7 +146,7 @@ def tokenize(spark, sf):
       SELECT doc_id, unnest([a, a||' '||b, a||' '||b||' '||c]) AS gram FROM (
         SELECT doc_id, tok AS a, lead(tok) OVER w AS b, lead(tok,2) OVER w AS c FROM (
           SELECT doc_id, unnest(t) AS tok, generate_subscripts(t,1) AS pos FROM (SELECT doc_id, {TOKENS} AS t FROM documents))
-        WINDOW w AS (PARTITION BY doc_id ORDER BY pos))) WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) >= 20""",
+        WINDOW w AS (PARTITION BY doc_id ORDER BY pos))) WHERE gram IS NOT NULL GROUP BY gram""",
 )
 def ngram_counts(spark, sf):
     from crivo.operators.tfidf import TfidfSpec, term_counts
@@ -155,7 +155,6 @@ def ngram_counts(spark, sf):
     return (
         counts.groupBy(F.col("term").alias("gram"))
         .agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("docs"))
-        .where("n >= 20")
     )
 
 
@@ -388,7 +387,8 @@ def dataset_diff(spark, sf):
 
 # ---- profile
 
-_POS = "sum(label)::BIGINT"
+_POS = "coalesce(sum(label),0)::BIGINT"
+_NEG = "count(*) FILTER (label=0)"
 
 
 @query("class_distribution", "SELECT split, label, count(*) AS n FROM corpus GROUP BY ALL", "corpus")
@@ -407,59 +407,59 @@ def class_weight(spark, sf):
 
 @query(
     "overview",
-    f"SELECT coalesce(split,'total') AS split, count(*) AS n, {_POS} AS pos, (count(*)-sum(label))::BIGINT AS neg, "
-    f"{pct('sum(label)','count(*)',3)} AS pct, count(DISTINCT source) AS sources FROM corpus GROUP BY ROLLUP(split)",
-    "corpus",
+    f"SELECT coalesce(split,'total') AS split, count(*) AS n, {_POS} AS pos, {_NEG} AS neg, "
+    f"{pct('coalesce(sum(label),0)','count(label)',3)} AS pct, count(DISTINCT source) AS sources FROM corpus_all GROUP BY ROLLUP(split)",
+    "corpus_all",
 )
 def overview(spark, sf):
-    return P.overview(V.corpus(spark, sf))
+    return P.overview(V.corpus_all(spark, sf))
 
 
 @query(
     "dominant_share",
     f"""SELECT {pct(f'count(*) FILTER ({IN_DOMINANT})','count(*)')} AS rows_pct, {pct(f'coalesce(sum(label) FILTER ({IN_DOMINANT}),0)','sum(label)',1)} AS pos_pct,
       count(*) FILTER (NOT {IN_DOMINANT}) AS n_outside, coalesce(sum(label) FILTER (NOT {IN_DOMINANT}),0)::BIGINT AS pos_outside,
-      count(DISTINCT CASE WHEN NOT {IN_DOMINANT} THEN source END) AS sources_outside FROM corpus""",
-    "corpus",
+      count(DISTINCT CASE WHEN NOT {IN_DOMINANT} THEN source END) AS sources_outside FROM corpus_all""",
+    "corpus_all",
 )
 def dominant_share(spark, sf):
-    return P.dominant_share(V.corpus(spark, sf), DOMINANT)
+    return P.dominant_share(V.corpus_all(spark, sf), DOMINANT)
 
 
-_PROFILE = f"""sp AS (SELECT source, count(*) AS n, {_POS} AS pos, {pct('sum(label)','count(*)')} AS pct, (count(*)-sum(label))::BIGINT AS neg,
-  {pct('sum(label)','greatest(sum(sum(label)) OVER (),1)')} AS pos_share FROM corpus GROUP BY source)"""
+_PROFILE = f"""sp AS (SELECT source, count(*) AS n, {_POS} AS pos, {pct('coalesce(sum(label),0)','count(label)')} AS pct, {_NEG} AS neg,
+  {pct('coalesce(sum(label),0)','greatest(sum(sum(label)) OVER (),1)')} AS pos_share FROM corpus_all GROUP BY source)"""
 
 
-@query("source_profile", "SELECT * FROM sp", "corpus", _PROFILE)
+@query("source_profile", "SELECT * FROM sp", "corpus_all", _PROFILE)
 def source_profile(spark, sf):
-    return P.source_profile(V.corpus(spark, sf))
+    return P.source_profile(V.corpus_all(spark, sf))
 
 
 @query(
     "top_rate_sources",
     r"SELECT regexp_replace(source,'^(.*?)www\.','\1') AS host, n, pos, pct FROM sp WHERE n>=5 ORDER BY pct DESC, source LIMIT 18",
-    "corpus",
+    "corpus_all",
     _PROFILE,
 )
 def top_rate_sources(spark, sf):
-    return P.top_rate_sources(V.corpus(spark, sf))
+    return P.top_rate_sources(V.corpus_all(spark, sf))
 
 
 _CROSS = (
-    f"sx AS (SELECT source, count(*) AS n_total, {_POS} AS pos_total, {pct('sum(label)','count(*)')} AS pct, "
+    f"sx AS (SELECT source, count(*) AS n_total, {_POS} AS pos_total, {pct('coalesce(sum(label),0)','count(label)')} AS pct, "
     + ", ".join(f"count(*) FILTER (split='{s}') AS n_{s}, count(*) FILTER (split='{s}' AND label=1) AS pos_{s}" for s in S.SPLITS)
     + " FROM {t} GROUP BY source)"
 )
 
 
-@query("source_by_split", "SELECT * FROM sx", "corpus", _CROSS.format(t="corpus"))
+@query("source_by_split", "SELECT * FROM sx", "corpus_all", _CROSS.format(t="corpus_all"))
 def source_by_split(spark, sf):
-    return P.source_by_split(V.corpus(spark, sf))
+    return P.source_by_split(V.corpus_all(spark, sf))
 
 
-@query("shortcut_sources", "SELECT source, n_total, pos_total, pct FROM sx WHERE n_total>=5 AND pct>=10", "corpus", _CROSS.format(t="corpus"))
+@query("shortcut_sources", "SELECT source, n_total, pos_total, pct FROM sx WHERE n_total>=5 AND pct>=10", "corpus_all", _CROSS.format(t="corpus_all"))
 def shortcut_sources(spark, sf):
-    return P.shortcut_sources(V.corpus(spark, sf))
+    return P.shortcut_sources(V.corpus_all(spark, sf))
 
 
 @query(
@@ -476,21 +476,21 @@ def sources_unseen_in_train(spark, sf):
     "outside_top_sources",
     f"""SELECT sum(n) FILTER (r>2)::BIGINT AS n_outside, {pct('sum(n) FILTER (r>2)','sum(n)',1)} AS rows_pct, sum(p) FILTER (r>2)::BIGINT AS pos_outside,
       {pct('sum(p) FILTER (r>2)','greatest(sum(p),1)',1)} AS pos_pct FROM (SELECT source, count(*) AS n, sum(label) AS p,
-      row_number() OVER (ORDER BY count(*) DESC, source) AS r FROM corpus GROUP BY source)""",
-    "corpus",
+      row_number() OVER (ORDER BY count(*) DESC, source) AS r FROM corpus_all GROUP BY source)""",
+    "corpus_all",
 )
 def outside_top_sources(spark, sf):
-    return P.outside_top_sources(V.corpus(spark, sf))
+    return P.outside_top_sources(V.corpus_all(spark, sf))
 
 
 @query(
     "shortest_texts",
     """SELECT split, chars, label, source, url, text FROM (SELECT *, length(text)::INT AS chars,
-      row_number() OVER (PARTITION BY split ORDER BY length(text), doc_id) AS r FROM corpus) WHERE r<=8""",
-    "corpus",
+      row_number() OVER (PARTITION BY split ORDER BY length(text), doc_id) AS r FROM corpus_all) WHERE r<=8""",
+    "corpus_all",
 )
 def shortest_texts(spark, sf):
-    return P.shortest_texts(V.corpus(spark, sf))
+    return P.shortest_texts(V.corpus_all(spark, sf))
 
 
 def _describe(col: str, qs: dict[str, float], extra: str = "") -> str:
@@ -501,11 +501,11 @@ def _describe(col: str, qs: dict[str, float], extra: str = "") -> str:
 @query(
     "length_describe",
     _describe("chars", {"q25": 0.25, "p50": 0.5, "q75": 0.75, "p90": 0.9}, ", round_even(avg(chars::DOUBLE),4) AS mean"),
-    "corpus",
-    "c AS (SELECT split, label, length(text) AS chars FROM corpus)",
+    "corpus_all",
+    "c AS (SELECT split, label, length(text) AS chars FROM corpus_all)",
 )
 def length_describe(spark, sf):
-    return P.length_describe(V.corpus(spark, sf))
+    return P.length_describe(V.corpus_all(spark, sf))
 
 
 def _tokens(df):
@@ -516,13 +516,13 @@ def _estimated(df):
     return df.withColumn("tokens", K.estimated_tokens(F.char_length("text"))).drop("text")
 
 
-_TOK = f"c AS (SELECT split, label, (len({TOKENS})+2)::INT AS tokens FROM corpus)"
-_ESTC = f"c AS (SELECT split, label, {EST} AS tokens FROM corpus)"
+_TOK = f"c AS (SELECT split, label, (len({TOKENS})+2)::INT AS tokens FROM corpus_all)"
+_ESTC = f"c AS (SELECT split, label, {EST} AS tokens FROM corpus_all)"
 
 
-@query("token_describe", _describe("tokens", {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}), "corpus", _TOK)
+@query("token_describe", _describe("tokens", {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}), "corpus_all", _TOK)
 def token_describe(spark, sf):
-    return P.token_describe(_tokens(V.corpus(spark, sf)))
+    return P.token_describe(_tokens(V.corpus_all(spark, sf)))
 
 
 @query(
@@ -530,28 +530,28 @@ def token_describe(spark, sf):
     f"""SELECT CASE WHEN grouping(split)=1 THEN 'all' ELSE split END AS split, label, count(*) AS n, round_even(quantile_cont(tokens::DOUBLE,0.5),4) AS med,
       round_even(quantile_cont(tokens::DOUBLE,0.75),4) AS q75, count(*) FILTER (tokens>512) AS truncated, {pct('count(*) FILTER (tokens>512)','count(*)',1)} AS pct
       FROM c GROUP BY GROUPING SETS ((split,label),())""",
-    "corpus",
+    "corpus_all",
     _ESTC,
 )
 def truncation_by_class(spark, sf):
-    return P.truncation_by_class(_estimated(V.corpus(spark, sf)))
+    return P.truncation_by_class(_estimated(V.corpus_all(spark, sf)))
 
 
 @query(
     "context_coverage",
     f"""SELECT label, lim AS "limit", count(*) AS n, count(*) FILTER (tokens<=lim) AS covered, {pct('count(*) FILTER (tokens<=lim)','count(*)',2)} AS pct
       FROM c, (VALUES (512),(1024),(2048),(4096)) t(lim) GROUP BY label, lim""",
-    "corpus",
+    "corpus_all",
     _ESTC,
 )
 def context_coverage(spark, sf):
-    return P.context_coverage(_estimated(V.corpus(spark, sf)))
+    return P.context_coverage(_estimated(V.corpus_all(spark, sf)))
 
 
 def _hist(bins: int, cell: str, extra: str) -> str:
     return f"""SELECT g.label, g.bin, coalesce(b.n,0)::BIGINT AS n, g.total, {pct('coalesce(b.n,0)','g.total')} AS pct, {extra}
       FROM (SELECT label, total, unnest(range({bins}))::INT AS bin FROM (SELECT label, count(*) AS total FROM c GROUP BY label)) g
-      LEFT JOIN (SELECT label, {cell} AS bin, count(*) AS n FROM c GROUP BY 1,2) b ON g.label=b.label AND g.bin=b.bin"""
+      LEFT JOIN (SELECT label, {cell} AS bin, count(*) AS n FROM c GROUP BY 1,2) b ON g.label IS NOT DISTINCT FROM b.label AND g.bin=b.bin"""
 
 
 _X = "log10(greatest(chars,1)::DOUBLE)"
@@ -560,31 +560,31 @@ _LOW, _WIDTH = "2.0::DOUBLE", "((4.7::DOUBLE-2.0::DOUBLE)/27)"
     "length_histogram",
     _hist(27, f"CASE WHEN {_X}=4.7::DOUBLE THEN 26 WHEN {_X}>=2 AND {_X}<4.7::DOUBLE THEN least(floor(({_X}-{_LOW})/{_WIDTH})::INT,26) END",
           f"round_even(pow(10::DOUBLE,{_LOW}+g.bin*{_WIDTH}),0)::BIGINT AS lower"),
-    "corpus",
-    "c AS (SELECT label, length(text) AS chars FROM corpus)",
+    "corpus_all",
+    "c AS (SELECT label, length(text) AS chars FROM corpus_all)",
 )
 def length_histogram(spark, sf):
-    return P.length_histogram(V.corpus(spark, sf))
+    return P.length_histogram(V.corpus_all(spark, sf))
 
 
 @query(
     "token_histogram",
     _hist(24, "(least(tokens,1535)//64)::INT", "CASE WHEN g.bin=23 THEN (g.bin*64)::VARCHAR||'+' ELSE (g.bin*64)::VARCHAR END AS range"),
-    "corpus",
+    "corpus_all",
     _ESTC,
 )
 def token_histogram(spark, sf):
-    return P.token_histogram(_estimated(V.corpus(spark, sf)))
+    return P.token_histogram(_estimated(V.corpus_all(spark, sf)))
 
 
 @query(
     "term_prevalence",
     f"""SELECT term, count(*) FILTER (m) AS docs, count(*) FILTER (m AND label=1) AS pos, {pct('count(*) FILTER (m AND label=1)','count(*) FILTER (m)',1)} AS pct_pos
-      FROM (SELECT label, term, contains(lower(text),term) AS m FROM corpus, (SELECT unnest([{','.join(f"'{t}'" for t in TERMS)}]) AS term)) GROUP BY term""",
-    "corpus",
+      FROM (SELECT label, term, contains(lower(text),term) AS m FROM corpus_all, (SELECT unnest([{','.join(f"'{t}'" for t in TERMS)}]) AS term)) GROUP BY term""",
+    "corpus_all",
 )
 def term_prevalence(spark, sf):
-    return P.term_prevalence(V.corpus(spark, sf), TERMS)
+    return P.term_prevalence(V.corpus_all(spark, sf), TERMS)
 
 
 @query(
@@ -615,18 +615,18 @@ def pattern_audit(spark, sf):
 
 @query(
     "sample_search",
-    f"""SELECT doc_id, split, source, label, url, length(text)::BIGINT AS chars, substr(text,1,320) AS excerpt FROM corpus
+    f"""SELECT doc_id, split, source, label, url, length(text)::BIGINT AS chars, substr(text,1,320) AS excerpt FROM corpus_all
       WHERE split='train' AND label=0 AND contains(lower(text),'the') ORDER BY {RANK}, doc_id LIMIT 25 OFFSET 25""",
-    "corpus",
+    "corpus_all",
 )
 def sample_search(spark, sf):
-    return P.sample_search(V.corpus(spark, sf), page=1, split="train", label=0, q="The ")
+    return P.sample_search(V.corpus_all(spark, sf), page=1, split="train", label=0, q="The ")
 
 
 @query(
     "search_total",
-    "SELECT count(*) AS total FROM corpus WHERE source='src3' AND contains(lower(text),'ing')",
-    "corpus",
+    "SELECT count(*) AS total FROM corpus_all WHERE source='src3' AND contains(lower(text),'ing')",
+    "corpus_all",
 )
 def search_total(spark, sf):
-    return P.search_total(V.corpus(spark, sf), split="all", source="src3", q="ING")
+    return P.search_total(V.corpus_all(spark, sf), split="all", source="src3", q="ING")

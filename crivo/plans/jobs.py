@@ -14,10 +14,14 @@ from crivo.session import materialise
 from crivo.sources.corpus import write_table
 
 
-def audit(df: DataFrame, min_sim: float = 0.7, spec: TfidfSpec = AUDIT) -> dict[str, DataFrame]:
-    """All result tables of the audit. The matches are computed once and shared."""
-    matches = N.near_dup_top1(df, spec)
+def audit(df: DataFrame, min_sim: float = 0.7, spec: TfidfSpec = AUDIT, medians: bool = False) -> dict[str, DataFrame]:
+    """All result tables of the audit. The matches are computed once and shared.
+
+    `medians` adds the median of every row's best similarity, at the price of comparing all pairs.
+    """
+    matches = N.near_dup_top1(df, spec, None if medians else min_sim)
     found = matches.where(F.col("sim") >= min_sim)
+    more = {"similarity_medians": N.similarity_medians(df, matches)} if medians else {}
     tokens = df.withColumn("tokens", word_token_count(F.col("text"))).drop("text")
     return {
         "overlap": L.leakage_matrix(df),
@@ -31,8 +35,8 @@ def audit(df: DataFrame, min_sim: float = 0.7, spec: TfidfSpec = AUDIT) -> dict[
         "shortest_texts": P.shortest_texts(df),
         "truncation": P.truncation_by_class(tokens),
         "near_dup_pairs": N.attach_neighbours(df, found),
-        "similarity_summary": N.similarity_summary(df, matches),
-        "similarity_medians": N.similarity_medians(df, matches),
+        "similarity_summary": N.similarity_summary(df, found),
+        **more,
     }
 
 

@@ -8,16 +8,18 @@ from pyspark.sql.types import FloatType
 
 from crivo.functions.scores import argmax2, hash_number, predict_at, sigmoid, softmax_positive
 from crivo.operators import leakage as L, metrics as M, modeling as ML, neardup as N, sampling as SA, selection as SE
-from crivo.operators import profile as P
+from crivo.operators import profile as P, ranking as R
+from crivo.operators.relational import with_row
 from crivo.operators.tfidf import AUDIT, POOL, TfidfSpec, term_counts, tfidf_weights, vocabulary
 from crivo.plans.audit_queries import DOMINANT, IN_DOMINANT, KEPT, NORMED, RANK, TOKENS, FOOTER, _foot_sql
 from crivo.plans.registry import div, head, pct, query
-from crivo.sources import views as V
+from crivo.session import materialise, scratch
+from crivo.sources import corpus as S, views as V
 
 # Small ratios: the given labels hold about six negatives per positive.
 RATIOS = {"natural": None, "1a4": 4.0, "1a2": 2.0}
 EXPOSURE = {"natural": (1, None), "1a4": (2, 4.0), "1a2": (2, 2.0)}
-THRESHOLD = 0.8
+THRESHOLD = 0.0
 MODEL = TfidfSpec(min_df=2, max_df=0.9, max_features=2_000, low=1, high=3)
 
 
@@ -235,13 +237,14 @@ def similarity_histogram(spark, sf):
     "similarity_summary",
     """SELECT query, t::DOUBLE AS threshold, count(*) FILTER (sim>=t) AS pairs, count(*) FILTER (sim>=t AND a.label=1) AS positives,
       count(*) FILTER (sim>=t AND a.label IS DISTINCT FROM b.label) AS other_label, count(*) FILTER (sim>=t AND a.source<>b.source) AS other_source
-      FROM top1 JOIN corpus_all a USING (doc_id) JOIN corpus_all b ON b.doc_id=nn_doc_id, (VALUES (0.8::DOUBLE),(0.9::DOUBLE),(0.95::DOUBLE),(0.99::DOUBLE)) v(t) GROUP BY query, t""",
+      FROM (VALUES ('dev'),('test')) g(query) CROSS JOIN (VALUES (0.8::DOUBLE),(0.9::DOUBLE),(0.95::DOUBLE),(0.99::DOUBLE)) v(t) LEFT JOIN top1 USING (query)
+      LEFT JOIN corpus_all a USING (doc_id) LEFT JOIN corpus_all b ON b.doc_id=nn_doc_id GROUP BY query, t""",
     "corpus_all",
     SIM_CTES,
 )
 def similarity_summary(spark, sf):
     c = V.corpus_all(spark, sf)
-    return N.similarity_summary(c, N.near_dup_top1(c))
+    return N.similarity_summary(c, N.near_dup_top1(c, min_sim=0.8))
 
 
 @query(
@@ -303,26 +306,31 @@ def stage_lineage(spark, sf):
     )
 
 
-# ---- metrics on a deterministic score
+# ---- metrics on the scores of a lexicon fitted to the train split
 
 
-def _score_sql(seed: str, lift: float) -> str:
-    return f"(({head('doc_id', seed, 8)} % 10007)/10007.0::DOUBLE + {lift}::DOUBLE*label)"
-
-
-def _score(seed: str, lift: float):
-    return F.pmod(hash_number(seed, F.col("doc_id"), digits=8), F.lit(10007)) / 10007.0 + lift * F.col("label")
+def _lexicon_sql(sets: str, terms: str = "TRUE") -> str:
+    """Scores sc(config, doc_id, score) of lexicons fitted on `sets` (config, doc_id, label)."""
+    return f"""sets AS ({sets}),
+    tk AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text),'[\\p{{L}}\\p{{N}}_]{{2,}}'))) AS term FROM corpus),
+    wt AS (SELECT config, term, c1+c0 AS docs, round(10000*ln(((c1+1.0::DOUBLE)/(n1+2.0::DOUBLE))/((c0+1.0::DOUBLE)/(n0+2.0::DOUBLE))))::BIGINT AS w,
+      row_number() OVER (PARTITION BY config ORDER BY c1+c0 DESC, term) AS nth
+      FROM (SELECT config, term, count(*) FILTER (label=1) AS c1, count(*) FILTER (label=0) AS c0 FROM sets JOIN tk USING (doc_id) GROUP BY ALL HAVING count(*)>=5)
+      JOIN (SELECT config, count(*) FILTER (label=1) AS n1, count(*) FILTER (label=0) AS n0 FROM sets GROUP BY config) USING (config)),
+    sc AS (SELECT config, doc_id, sum(w)::BIGINT/10000.0::DOUBLE AS score FROM tk JOIN wt USING (term) WHERE {terms} GROUP BY ALL)"""
 
 
 _SET = f"CASE WHEN {IN_DOMINANT} THEN split ELSE 'exposure' END"
-SCORED = f"s AS (SELECT doc_id, url, source, label, split, {_SET} AS eval_set, {_score_sql('score', 0.6)} AS score FROM corpus)"
+_ALL_TRAIN = "SELECT 'natural' AS config, doc_id, label FROM corpus WHERE split='train'"
+SCORED = f"{_lexicon_sql(_ALL_TRAIN)}, s AS (SELECT doc_id, url, source, label, split, {_SET} AS eval_set, coalesce(score,0::DOUBLE) AS score FROM corpus LEFT JOIN sc USING (doc_id))"
 
 
-def scored(spark, sf, seed: str = "score", lift: float = 0.6):
+def scored(spark, sf):
+    """Every labelled document with the score of a lexicon fitted to the train split."""
+    c = V.corpus(spark, sf)
+    out = ML.lexicon_scores(c, ML.lexicon(c.where("split = 'train'")))
     eval_set = F.when(F.col("source").isin(*DOMINANT), F.col("split")).otherwise("exposure")
-    return V.corpus(spark, sf).select(
-        "doc_id", "url", "source", "label", "split", eval_set.alias("eval_set"), _score(seed, lift).alias("score")
-    )
+    return out.select("doc_id", "url", "source", "label", "split", eval_set.alias("eval_set"), "score")
 
 
 def _cells(pred: str) -> str:
@@ -356,7 +364,7 @@ def _ranking(by: str) -> str:
       round_even(sum((n-pos)*(tp-pos/2.0::DOUBLE))/(any_value(total_n-total_pos)*any_value(total_pos)),6) AS roc_auc FROM pt GROUP BY {by})"""
 
 
-@query("threshold_predict", f"SELECT doc_id, label, (score>={THRESHOLD})::INT AS pred, (score-0.5>=0.5-score*0)::INT AS by_logits FROM s", "corpus", SCORED)
+@query("threshold_predict", f"SELECT doc_id, label, (score>={THRESHOLD})::INT AS pred, (score>1.0)::INT AS by_logits FROM s", "corpus", SCORED)
 def threshold_predict(spark, sf):
     return scored(spark, sf).select(
         "doc_id", "label", predict_at(F.col("score"), F.lit(THRESHOLD)).alias("pred"),
@@ -438,7 +446,7 @@ def best_threshold(spark, sf):
     return M.best_threshold(scored(spark, sf), ["eval_set"])
 
 
-_REPLICATES = 200
+_REPLICATES = 2000
 _BOOT = f"""pos AS (SELECT count(*) FILTER (label=1 AND score>={THRESHOLD}) AS a, count(*) FILTER (label=1) AS b,
       count(*) FILTER (label=1)+count(*) FILTER (label=0 AND score>={THRESHOLD}) AS c, count(*) AS n FROM e),
     dr AS (SELECT rep, (('0x'||substr(md5('42:'||rep||':'||doc_id),1,15))::BIGINT % n) AS i FROM e, (SELECT unnest(range(1,{_REPLICATES + 1})) AS rep), pos)"""
@@ -507,7 +515,23 @@ def metrics_by_source(spark, sf):
     return M.metrics_by_source(scored(spark, sf), THRESHOLD, DOMINANT)
 
 
-_MODELS = f"""md AS (SELECT 'a' AS model, eval_set, doc_id, label, score FROM s UNION ALL SELECT 'b', eval_set, doc_id, label, {_score_sql('other', 0.4)} FROM s)"""
+_SETS = f"SELECT set_name AS config, doc_id, label FROM u"
+_DEV = "cg AS (SELECT config, doc_id, label, coalesce(score,0::DOUBLE) AS score FROM (SELECT DISTINCT config FROM sets) CROSS JOIN (SELECT doc_id, label FROM corpus WHERE split='dev') LEFT JOIN sc USING (config, doc_id))"
+_TRAIN_SETS = _UNDER.format(t="tr").replace("u AS (", "tr AS (SELECT * FROM corpus WHERE split='train'), u AS (", 1)
+
+
+def _fits(spark, sf, rows=None, **limits):
+    """Every row of `rows` (dev, unless given) scored by one lexicon per training ratio: config is the ratio."""
+    c = V.corpus(spark, sf)
+    train = c.where("split = 'train'")
+    rows = c.where("split = 'dev'") if rows is None else rows(c)
+    sets = materialise(ML.training_sets(train, RATIOS), "training_sets")
+    out = None
+    for name in RATIOS:
+        fitted = ML.lexicon(ML.one_set(train, sets, name), **limits)
+        part = ML.lexicon_scores(rows, fitted).withColumn("config", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(
@@ -515,37 +539,29 @@ _MODELS = f"""md AS (SELECT 'a' AS model, eval_set, doc_id, label, score FROM s
     """SELECT model, eval_set, ap, f1, precision, recall, round_even(ap-max(ap) FILTER (eval_set='dev') OVER (PARTITION BY model),6) AS delta_ap,
       round_even(f1-max(f1) FILTER (eval_set='dev') OVER (PARTITION BY model),6) AS delta_f1 FROM mm""",
     "corpus",
-    f"""{SCORED}, {_MODELS}, {_curve('model, eval_set', 'md')}, {_ranking('model, eval_set')},
+    f"""{_TRAIN_SETS}, {_lexicon_sql(_SETS)},
+    md AS (SELECT config AS model, {_SET} AS eval_set, doc_id, label, coalesce(score,0::DOUBLE) AS score
+      FROM (SELECT DISTINCT config FROM sets) CROSS JOIN corpus LEFT JOIN sc USING (config, doc_id)),
+    {_curve('model, eval_set', 'md')}, {_ranking('model, eval_set')},
     mm AS (SELECT * FROM rk JOIN (SELECT *, {_RATES} FROM (SELECT model, eval_set, {_cells(f'score>={THRESHOLD}')} FROM md GROUP BY model, eval_set)) USING (model, eval_set))""",
 )
 def model_comparison(spark, sf):
-    a, b = scored(spark, sf).withColumn("model", F.lit("a")), scored(spark, sf, "other", 0.4).withColumn("model", F.lit("b"))
-    return SE.model_comparison(a.unionByName(b), THRESHOLD)
-
-
-_CONFIGS = f"cg AS (SELECT config, doc_id, label, split, {head('config', 'score', 1)} AS z, (({head('config||doc_id', 'score', 8)} % 10007)/10007.0::DOUBLE + 0.5::DOUBLE*label) AS score FROM corpus, (VALUES ('natural'),('1a4'),('1a2')) v(config) WHERE split='dev')"
-
-
-def _configured(spark, sf, configs):
-    dev = V.corpus(spark, sf).where("split = 'dev'").select("doc_id", "label")
-    rows = dev.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs])))
-    h = hash_number("score", F.concat("config", F.col("doc_id").cast("string")), digits=8)
-    return rows.withColumn("score", F.pmod(h, F.lit(10007)) / 10007.0 + 0.5 * F.col("label"))
+    eval_set = F.when(F.col("source").isin(*DOMINANT), F.col("split")).otherwise("exposure")
+    preds = _fits(spark, sf, lambda c: c.withColumn("eval_set", eval_set))
+    return SE.model_comparison(preds.withColumnRenamed("config", "model"), THRESHOLD)
 
 
 @query(
     "best_config",
     "SELECT *, (row_number() OVER (ORDER BY ap DESC, config='1a2', config='1a4', config)=1)::INT AS winner FROM rk",
     "corpus",
-    f"{_CONFIGS}, {_curve('config', 'cg')}, {_ranking('config')}",
+    f"{_TRAIN_SETS}, {_lexicon_sql(_SETS)}, {_DEV}, {_curve('config', 'cg')}, {_ranking('config')}",
 )
 def best_config(spark, sf):
-    return SE.best_config(_configured(spark, sf, RATIOS), ("natural", "1a4", "1a2"))
+    return SE.best_config(_fits(spark, sf), ("natural", "1a4", "1a2"))
 
 
-_GRID = f"""gr AS (SELECT split_part(config,'/',1) AS ratio, split_part(config,'/',2)::INT AS max_features, round_even({div('2*tp','2*tp+fp+fn')},6) AS dev_f1, tp, fp, fn, tn FROM (
-    SELECT config, {_cells(f'score>={THRESHOLD}')} FROM (SELECT config, label, (({head('config||doc_id', 'score', 8)} % 10007)/10007.0::DOUBLE + 0.5::DOUBLE*label) AS score
-    FROM corpus, (SELECT r||'/'||k AS config FROM (VALUES ('natural'),('1a4'),('1a2')) a(r), (VALUES (1000),(3000),(5000),(10000)) b(k)) WHERE split='dev') GROUP BY config))"""
+_SIZES = ", ".join(f"({k})" for k in ML.GRID_FEATURES)
 
 
 @query(
@@ -553,32 +569,52 @@ _GRID = f"""gr AS (SELECT split_part(config,'/',1) AS ratio, split_part(config,'
     """SELECT ratio, max_features, dev_f1, tp, fp, fn, tn, (row_number() OVER (ORDER BY dev_f1 DESC, ratio)=1)::INT AS winner FROM (
       SELECT *, row_number() OVER (PARTITION BY ratio ORDER BY dev_f1 DESC, max_features) AS r FROM gr) WHERE r=1""",
     "corpus",
-    _GRID,
+    f"""{_TRAIN_SETS}, {_lexicon_sql(_SETS)},
+    sk AS (SELECT config, k, doc_id, sum(w)::BIGINT/10000.0::DOUBLE AS score FROM tk JOIN wt USING (term), (VALUES {_SIZES}) z(k) WHERE nth<=k GROUP BY ALL),
+    gr AS (SELECT config AS ratio, k::INT AS max_features, round_even({div('2*tp','2*tp+fp+fn')},6) AS dev_f1, tp, fp, fn, tn FROM (
+      SELECT config, k, {_cells(f'score>={THRESHOLD}')} FROM (SELECT config, k, label, coalesce(score,0::DOUBLE) AS score
+        FROM (SELECT DISTINCT config FROM sets) CROSS JOIN (VALUES {_SIZES}) z(k) CROSS JOIN (SELECT doc_id, label FROM corpus WHERE split='dev')
+        LEFT JOIN sk USING (config, k, doc_id)) GROUP BY config, k))""",
 )
 def grid_winner(spark, sf):
-    configs = [f"{r}/{k}" for r in RATIOS for k in ML.GRID_FEATURES]
-    m = M.binary_metrics(_configured(spark, sf, configs), THRESHOLD, ["config"])
-    part = F.split("config", "/")
-    grid = m.select(
-        F.get(part, F.lit(0)).alias("ratio"), F.get(part, F.lit(1)).cast("int").alias("max_features"),
-        F.col("f1").alias("dev_f1"), "tp", "fp", "fn", "tn",
-    )
+    grid = None
+    for k in ML.GRID_FEATURES:
+        m = M.binary_metrics(_fits(spark, sf, max_features=k), THRESHOLD, ["config"])
+        part = m.select(F.col("config").alias("ratio"), F.lit(k).alias("max_features"), F.col("f1").alias("dev_f1"), "tp", "fp", "fn", "tn")
+        grid = part if grid is None else grid.unionByName(part)
     return SE.grid_winner(grid)
 
 
+_PARTS = f"""SELECT p AS config, doc_id, label FROM (SELECT *, row_number() OVER (ORDER BY {_hash_order(42)}) AS r, count(*) OVER () AS n FROM corpus WHERE split='train'),
+  (VALUES (1),(2),(3)) v(p) WHERE 3*r<=p*n"""
+
+
 @query(
     "learning_curve",
-    f"""SELECT epoch, eval_loss, eval_f1, (row_number() OVER (ORDER BY eval_f1 DESC, epoch)=1)::INT AS best FROM (
-      SELECT epoch, round_even(avg((score-label)*(score-label)),6) AS eval_loss, round_even({div(f'2*count(*) FILTER (label=1 AND score>={THRESHOLD})', f'count(*) FILTER (label=1)+count(*) FILTER (score>={THRESHOLD})')},6) AS eval_f1
-      FROM (SELECT epoch::DOUBLE AS epoch, label, (({head("epoch||doc_id", 'score', 8)} % 10007)/10007.0::DOUBLE + 0.5::DOUBLE*label) AS score FROM corpus, (VALUES ('1'),('2'),('3')) v(epoch) WHERE split='dev') GROUP BY epoch)""",
+    f"""SELECT config::DOUBLE AS epoch, eval_loss, eval_f1, (row_number() OVER (ORDER BY eval_f1 DESC, config)=1)::INT AS best FROM (
+      SELECT config, round_even(avg(abs(label-(score>={THRESHOLD})::INT)),6) AS eval_loss,
+        round_even({div(f'2*count(*) FILTER (label=1 AND score>={THRESHOLD})', f'count(*) FILTER (label=1)+count(*) FILTER (score>={THRESHOLD})')},6) AS eval_f1 FROM cg GROUP BY config)""",
     "corpus",
+    f"{_lexicon_sql(_PARTS)}, {_DEV}",
 )
 def learning_curve(spark, sf):
-    """Three epochs stand for three scorings of dev; each gives one evaluation entry of the log."""
-    preds = _configured(spark, sf, ["1", "2", "3"])
-    loss = preds.groupBy("config").agg(F.bround(F.avg(F.pow(F.col("score") - F.col("label"), 2)), 6).alias("eval_loss"))
-    log = M.binary_metrics(preds, THRESHOLD, ["config"]).join(loss, "config")
-    return SE.learning_curve(log.select(F.col("config").cast("double").alias("epoch"), "eval_loss", F.col("f1").alias("eval_f1")))
+    """Fits on one, two and three thirds of the train split; their dev results go through a written training state."""
+    c = V.corpus(spark, sf)
+    train, dev = c.where("split = 'train'"), c.where("split = 'dev'")
+    ranked = R.hash_rank(train.select("doc_id"), "doc_id", 42)
+    ranked = materialise(with_row(ranked, ranked.agg(F.count(F.lit(1)).alias("n"))), "ranked")
+    log = None
+    for part in (1, 2, 3):
+        rows = train.join(ranked.where(3 * F.col("rank") <= part * F.col("n")).select("doc_id"), "doc_id", "left_semi")
+        preds = ML.lexicon_scores(dev, ML.lexicon(rows)).withColumn("pred", predict_at(F.col("score"), F.lit(THRESHOLD)))
+        loss = F.bround(F.avg(F.abs(F.col("label") - F.col("pred"))), 6).alias("eval_loss")
+        m = M.binary_metrics(preds, THRESHOLD, ["split"]).join(preds.groupBy("split").agg(loss), "split")
+        row = m.select(F.lit(float(part)).alias("epoch"), F.lit(None).cast("double").alias("loss"), "eval_loss", F.col("f1").alias("eval_f1"))
+        log = row if log is None else log.unionByName(row)
+    entries = F.sort_array(F.collect_list(F.struct("epoch", "loss", "eval_loss", "eval_f1"))).alias("log_history")
+    path = scratch(spark, "training-state")
+    log.agg(F.lit("part-3").alias("best_model_checkpoint"), entries).coalesce(1).write.json(path)
+    return SE.learning_curve(S.read_training_state(spark, path))
 
 
 @query(
