@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -14,9 +15,19 @@ WORD_TOKEN = rf"[{WORD}]{{2,}}"
 # Links removed when the training text is composed: scheme, www and two shorteners.
 LINK = rf"(^|[^{WORD}])(?:https?://|www\.|bit\.ly/|t\.co/)[^{SPACE}]*"
 
-# Accented letters and their plain forms.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñý"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucny"
+
+
+def _accents() -> tuple[str, str]:
+    """Letters of the Latin blocks that decompose into one letter and marks, and these letters."""
+    pairs = []
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        plain = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain != chr(code):
+            pairs.append((chr(code), plain))
+    return "".join(a for a, _ in pairs), "".join(p for _, p in pairs)
+
+
+ACCENTED, PLAIN = _accents()
 
 # The byline that opens the footer, the credit that follows, and the section that is kept.
 FOOTER_SIGNATURE = "Redação ICL"
@@ -76,7 +87,8 @@ def ngrams(tokens: Column, low: int = 1, high: int = 3) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    """Accented Latin letters become plain ones, and combining marks go."""
+    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{Mn}+", "")
 
 
 def heavy_tokens(text: Column, stop_words: Sequence[str]) -> Column:

@@ -281,9 +281,13 @@ def token_histogram(df: DataFrame, width: int = 64, tail: int = 1472) -> DataFra
 
 
 def length_stats(df: DataFrame, column: str) -> DataFrame:
-    """n, truncated median, truncated upper quartile and max per class: the figures shown beside a histogram."""
-    q = F.percentile(column, F.array(F.lit(0.5), F.lit(0.75)))
-    return df.groupBy("label").agg(_n(), q.alias("_q"), F.max(column).cast("bigint").alias("max")).select(
+    """The figures shown beside a histogram: n, truncated median, truncated upper quartile, max, per class.
+
+    Counts per value fold first, so the percentiles see distinct values, not rows.
+    """
+    values = df.groupBy("label", F.col(column).alias("v")).agg(_n())
+    q = F.percentile("v", F.array(F.lit(0.5), F.lit(0.75)), F.col("n"))
+    return values.groupBy("label").agg(F.sum("n").alias("n"), q.alias("_q"), F.max("v").cast("bigint").alias("max")).select(
         "label",
         "n",
         F.floor(F.get("_q", F.lit(0))).alias("median"),
@@ -292,6 +296,16 @@ def length_stats(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def token_stats(df: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
+    """Truncated median of `tokens` and % of the rows over the limit, per class."""
+    values = df.groupBy("label", "tokens").agg(_n())
+    cut = F.sum(F.when(is_truncated(F.col("tokens"), limit), F.col("n")).otherwise(0))
+    q = F.percentile("tokens", F.lit(0.5), F.col("n"))
+    return values.groupBy("label").agg(F.sum("n").alias("n"), F.floor(q).alias("median"), cut.alias("truncated")).withColumn(
+        "pct", percent(F.col("truncated"), F.col("n"), 1)
+    )
+
+
 def term_prevalence(df: DataFrame, terms: Sequence[str] = GIVEAWAY_TERMS) -> DataFrame:
     """Documents and positives that contain each term, in one scan of the texts."""
     lowered = df.select("label", F.lower("text").alias("_t"))
@@ -371,6 +385,12 @@ def sample_search(df: DataFrame, page: int = 0, size: int = 25, **conditions) ->
     return hits.orderBy(split_rank("split"), "doc_id").offset(max(page, 0) * size).limit(size)
 
 
+def sorted_page(df: DataFrame, column: str, descending: bool = False, page: int = 0, size: int = 25) -> DataFrame:
+    """One page of the rows in the order of any column, NULL last, ties by key."""
+    order = F.desc_nulls_last(column) if descending else F.asc_nulls_last(column)
+    return df.orderBy(order, "doc_id").offset(max(page, 0) * size).limit(size)
+
+
 def search_after(df: DataFrame, last: tuple[str, int] | None, size: int = 25, **conditions) -> DataFrame:
     """The page after the row (split, doc_id): deep pages cost no more than the first."""
     hits = search_filter(df, **conditions)

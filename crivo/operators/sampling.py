@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from crivo.operators.ranking import hash_rank
 from crivo.operators.relational import with_row
+from crivo.session import materialise
+from crivo.sources.corpus import write_table
 
 NATURAL = "natural"
 
@@ -140,6 +142,27 @@ def ratio_oversample(df: DataFrame, ratio: float = 10.0, seed=42, key: str = "do
     return pos.unionByName(narrow.where("label = 0").withColumn("copy", F.lit(1)))
 
 
+def oversampled_folds(df: DataFrame, ratio: float = 10.0, folds: int = 5, seed=42, key: str = "doc_id") -> DataFrame:
+    """(fold, role, key, label, copy): per stratified fold its held-out rows once, and the others with repeated positives.
+
+    The repeats are drawn from the rows outside the fold only, so no held-out row is ever trained on.
+    """
+    assigned = materialise(stratified_folds(df, folds, seed, key), "folds")
+    out = None
+    for k in range(folds):
+        train = ratio_oversample(assigned.where(F.col("fold") != k).select(key, "label"), ratio, seed, key)
+        held = assigned.where(F.col("fold") == k).select(key, "label", F.lit(1).alias("copy"))
+        part = train.withColumn("role", F.lit("train")).unionByName(held.withColumn("role", F.lit("valid")))
+        part = part.select(F.lit(k).alias("fold"), "role", key, "label", "copy")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def write_sets(sets: DataFrame, rows: DataFrame, path: str, key: str = "doc_id", fmt: str = "parquet") -> str:
+    """Write the rows of every set, one folder per `set_name`."""
+    return write_table(sets.select("set_name", key).join(rows, key), path, fmt, partition_by=["set_name"])
+
+
 def leave_one_source_out(df: DataFrame, held_out: Sequence[str]) -> DataFrame:
     """Set sizes when each given source is held out: the rest to train on, the source to test on."""
     g = df.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("pos"))

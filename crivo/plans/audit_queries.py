@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from crivo.functions import text as X, tokens as K, urls as U
 from crivo.functions.scores import l2_normalize
 from crivo.operators import leakage as L, profile as P
 from crivo.plans.registry import pct, query
-from crivo.session import shared_dir
+from crivo.session import scratch
 from crivo.sources import corpus as S, views as V
 
 DOMINANT = tuple(f"src{i}" for i in range(10))
@@ -22,9 +20,10 @@ PATTERNS = {"licence": r"(Licensed|licensed) under", "mail": r"[a-z0-9.]+@[a-z]+
 FOOTER = X.footer_pattern("Licensed", "Version", "The")
 SPAM = {"prefixes": ("m.", "blog."), "hosts": ("free-bets.example.com",)}
 
-WS = rf"[{X.SPACE}]"
+# The SQL states its patterns itself, so that a wrong one in the library shows.
+WS = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
 NORM = f"trim(regexp_replace(text,'{WS}+',' ','g'))"
-TOKENS = f"regexp_extract_all(lower(text),'{X.WORD_TOKEN}')"
+TOKENS = r"regexp_extract_all(lower(text),'[\p{L}\p{N}_]{2,}')"
 EST = "floor(length(text)/4.0::DOUBLE+2)::INT"
 RANK = "CASE split WHEN 'train' THEN 0 WHEN 'dev' THEN 1 ELSE 2 END"
 NORMED = f"h AS (SELECT doc_id, split, label, source, md5({NORM}) AS hash, {RANK} AS rk FROM corpus_all)"
@@ -45,12 +44,18 @@ KEPT = (
     "corpus_all",
 )
 def corpus_load(spark, sf):
-    return V.corpus_all(spark, sf).select("doc_id", "url", F.md5("text").alias("text_md5"), "label", "source", "split")
+    """The documents, written as one csv folder per split and read back through the reader."""
+    c = V.corpus_all(spark, sf)
+    raw = c.select("doc_id", "url", F.col("text").alias("processed_text"), "label", F.col("source").alias("portal"), "split")
+    base = scratch(spark, "corpus")
+    paths = {s: S.write_table(raw.where(F.col("split") == s).drop("split"), f"{base}/{s}", "csv") for s in S.SPLITS}
+    back = S.read_corpus(spark, paths, key="doc_id")
+    return back.select("doc_id", "url", F.md5("text").alias("text_md5"), "label", "source", "split")
 
 
 @query("sink_roundtrip", "SELECT split, label, count(*) AS n, sum(length(text))::BIGINT AS chars FROM corpus_all GROUP BY ALL", "corpus_all")
 def sink_roundtrip(spark, sf):
-    path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    path = scratch(spark, "sink")
     df = V.corpus_all(spark, sf)
     S.write_table(df, path, partition_by=["split"])
     back = spark.read.schema(df.schema).parquet(path)
@@ -89,7 +94,7 @@ def content_hashes(spark, sf):
     )
 
 
-_W = X.WORD
+_W = r"\p{L}\p{N}_"
 _G = rf"{WS}*"
 def _foot_sql(expr: str) -> str:
     """The footer rule without lookahead: keep the later section if there is one, else cut to the end."""
@@ -110,7 +115,7 @@ def strip_footer(spark, sf):
     )
 
 
-LINK_SQL = X.LINK
+LINK_SQL = r"(^|[^\p{L}\p{N}_])(?:https?://|www\.|bit\.ly/|t\.co/)[^\t-\r\x1c-\x1f\x85\p{Z}]*"
 @query(
     "compose_text",
     rf"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(concat_ws(' ', source||' www.'||source||'.org/x', text),'{LINK_SQL}','\1','g'),'{WS}+',' ','g'))) AS text_md5 FROM documents",
@@ -126,7 +131,7 @@ _STOP_SQL = ",".join(f"'{s}'" for s in STOPS)
     f"""SELECT doc_id, count(term) AS tokens, md5(coalesce(string_agg(term,' ' ORDER BY pos),'')) AS text_md5 FROM (
       SELECT d.doc_id, t.pos, CASE WHEN t.term IN ({_STOP_SQL}) THEN NULL ELSE t.term END AS term FROM documents d LEFT JOIN (
         SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks,1) AS pos FROM (
-          SELECT doc_id, regexp_extract_all(translate(lower(text),'{X.ACCENTED}','{X.PLAIN}'),'{X.WORD_TOKEN}') AS toks FROM documents)) t
+          SELECT doc_id, regexp_extract_all(strip_accents(lower(text)),'[{_W}]{{2,}}') AS toks FROM documents)) t
       USING (doc_id)) GROUP BY doc_id""",
 )
 def heavy_normalize(spark, sf):
@@ -216,8 +221,9 @@ def embedding_normalize(spark, sf):
 # ---- urls
 
 _URL = rf"regexp_replace(regexp_replace(url,'^{WS}+|{WS}+$','','g'),'[\t\r\n]','','g')"
-HOST = f"lower(regexp_extract({_URL},'{U.URL_PARTS}',1))"
-PATH = f"regexp_extract({_URL},'{U.URL_PARTS}',2)"
+_PARTS = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)"
+HOST = f"lower(regexp_extract({_URL},'{_PARTS}',1))"
+PATH = f"regexp_extract({_URL},'{_PARTS}',2)"
 CANON = rf"regexp_replace({HOST},'^www\.','')||lower(regexp_replace({PATH},'/+$',''))"
 CANON_AGG = rf"regexp_replace({HOST},'^www\.','')||regexp_replace(lower(regexp_replace({PATH},'/+$','')),'-[0-9]{{1,2}}$','')"
 
