@@ -16,7 +16,9 @@ SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]+"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-COMMON_WORDS = 32
+COMMON_WORDS = 24
+#: Words rarer than this in a language are not common, so at most 2000 of each language are put in order.
+WORD_SHARE = 0.0005
 #: A language has a reference of its own from this share of the documents on, so there are 1000 references at most.
 REFERENCE_SHARE = 0.001
 MAX_CLASS_DIVERGENCE = 0.10
@@ -70,16 +72,17 @@ def repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.expr(covered).cast("long")).drop("windows", "ordered", "at")
 
 
-def references(docs: DataFrame, common_words: int = COMMON_WORDS, share: float = REFERENCE_SHARE) -> DataFrame:
+def references(docs: DataFrame, common_words: int = COMMON_WORDS, share: float = REFERENCE_SHARE, word_share: float = WORD_SHARE) -> DataFrame:
     """One row per language with a reference, and one with a null `lang` over all documents.
 
-    class_share: the shares of the character classes; common: the most common words, ties in word order; word_share:
-    their shares of all words and, last, that of every other word.
+    class_share: the shares of the character classes; common: the most common words, ties in word order, if they have
+    `word_share` of the language's words (over all documents: if they have it in some language); word_share: their shares of all
+    words and, last, that of every other word.
     """
     texts = class_counts(_texts(docs, F.col("lang").cast("string").alias("lang")))
     counts = texts.select("lang", *[F.col("classes")[i].alias(f"c{i}") for i in range(len(CLASSES) + 1)])
     sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(len(CLASSES) + 1)]
-    classes = counts.groupBy("lang").agg(F.count("*").alias("n_docs"), *sums)
+    classes = materialise(counts.groupBy("lang").agg(F.count("*").alias("n_docs"), *sums), "class-counts")
     words = _texts(docs, F.col("lang").cast("string").alias("lang")).select("lang", F.explode(_words()).alias("word"))
     words = materialise(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
 
@@ -88,11 +91,17 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS, share: float =
     enough = classes.where("lang IS NOT NULL").where(F.col("n_docs") >= F.lit(share) * total.scalar())
     all_classes = classes.groupBy().agg(F.sum("n_docs").alias("n_docs"), *sums).select(every, "n_docs", *[f"c{i}" for i in range(len(CLASSES) + 1)])
     classes = enough.union(all_classes)
-    all_words = words.groupBy("word").agg(F.sum("n").alias("n")).select(every, "word", "n")
-    words = words.where("lang IS NOT NULL").union(all_words)
-    top = words.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= common_words)
+    totals = words.groupBy("lang").agg(F.sum("n").alias("n_words"))
+    known = words.join(F.broadcast(enough.select("lang")), "lang", "left_semi")  # 1000 languages at most
+    frequent = known.join(totals, "lang").where(F.col("n") >= F.lit(word_share) * F.col("n_words"))
+    frequent = materialise(frequent.select("lang", "word", "n"), "frequent-words")
+    # over all documents: the counts of words that are frequent in some language
+    some = frequent.select("word").distinct()
+    all_words = words.join(F.broadcast(some), "word").groupBy("word").agg(F.sum("n").alias("n")).select(every, "word", "n")
+    ranked = frequent.union(all_words)
+    top = ranked.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= common_words)
     top = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
-    sizes = words.groupBy("lang").agg(F.sum("n").alias("n_words"))
+    sizes = totals.where("lang IS NOT NULL").union(totals.groupBy().agg(F.sum("n_words").alias("n_words")).select(every, "n_words"))
 
     chars = "+".join(f"c{i}" for i in range(len(CLASSES) + 1))
     out = classes.withColumn("lang_key", F.coalesce("lang", F.lit(""))).withColumn("any", F.col("lang").isNull())
@@ -155,5 +164,6 @@ def quality(
         f"(length(text) < {min_class_chars} OR class_divergence <= {max_class_divergence}D) AND "
         f"(n_words < {min_common_words} OR word_divergence <= {max_word_divergence}D)"
     )
-    kept = (~F.col("base_failed")) & close
+    # A filter on the verdict must not be pushed below the steps above: it would repeat them inside each other.
+    kept = (~F.col("base_failed")) & close & (F.monotonically_increasing_id() >= 0)
     return df.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_divergence", "word_divergence", kept.alias("kept"))
