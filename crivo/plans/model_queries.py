@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
-from pyspark.sql.types import FloatType
+from pyspark.sql.types import DoubleType
 
 from crivo.functions.scores import argmax2, hash_number, predict_at, sigmoid, softmax_positive
 from crivo.operators import leakage as L, metrics as M, modeling as ML, neardup as N, sampling as SA, selection as SE
@@ -20,7 +20,7 @@ from crivo.sources import corpus as S, views as V
 RATIOS = {"natural": None, "1a4": 4.0, "1a2": 2.0}
 EXPOSURE = {"natural": (1, None), "1a4": (2, 4.0), "1a2": (2, 2.0)}
 THRESHOLD = 0.0
-MODEL = TfidfSpec(min_df=2, max_df=0.9, max_features=2_000, low=1, high=3)
+MODEL = TfidfSpec(min_df=2, max_df=0.9, max_features=20_000, low=1, high=3)
 
 
 # ---- sampling
@@ -32,9 +32,9 @@ def _hash_order(seed) -> str:
     return f"md5('{seed}:'||doc_id), doc_id"
 
 
-@query("domain_partition", "SELECT domain, split, label, count(*) AS n FROM d GROUP BY ALL", "corpus", _DOM)
+@query("domain_partition", "SELECT domain, split, label, count(*) AS n FROM d GROUP BY ALL", "corpus_all", _DOM.replace("FROM corpus)", "FROM corpus_all)"))
 def domain_partition(spark, sf):
-    d = SA.domain_partition(V.corpus(spark, sf), DOMINANT)
+    d = SA.domain_partition(V.corpus_all(spark, sf), DOMINANT)
     return d.groupBy("domain", "split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -132,12 +132,12 @@ def ratio_oversample(spark, sf):
 
 @query(
     "leave_one_source_out",
-    """SELECT held_out, CASE WHEN source=held_out THEN 'test' ELSE 'train' END AS role, count(*) AS n, sum(label)::BIGINT AS pos
-      FROM corpus, (VALUES ('src0'),('src3')) h(held_out) GROUP BY ALL""",
-    "corpus",
+    """SELECT held_out, CASE WHEN source=held_out THEN 'test' ELSE 'train' END AS role, count(*) AS n, count(*) FILTER (label=1) AS pos
+      FROM corpus_all, (VALUES ('src0'),('src3')) h(held_out) GROUP BY ALL""",
+    "corpus_all",
 )
 def leave_one_source_out(spark, sf):
-    return SA.leave_one_source_out(V.corpus(spark, sf), ["src0", "src3"])
+    return SA.leave_one_source_out(V.corpus_all(spark, sf), ["src0", "src3"])
 
 
 # ---- tf-idf and similarity
@@ -262,13 +262,13 @@ def similarity_medians(spark, sf):
     "pool_max_similarity",
     """SELECT (SELECT count(*) FROM pool) AS pool_rows, round_even(max(s),4) AS max_sim FROM (SELECT round(sum(q.w*r.w),9) AS s
       FROM w q JOIN w r USING (term) WHERE q.split='pool' AND r.split='train' GROUP BY q.doc_id, r.doc_id)""",
-    "corpus",
-    f"""{_DOM}, tr AS (SELECT doc_id, text, 'train' AS split FROM d WHERE domain='in' AND split='train'), pool AS (SELECT doc_id, text, 'pool' AS split FROM d WHERE domain='pool'),
+    "corpus_all",
+    f"""{_DOM.replace("FROM corpus)", "FROM corpus_all)")}, tr AS (SELECT doc_id, text, 'train' AS split FROM d WHERE domain='in' AND split='train'), pool AS (SELECT doc_id, text, 'pool' AS split FROM d WHERE domain='pool'),
     both_sides AS (SELECT * FROM tr UNION ALL SELECT * FROM pool), """ + tfidf_ctes("tr", "both_sides", 1, 1.0, 20_000),
 )
 def pool_max_similarity(spark, sf):
-    inside, pool = _domain(spark, sf)
-    return N.pool_max_similarity(inside.where("split = 'train'"), pool, POOL)
+    d = SA.domain_partition(V.corpus_all(spark, sf), DOMINANT)
+    return N.pool_max_similarity(d.where("domain = 'in' AND split = 'train'"), d.where("domain = 'pool'"), POOL)
 
 
 @query(
@@ -644,7 +644,7 @@ def _splits(spark, sf):
 @query("svm_scores")
 def svm_scores(spark, sf):
     train, dev, test = _splits(spark, sf)
-    return ML.svm_scores(train, dev.unionByName(test), MODEL, max_iter=20)
+    return ML.svm_scores(train, dev.unionByName(test), MODEL)
 
 
 @query("top_coefficients")
@@ -653,21 +653,21 @@ def top_coefficients(spark, sf):
     vec = ML.fit_vectorizer(train, MODEL)
     rows = vec.transform(train).select("label", "features")
     n = train.count()
-    model = ML.svm(n, 0.1, 20).fit(ML.pack(rows, n))
+    model = ML.svm(n, 0.1).fit(ML.pack(rows, n))
     return ML.top_coefficients(model, vec, spark, 30, P.source_terms(V.corpus_all(spark, sf)).select("term", "source"))
 
 
 @query("ratio_sweep")
 def ratio_sweep(spark, sf):
     train, dev, _ = _splits(spark, sf)
-    return SE.best_config(ML.ratio_sweep(train, dev, RATIOS, MODEL, max_iter=10), tuple(RATIOS))
+    return SE.best_config(ML.ratio_sweep(train, dev, RATIOS, MODEL), tuple(RATIOS))
 
 
 @query("grid_search")
 def grid_search(spark, sf):
+    """One ratio and two feature counts, but every C and fold of the experiment: 60 fits and 2 refits."""
     train, dev, _ = _splits(spark, sf)
-    ratios = {"natural": None, "1a2": 2.0}
-    grid, _ = ML.grid_search(train, dev, ratios, (500, 2_000), (0.5, 5.0), 2, MODEL, max_iter=5)
+    grid, _ = ML.grid_search(train, dev, {"1a2": 2.0}, ML.GRID_FEATURES[:2], spec=MODEL)
     return SE.grid_winner(grid)
 
 
@@ -676,36 +676,44 @@ def final_eval(spark, sf):
     inside, pool = _domain(spark, sf)
     exposure = SA.exposure_sets(pool, inside.where("split = 'train'"), EXPOSURE).where("set_name = '1a4'")
     sets = {"test": inside.where("split = 'test'"), "exposure": pool.join(exposure.select("doc_id"), "doc_id", "left_semi")}
-    return ML.final_eval(inside.where("split = 'train'"), sets, MODEL, 2.0, max_iter=20)
+    return ML.final_eval(inside.where("split = 'train'"), sets, MODEL, 2.0)
 
 
 @query("weighted_logreg")
 def weighted_logreg(spark, sf):
     train, dev, _ = _splits(spark, sf)
-    return ML.weighted_logreg(train, dev, MODEL, max_iter=20)
+    return ML.weighted_logreg(train, dev, MODEL)
 
 
 @query("embedding_probe")
 def embedding_probe(spark, sf):
     v = V.vectors(spark, sf)
-    return ML.embedding_probe(v.where("split = 'train'"), v.where("split <> 'train'"), (0.5, 5.0), 3, max_iter=10)
+    return ML.embedding_probe(v.where("split = 'train'"), v.where("split <> 'train'"))
+
+
+_PROMPT_WORDS = r"regexp_extract_all('query: '||text,'[^\t-\r\x1c-\x1f\x85\p{Z}]+')"
 
 
-@query("batch_predict")
+@query(
+    "batch_predict",
+    f"SELECT doc_id, round_even(len(list_distinct({_PROMPT_WORDS}))::DOUBLE/len({_PROMPT_WORDS}),5) AS prediction FROM documents",
+)
 def batch_predict(spark, sf):
-    """A stand-in encoder: any model that maps a batch of strings to numbers takes its place."""
+    """The share of distinct words stands in for an encoder: any model that maps a batch of strings to numbers fits."""
 
     def make():
         def predict(texts: np.ndarray) -> np.ndarray:
-            return np.array([len(set(t.split())) / max(len(t.split()), 1) for t in texts], dtype=np.float32)
+            words = [t.split() for t in texts]
+            return np.fromiter((len(set(w)) / max(len(w), 1) for w in words), float, len(words))
 
         return predict
 
-    c = V.corpus(spark, sf).select("doc_id", F.concat(F.lit(ML.QUERY_PREFIX), "text").alias("prompt"))
-    return ML.batch_predict(c, make, [F.col("prompt")], FloatType()).drop("prompt")
+    c = V.table(spark, sf, "documents").select("doc_id", F.concat(F.lit(ML.QUERY_PREFIX), "text").alias("prompt"))
+    out = ML.batch_predict(c, make, [F.col("prompt")], DoubleType())
+    return out.select("doc_id", F.bround("prediction", 5).alias("prediction"))
 
 
 @query("seed_variance")
 def seed_variance(spark, sf):
     train, dev, _ = _splits(spark, sf)
-    return ML.seed_variance(train, dev, 2.0, (42, 43, 44), MODEL, max_iter=5)
+    return ML.seed_variance(train, dev, 2.0, (42, 43, 44), MODEL)
