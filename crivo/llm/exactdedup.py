@@ -25,6 +25,8 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    # no disk set aside ahead of use: there may be many small partitions
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
