@@ -3,8 +3,8 @@
 A text's profile is the set of its byte n-grams of lengths 1 to 3 (blended spectrum, presence only), hashed to a fixed
 number of cells; two texts' kernel is the number of cells they share, divided by the geometric mean of their sizes.
 Landmark texts give the Nystroem features K(x, L) (K(L, L) + e)^-1/2, on which one ridge regression per language (1 for its own texts,
--1 for others) is solved in closed form. The fit uses a bounded sample, chosen by hash, of `per_language` texts for
-each of the languages; scoring takes whole texts, a batch of profiles times the landmark matrix.
+-1 for others) is solved in closed form. The fit uses a bounded sample, chosen by hash: at most
+`rows` texts, the same number for each language; scoring takes whole texts, a batch of profiles times the landmark matrix.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from crivo.session import ship
 
 CELLS = 1 << 14
-PER_LANGUAGE = 400
+SAMPLE = 2000
 MAX_LANGUAGES = 400
+LEARN_CHARS = 20_000
 LANDMARKS = 96
 RIDGE = 1e-3
 UNDETERMINED = "und"
@@ -69,9 +70,10 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     languages = sorted(set(langs))
     x = profiles(texts)
     turn: dict[str, int] = {}
-    order = [turn.setdefault(lang, 0) or turn[lang] for lang in langs]
-    for i, lang in enumerate(langs):
-        order[i] = turn[lang] = turn[lang] + 1
+    order = []
+    for lang in langs:
+        turn[lang] = turn.get(lang, 0) + 1
+        order.append(turn[lang])
     chosen = np.argsort(order, kind="stable")[: max(landmarks, len(languages))]
     marks = x[chosen]
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
@@ -91,24 +93,25 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     return Model(languages, marks, weights.astype(np.float32), offset.astype(np.float32))
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> DataFrame:
-    """At most `per_language` texts with a letter for each of the `max_languages` most frequent languages.
+def sample(docs: DataFrame, rows: int = SAMPLE, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+    """At most `rows` texts, the same number for each of the `max_languages` most frequent languages.
 
-    Texts over 100,000 characters are not learned from. Rows are chosen and ordered by the hash of their text.
+    Texts over LEARN_CHARS characters are not learned from. Rows are chosen and ordered by the hash of their text.
     """
-    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = rows.where("lang IS NOT NULL AND length(text) BETWEEN 1 AND 100000").withColumn("h", F.xxhash64("text"))
-    keys = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
-    small = rows.select("lang", "h").distinct().join(F.broadcast(keys), "lang")
-    small = small.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language)
-    rows = rows.join(F.broadcast(small.select("lang", "h")), ["lang", "h"]).dropDuplicates(["lang", "h"])
-    return rows.orderBy("h", "lang").select("lang", "text")
+    usable = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    usable = usable.where(f"lang IS NOT NULL AND length(text) BETWEEN 1 AND {LEARN_CHARS}").withColumn("h", F.xxhash64("text"))
+    keys = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
+    each = max(1, rows // max(1, keys.count()))
+    small = usable.select("lang", "h").join(F.broadcast(keys), "lang").distinct()
+    small = small.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= each)
+    chosen = usable.join(F.broadcast(small.select("lang", "h")), ["lang", "h"]).dropDuplicates(["lang", "h"])
+    return chosen.orderBy("h", "lang").select("lang", "text")
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+def learn(docs: DataFrame, rows: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """Fit on the bounded sample of `docs` (text, lang); None if no row can be learned from."""
-    rows = [(r["text"], r["lang"]) for r in sample(docs, per_language).toLocalIterator() if _LETTER.search(r["text"])]
-    return fit([t for t, _ in rows], [g for _, g in rows], landmarks, ridge) if rows else None
+    got = [(r["text"], r["lang"]) for r in sample(docs, rows).toLocalIterator() if _LETTER.search(r["text"])]
+    return fit([t for t, _ in got], [g for _, g in got], landmarks, ridge) if got else None
 
 
 def predict(docs: DataFrame, model: Model | None, batch_rows: int = 256) -> DataFrame:
