@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from crivo.operators.ranking import hash_rank
+from crivo.operators.ranking import hash_rank, seeded_hash
 from crivo.operators.relational import with_row
 from crivo.session import materialise
 from crivo.sources.corpus import write_table
@@ -22,10 +22,11 @@ def domain_partition(df: DataFrame, dominant: Sequence[str]) -> DataFrame:
 def capped_positive_sample(df: DataFrame, cap: int, seed=42) -> DataFrame:
     """Up to `cap` positives per source, adding `pick`; a smaller cap gives a subset. A NULL source is one source.
 
-    Ranked bucket by bucket, so that a hot source does not pile up in one task whatever the cap.
+    Spark keeps `cap` rows per source in each task before the shuffle, so a hot source does not pile up; it does so for caps
+    up to spark.sql.optimizer.windowGroupLimitThreshold, which is 1000 unless set higher.
     """
-    ranked = hash_rank(df.where("label = 1"), "doc_id", seed, by=["source"], out="pick")
-    return ranked.where(F.col("pick") <= cap).withColumn("pick", F.col("pick").cast("int"))
+    w = Window.partitionBy("source").orderBy(seeded_hash(seed, "doc_id"), "doc_id")
+    return df.where("label = 1").withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= cap)
 
 
 def ratio_undersample(df: DataFrame, ratios: Mapping[str, float | None], seed=42, key: str = "doc_id") -> DataFrame:
