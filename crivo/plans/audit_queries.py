@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crivo.functions import text as X, tokens as K, urls as U
+from crivo.functions import text as X, tokens as K
 from crivo.functions.scores import l2_normalize
 from crivo.operators import leakage as L, profile as P
 from crivo.plans.registry import pct, query

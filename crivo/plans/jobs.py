@@ -42,13 +42,20 @@ def audit(df: DataFrame, min_sim: float = 0.7, spec: TfidfSpec = AUDIT, medians:
 
 def curate(df: DataFrame, threshold: float = 0.9, pattern: str | None = None, spec: TfidfSpec = AUDIT):
     """(curated table, stage counts): exact copies, near-duplicates of the test split, footers."""
-    dedup = L.exact_dedup(df)
-    filtered = N.near_dup_filter(dedup, N.near_dup_top1(dedup, spec, threshold), threshold)
-    cleaned = L.clean_footer(filtered, pattern).drop("changed")
-    stages = [("raw", df), ("exact dedup", dedup), ("near-duplicate filter", filtered), ("footer cleaning", cleaned)]
+    first = stage_rows(L.exact_dedup(df), "after-exact")
+    dedup = df.join(first.select("doc_id"), "doc_id", "left_semi")
+    second = stage_rows(N.near_dup_filter(dedup, N.near_dup_top1(dedup, spec, threshold), threshold), "after-near")
+    cleaned = L.clean_footer(df.join(second.select("doc_id"), "doc_id", "left_semi"), pattern).drop("changed")
+    # Cleaning changes texts, not rows.
+    stages = [("raw", df), ("exact dedup", first), ("near-duplicate filter", second), ("footer cleaning", second)]
     return cleaned, L.stage_lineage(stages)
 
 
+def stage_rows(df: DataFrame, name: str) -> DataFrame:
+    """The rows a stage left, without their texts, written once: later stages and the counts read them from there."""
+    return materialise(df.select("doc_id", "split", "label"), name)
+
+
 def write_reports(tables: Mapping[str, DataFrame], base: str, fmt: str = "csv") -> dict[str, str]:
     return {name: write_table(t, f"{base.rstrip('/')}/{name}", fmt) for name, t in tables.items()}
 

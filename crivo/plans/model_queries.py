@@ -6,13 +6,14 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from crivo.functions.scores import argmax2, hash_number, predict_at, sigmoid, softmax_positive
+from crivo.functions.scores import argmax2, predict_at, sigmoid, softmax_positive
 from crivo.operators import leakage as L, metrics as M, modeling as ML, neardup as N, sampling as SA, selection as SE
 from crivo.operators import profile as P, ranking as R
 from crivo.operators.relational import with_row
 from crivo.operators.tfidf import AUDIT, POOL, TfidfSpec, term_counts, tfidf_weights, vocabulary
-from crivo.plans.audit_queries import DOMINANT, IN_DOMINANT, KEPT, NORMED, RANK, TOKENS, FOOTER, _foot_sql
-from crivo.plans.registry import div, head, pct, query
+from crivo.plans.audit_queries import DOMINANT, IN_DOMINANT, KEPT, NORMED, TOKENS, FOOTER
+from crivo.plans.jobs import curate
+from crivo.plans.registry import div, pct, query
 from crivo.session import materialise, scratch
 from crivo.sources import corpus as S, views as V
 
@@ -297,13 +298,7 @@ def embedding_top1(spark, sf):
       UNION ALL SELECT 2, 'near-duplicate filter', split, label FROM nd UNION ALL SELECT 3, 'footer cleaning', split, label FROM nd)""",
 )
 def stage_lineage(spark, sf):
-    raw = V.corpus_all(spark, sf)
-    dedup = L.exact_dedup(raw)
-    filtered = N.near_dup_filter(dedup, N.near_dup_top1(dedup, min_sim=0.9))
-    cleaned = L.clean_footer(filtered, FOOTER)
-    return L.stage_lineage(
-        [("raw", raw), ("exact dedup", dedup), ("near-duplicate filter", filtered), ("footer cleaning", cleaned)]
-    )
+    return curate(V.corpus_all(spark, sf), 0.9, FOOTER)[1]
 
 
 # ---- metrics on the scores of a lexicon fitted to the train split
