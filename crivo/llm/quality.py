@@ -16,7 +16,7 @@ SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]+"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-COMMON_WORDS = 24
+COMMON_WORDS = 16
 #: Words rarer than this in a language are not common, so at most 2000 of each language are put in order.
 WORD_SHARE = 0.0005
 #: A language has a reference of its own from this share of the documents on, so there are 1000 references at most.
@@ -26,8 +26,9 @@ MAX_WORD_DIVERGENCE = 0.20
 MIN_CLASS_CHARS = 200
 MIN_COMMON_WORDS = 100
 
-#: Character classes in the order they are taken off the text; what is left over is the seventh.
-CLASSES = ("[a-z]+", f"{SPACE}+", "[A-Z]+", "\\p{L}+", "\\p{N}+", "[.,;:!?'\"()-]+")
+#: Character classes in the order they are taken off a text without white space; what is left over is the last class.
+CLASSES = ("[a-z]+", "[A-Z]+", "\\p{L}+", "\\p{N}+", "[.,;:!?'\"()-]+")
+N_CLASSES = len(CLASSES) + 2  # and white space, and the rest
 
 
 def _texts(docs: DataFrame, *columns: str) -> DataFrame:
@@ -40,13 +41,17 @@ def _words() -> Column:
 
 
 def class_counts(df: DataFrame) -> DataFrame:
-    """Add `classes`, the character counts of `text` by class. Each pass works on what the last one left over."""
-    df = df.withColumn("rest0", F.col("text"))
+    """Add `classes`, the character counts of `text` by class, and `n_symbols`, from `bare`, the text without white space.
+
+    Each pass works on what the last one left over, so only the first one sees the whole text.
+    """
+    df = df.withColumn("rest0", F.col("bare"))
     for i, pattern in enumerate(CLASSES):
         df = df.withColumn(f"rest{i + 1}", F.regexp_replace(f"rest{i}", pattern, ""))
     sizes = [F.length(f"rest{i}") for i in range(len(CLASSES) + 1)]
-    counts = [a - b for a, b in zip(sizes, sizes[1:])] + [sizes[-1]]
+    counts = [F.length("text") - F.length("bare"), *(a - b for a, b in zip(sizes, sizes[1:])), sizes[-1]]
     df = df.withColumn("classes", F.array(*[c.cast("long") for c in counts]))
+    df = df.withColumn("n_symbols", (F.length("rest1") - F.length(F.regexp_replace("rest1", SYMBOLS, ""))).cast("long"))
     return df.drop(*[f"rest{i}" for i in range(len(CLASSES) + 1)])
 
 
@@ -79,9 +84,10 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS, share: float =
     `word_share` of the language's words (over all documents: if they have it in some language); word_share: their shares of all
     words and, last, that of every other word.
     """
-    texts = class_counts(_texts(docs, F.col("lang").cast("string").alias("lang")))
-    counts = texts.select("lang", *[F.col("classes")[i].alias(f"c{i}") for i in range(len(CLASSES) + 1)])
-    sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(len(CLASSES) + 1)]
+    texts = _texts(docs, F.col("lang").cast("string").alias("lang")).withColumn("bare", F.regexp_replace("text", f"{SPACE}+", ""))
+    texts = class_counts(texts)
+    counts = texts.select("lang", *[F.col("classes")[i].alias(f"c{i}") for i in range(N_CLASSES)])
+    sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(N_CLASSES)]
     classes = materialise(counts.groupBy("lang").agg(F.count("*").alias("n_docs"), *sums), "class-counts")
     words = _texts(docs, F.col("lang").cast("string").alias("lang")).select("lang", F.explode(_words()).alias("word"))
     words = materialise(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
@@ -89,7 +95,7 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS, share: float =
     every = F.lit(None).cast("string").alias("lang")
     total = classes.groupBy().agg(F.sum("n_docs").alias("of")).select("of")
     enough = classes.where("lang IS NOT NULL").where(F.col("n_docs") >= F.lit(share) * total.scalar())
-    all_classes = classes.groupBy().agg(F.sum("n_docs").alias("n_docs"), *sums).select(every, "n_docs", *[f"c{i}" for i in range(len(CLASSES) + 1)])
+    all_classes = classes.groupBy().agg(F.sum("n_docs").alias("n_docs"), *sums).select(every, "n_docs", *[f"c{i}" for i in range(N_CLASSES)])
     classes = enough.union(all_classes)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n_words"))
     known = words.join(F.broadcast(enough.select("lang")), "lang", "left_semi")  # 1000 languages at most
@@ -103,13 +109,13 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS, share: float =
     top = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
     sizes = totals.where("lang IS NOT NULL").union(totals.groupBy().agg(F.sum("n_words").alias("n_words")).select(every, "n_words"))
 
-    chars = "+".join(f"c{i}" for i in range(len(CLASSES) + 1))
+    chars = "+".join(f"c{i}" for i in range(N_CLASSES))
     out = classes.withColumn("lang_key", F.coalesce("lang", F.lit(""))).withColumn("any", F.col("lang").isNull())
     keyed = lambda df: df.withColumn("any", F.col("lang").isNull()).withColumn("lang_key", F.coalesce("lang", F.lit(""))).drop("lang")
     out = out.join(keyed(top), ["any", "lang_key"], "left").join(keyed(sizes), ["any", "lang_key"], "left")
     return out.select(
         "lang",
-        F.expr(f"transform(array({','.join(f'c{i}' for i in range(len(CLASSES) + 1))}), c -> c / greatest({chars}, 1))").alias("class_share"),
+        F.expr(f"transform(array({','.join(f'c{i}' for i in range(N_CLASSES))}), c -> c / greatest({chars}, 1))").alias("class_share"),
         F.expr("coalesce(top.word, cast(array() AS array<string>))").alias("common"),
         F.expr("concat(coalesce(transform(top, t -> t.n / n_words), cast(array() AS array<double>)), array(1 - coalesce(aggregate(top, 0D, (s, t) -> s + t.n / n_words), 0D)))").alias("word_share"),
     )
@@ -146,16 +152,15 @@ def quality(
     if every:
         for name in ("class_share", "common", "word_share"):
             df = df.withColumn(name, F.coalesce(name, F.array(*[F.lit(v) for v in every[name]])))
-    df = class_counts(df.withColumn("words", _words()))
-    df = df.withColumn("n_words", F.size("words").cast("long"))
-    df = df.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
-    df = df.withColumn("n_symbols", (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long"))
+    df = df.withColumn("words", _words())
+    df = df.withColumn("n_words", F.size("words").cast("long")).withColumn("bare", F.array_join("words", ""))
+    df = class_counts(df).withColumn("word_chars", F.length("bare").cast("long")).drop("bare")
     df = df.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     df = df.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
     df = repeat_words(df)
-    df = df.withColumn("used", F.filter("words", lambda w: F.array_contains("common", w)))
-    df = df.withColumn("hits", F.expr("transform(common, c -> size(filter(used, w -> w = c)))"))
-    df = df.withColumn("own_words", F.expr("transform(concat(hits, array(n_words - size(used))), h -> h / greatest(n_words, 1))"))
+    df = df.withColumn("hits", F.expr("transform(common, c -> n_words - size(array_remove(words, c)))"))
+    df = df.withColumn("other", F.expr("n_words - aggregate(hits, 0L, (s, h) -> s + h)"))
+    df = df.withColumn("own_words", F.expr("transform(concat(hits, array(other)), h -> h / greatest(n_words, 1))"))
     df = df.withColumn("own_classes", F.expr("transform(classes, c -> c / greatest(length(text), 1))"))
     df = df.withColumn("class_divergence", divergence("own_classes", "class_share"))
     df = df.withColumn("word_divergence", divergence("own_words", "word_share"))
