@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from crivo.operators.ranking import seeded_hash
 from crivo.session import materialise
 
 MAX_BLOCKS = 2048
@@ -86,22 +87,22 @@ def mix(
     Returns the rows in the mixture with all their columns and _block (within the source), _release, _deadline, _slot
     and _place (position in the block). Reading by _slot, then _place gives the mixture. Columns of these names in
     `docs` are replaced. Without weights a source keeps its share, but at most `max_share` of the documents of one.
-    A source's documents are taken in the order of a hash bucket, their hash, then doc_id; rows that repeat a
-    doc_id are ordered by a hash of their other columns. A null source is a source of its own, and a null doc_id an identifier of its
+    A source's documents are taken in the order of md5 of `seed:doc_id`, then doc_id; rows that repeat a doc_id are ordered
+    by a hash of their other columns. A null source is a source of its own, and a null doc_id an identifier of its
     own. Texts are not looked into, so empty and long ones are alike. An empty table gives no rows.
     """
     names = docs.columns
     docs = docs.drop("_block", "_release", "_deadline", "_slot", "_place")
     names = [n for n in names if n in docs.columns]
     others = [F.col(f"`{n}`") for n in names if n != "doc_id"]
-    head = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
-    marked = docs.withColumn("_hash", head).withColumn("_tie", F.xxhash64(*others) if others else F.lit(0))
+    marked = docs.withColumn("_hash", seeded_hash(seed, "doc_id")).withColumn("_tie", F.xxhash64(*others) if others else F.lit(0))
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # null-safe
     marked = marked.withColumn("_source", key)
 
     taken = materialise(quotas(docs, weights, max_share), "quotas")
     wanted, rows = taken.agg(F.sum("quota"), F.sum("n")).first()
-    marked = marked.withColumn("_bucket", F.expr(f"pmod(shiftrightunsigned(_hash, 20), {1 + (rows or 0) // bucket_rows})"))
+    buckets = 1 + (rows or 0) // bucket_rows  # ranges of the hash, so they change no order
+    marked = marked.withColumn("_bucket", F.expr(f"(cast(conv(substr(_hash, 1, 8), 16, 10) AS bigint) * {buckets}) div {1 << 32}"))
     size = -(-(wanted or 0) // max_blocks) or 1
     sized = taken.withColumn("n_blocks", F.expr(f"(quota + {size - 1}) div {size}"))
     plan = materialise(schedule(sized.select("source", "n_blocks")), "schedule")

@@ -30,12 +30,49 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-@query("op2_near_duplicates")
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op2_near_duplicates",
+    f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (
+    SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END) AS shingle
+    FROM w
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT y, seen FROM r JOIN both_ways ON x = doc_id)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(seen) AS component_id, doc_id = min(seen) AS kept
+FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+""",
+)
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-@query("op3_warc")
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {10 * part + 1}, 10))::BIGINT >> {shift}) & 31) + 1)::INT, 1)"
+    for part in range(4)
+    for shift in range(35, -1, -5)
+)
+
+
+@query(
+    "op3_warc",
+    f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM m
+""",
+)
 def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), uri)
@@ -118,10 +155,62 @@ FROM w JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
-@query("op7_quality")
+def _js_sql(p: str, q: str) -> str:
+    half = "CASE WHEN z[{0}] > 0 THEN z[{0}] * log2(2 * z[{0}] / (z[1] + z[2])) ELSE 0 END"
+    return f"0.5 * list_sum(list_transform(list_zip({p}, {q}), lambda z: {half.format(1)} + {half.format(2)}))"
+
+
+_KEEP_SQL = f"""
+WITH base AS ({_BASE_SQL}),
+t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+k0 AS (SELECT *, regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g') AS r0, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM t),
+k1 AS (SELECT *, regexp_replace(r0, '[a-z]+', '', 'g') AS r1 FROM k0),
+k2 AS (SELECT *, regexp_replace(r1, '[A-Z]+', '', 'g') AS r2 FROM k1),
+k3 AS (SELECT *, regexp_replace(r2, '\\p{{L}}+', '', 'g') AS r3 FROM k2),
+k4 AS (SELECT *, regexp_replace(r3, '\\p{{N}}+', '', 'g') AS r4 FROM k3),
+k5 AS (SELECT *, regexp_replace(r4, '[.,;:!?''"()-]+', '', 'g') AS r5 FROM k4),
+k AS (
+    SELECT doc_id, lang, text, words, [length(text) - length(r0), length(r0) - length(r1), length(r1) - length(r2),
+        length(r2) - length(r3), length(r3) - length(r4), length(r4) - length(r5), length(r5)] AS cls FROM k5
+),
+big AS (SELECT lang FROM t GROUP BY lang HAVING lang IS NOT NULL AND count(*) >= 0.001::DOUBLE * (SELECT count(*) FROM t)),
+keyed AS (SELECT k.*, coalesce('=' || big.lang, '') AS key FROM k LEFT JOIN big ON k.lang = big.lang),
+wc AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(words) AS word FROM k) GROUP BY ALL),
+wt AS (SELECT lang, sum(n) AS total FROM wc GROUP BY lang),
+fr AS (SELECT wc.* FROM wc JOIN wt ON wc.lang = wt.lang JOIN big ON wc.lang = big.lang WHERE n >= 0.0005::DOUBLE * total),
+cand AS (
+    SELECT '=' || lang AS key, word, n FROM fr UNION ALL
+    SELECT '', word, sum(n) FROM wc WHERE word IN (SELECT word FROM fr) GROUP BY word
+),
+tops AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, word) AS nth FROM cand),
+sizes AS (SELECT '=' || lang AS key, total FROM wt WHERE lang IS NOT NULL UNION ALL SELECT '', sum(total) FROM wt),
+wr AS (SELECT key, list(word ORDER BY nth) AS common, list(n::DOUBLE / total ORDER BY nth) AS share FROM tops JOIN sizes USING (key) WHERE nth <= 16 GROUP BY key),
+cs AS (
+    SELECT key, list(n ORDER BY i) AS ns FROM (SELECT key, i, sum(c) AS n FROM (
+        SELECT key, unnest(cls) AS c, unnest(range(7)) AS i FROM keyed WHERE key <> '' UNION ALL SELECT '', unnest(cls), unnest(range(7)) FROM keyed) GROUP BY ALL) GROUP BY key
+),
+h AS (
+    SELECT doc_id, text, words, cls, list_transform(ns, lambda x: x::DOUBLE / greatest(list_sum(ns), 1)) AS ref_cls, share,
+        list_transform(common, lambda c: len(list_filter(words, lambda w: w = c))) AS hits
+    FROM keyed JOIN cs USING (key) JOIN wr USING (key)
+),
+d AS (
+    SELECT doc_id, length(text) AS chars,
+        {_js_sql('list_transform(cls, lambda x: x::DOUBLE / greatest(length(text), 1))', 'ref_cls')} AS class_divergence,
+        {_js_sql('list_transform(list_append(hits, len(words) - list_sum(hits)), lambda x: x::DOUBLE / greatest(len(words), 1))', 'list_append(share, 1 - list_sum(share))')} AS word_divergence
+    FROM h
+)
+SELECT base.*, round_even(class_divergence, 6) AS class_divergence, round_even(word_divergence, 6) AS word_divergence,
+    NOT base_failed AND (chars < 200 OR class_divergence <= 0.10) AND (n_words < 100 OR word_divergence <= 0.20) AS kept
+FROM base JOIN d USING (doc_id)
+"""
+
+
+@query("op7_quality", _KEEP_SQL)
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality(table(spark, sf_dir, "documents"))
-    return judged.select("row.doc_id", *judged.columns[1:])
+    rounded = [F.bround(c, 6).alias(c) if c.endswith("_divergence") else F.col(c) for c in judged.columns[1:]]
+    return judged.select("row.doc_id", *rounded)
 
 
 @query(
@@ -141,7 +230,32 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.deduplicate(table(spark, sf_dir, "documents")).drop("locator")
 
 
-@query("op9_mixing")
+@query(
+    "op9_mixing",
+    """
+WITH RECURSIVE q AS (
+    SELECT source, least(count(*), ceil(0.25 * (SELECT count(*) FROM documents))::BIGINT) AS quota FROM documents GROUP BY source
+),
+z AS (SELECT greatest(1, (sum(quota)::BIGINT + 2047) // 2048) AS size FROM q),
+b AS (SELECT source, (quota + size - 1) // size AS n FROM q, z),
+l AS (SELECT list(source ORDER BY source) AS names, list(n ORDER BY source) AS ns, sum(n)::BIGINT AS m FROM b),
+edf AS (
+    SELECT 0::BIGINT AS slot, list_transform(ns, lambda x: 0::BIGINT) AS done, 0::BIGINT AS pick FROM l
+    UNION ALL
+    SELECT slot + 1, list_transform(done, lambda x, i: x + (i = best)::BIGINT), best FROM (
+        SELECT slot, done, list_min(list_filter(list_transform(done, lambda x, i:
+            CASE WHEN x < ns[i] AND (x * m) // ns[i] <= slot THEN (((x + 1) * m + ns[i] - 1) // ns[i]) * 1000000 + i END), lambda x: x IS NOT NULL)) % 1000000 AS best
+        FROM edf, l WHERE slot < m)
+),
+plan AS (
+    SELECT names[pick] AS source, slot - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS block, ns[pick] AS n, m
+    FROM edf, l WHERE pick > 0
+),
+d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('0:' || doc_id), doc_id) - 1 AS nth FROM documents)
+SELECT doc_id, d.source, block, (block * m) // n AS release, ((block + 1) * m + n - 1) // n AS deadline, slot, nth % size AS place
+FROM d JOIN q USING (source) CROSS JOIN z JOIN plan ON plan.source = d.source AND plan.block = nth // size WHERE nth < quota
+""",
+)
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     names = ("block", "release", "deadline", "slot", "place")
