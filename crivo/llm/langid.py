@@ -114,7 +114,7 @@ def learn(docs: DataFrame, rows: int = SAMPLE, landmarks: int = LANDMARKS, ridge
     return fit([t for t, _ in got], [g for _, g in got], landmarks, ridge) if got else None
 
 
-def predict(docs: DataFrame, model: Model | None, batch_rows: int = 256) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, batch_rows: int = 128) -> DataFrame:
     """Add lang_pred and score to the rows of `docs` (text, ...); columns of these names are replaced.
 
     The score is the softmax of the languages' ridge outputs, 0 to 1. A text that is null or has no letter is `und` with
