@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crivo.session import materialise, ship
 
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
 SAMPLE = 10_000
 URN = "urn:crivo:page:"
@@ -189,7 +189,7 @@ def write_archives(pages: DataFrame, uri: str, shard_bytes: int = SHARD_BYTES, r
     both = both.union(revisits.select("page_id", "key", F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("string"), "refers_to"))
     both = both.withColumn("shard", shard_of(F.col("page_id").cast("string")))
     both = both.select("shard", "page_id", "key", "kind", "url", "html", "refers_to")
-    both = both.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "key", "kind", "url")
+    both = both.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "key", "kind", "url")
     store, folder = fs.FileSystem.from_uri(uri)
     store.create_dir(f"{folder}/_temporary", recursive=True)
     staged = both.mapInArrow(_write(uri, roll_bytes), _MANIFEST_SQL)
