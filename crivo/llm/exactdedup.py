@@ -17,6 +17,7 @@ from contextlib import contextmanager
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from crivo.llm.prefilter import drop_absent
 from crivo.session import materialise, scratch
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -24,7 +25,8 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
     # no disk set aside ahead of use: there may be many small partitions
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
@@ -110,12 +112,13 @@ def _deduplicate(at: DataFrame, digest: Callable[[Column], Column]) -> DataFrame
 
     state = scratch(spark, "dedup-state")
     fold_stream(spark.readStream.schema(records.schema).parquet(path), state)
-    held = materialise(read_state(spark, state), "dedup-groups")
+    with _settings(spark, STATE):  # the state's memory limit must hold while it is read
+        held = materialise(read_state(spark, state), "dedup-groups")
 
     hit = held.where("group_size > 1")
     suspects = landed.join(hit.select("digest", "stay"), "digest")
     suspects = suspects.select("digest", "locator", (F.col("locator") == F.col("stay.locator")).alias("stays"))
-    bodies = source.join(suspects, "locator").select("digest", "locator", "stays", "doc_id", F.length("text").alias("points"), text.alias("body"))
+    bodies = drop_absent(source, suspects, "locator").join(suspects, "locator").select("digest", "locator", "stays", "doc_id", F.length("text").alias("points"), text.alias("body"))
     bodies = materialise(bodies, "dedup-bodies")
     first = bodies.where("stays").select("digest", F.col("body").alias("first_body"))
     differing = bodies.where("NOT stays").join(first, "digest").where("body <> first_body").select("digest").distinct()

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from crivo.llm.components import components
+from crivo.llm.prefilter import drop_absent
 from crivo.session import materialise, ship
 
 COORDINATES = 64
 SHINGLE = 5
 SKETCH_BITS = 18
 LIST_BLOCK = 4096  # documents of a posting list in one cell
-FILTER_BITS = 23
 FAMILY_BLOCK = 1 << 20  # shingles of a family in one cell
 
 U = np.uint64
@@ -298,16 +298,6 @@ def _cells(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     return out.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")
 
 
-def _reduce(rows: DataFrame, wanted: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """Drop rows whose key surely is not in `wanted`, by a bit table of fixed size, before they are shuffled."""
-    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    table = wanted.select(place.alias("place")).groupBy(F.expr("place div 64").alias("_word"))
-    table = table.agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 AS int)))").alias("_bits"))
-    marked = rows.withColumn("_place", place).withColumn("_word", F.expr("_place div 64"))
-    kept = marked.join(F.broadcast(table), "_word")  # 2 ** (bits - 6) rows at most
-    return kept.where("shiftright(_bits, cast(_place % 64 AS int)) & 1 = 1").select(rows.columns)
-
-
 def near_duplicates(
     docs: DataFrame,
     percent: int = 80,
@@ -354,7 +344,7 @@ def near_duplicates(
     volume = members.groupBy("family").agg(F.sum("n_shingles").alias("volume"))
     volume = volume.select("family", F.expr(f"(volume + {family_block - 1}) div {family_block}").alias("blocks"))
     members = members.join(volume, "family").select(F.col("first_id").alias("doc_id"), "node", "family", "blocks")
-    rows = _reduce(rows, members, "doc_id")
+    rows = drop_absent(rows, members, "doc_id")
     texts = rows.join(members, rows["doc_id"].eqNullSafe(members["doc_id"])).select("family", "node", "blocks", "text")
     full = texts.mapInArrow(_shingle(size), "family long, node long, blocks long, shingles binary")
     linked = components(_cells(full, "family", "shingles").mapInArrow(_confirm(percent), "a long, b long"), "links")
