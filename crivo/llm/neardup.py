@@ -53,7 +53,7 @@ class _WordHash(dict):
     def __missing__(self, word: bytes) -> bytes:
         from xxhash import xxh64_digest
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxh64_digest(word)
         return h
