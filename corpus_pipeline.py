@@ -32,8 +32,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture, its rows in the order of the schedule; what is over a source's share stays out."""
-    mixed = mixing.mix(docs)
+    """All documents in the order of the schedule: the mixture, then what is over a source's share."""
+    mixed = mixing.mix(docs, excess=True)
     ordered = mixed.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place")
     return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -5,7 +5,8 @@ slot floor((i - 1) m / b) and due by slot ceil(i m / b). Every slot takes the re
 so after any number of slots a source is less than one block away from its share: all windows of all sources can be met.
 
 The number of blocks is bounded (`max_blocks`, plus one per source), so their size grows with the corpus and the
-schedule is one small row, computed once by a fold over the slots. Which document belongs to which block comes from
+schedule is one small row, computed once by a fold over the slots. What the target weights leave of a source can follow as
+further blocks: they are scheduled the same way, by the shares of what is left, from the mixture's last slot on. Which document belongs to which block comes from
 counts per hash bucket, so no source's documents are ordered in one task.
 """
 
@@ -81,12 +82,14 @@ def mix(
     max_blocks: int = MAX_BLOCKS,
     bucket_rows: int = BUCKET_ROWS,
     seed: int = 0,
+    excess: bool = False,
 ) -> DataFrame:
     """Interleave the sources of `docs` (doc_id, source, ...) at target weights.
 
     Returns the rows in the mixture with all their columns and _block (within the source), _release, _deadline, _slot
     and _place (position in the block). Reading by _slot, then _place gives the mixture. Columns of these names in
-    `docs` are replaced. Without weights a source keeps its share, but at most `max_share` of the documents of one.
+    `docs` are replaced. Without weights a source keeps its share, but at most `max_share` of the documents of one. What is over a source's
+    target stays out or, with `excess`, follows the mixture in blocks and slots of its own, so that every row is there once.
     A source's documents are taken in the order of md5 of `seed:doc_id`, then doc_id; rows that repeat a doc_id are ordered
     by a hash of their other columns. A null source is a source of its own, and a null doc_id an identifier of its
     own. Texts are not looked into, so empty and long ones are alike. An empty table gives no rows.
@@ -105,18 +108,29 @@ def mix(
     marked = marked.withColumn("_bucket", F.expr(f"(cast(conv(substr(_hash, 1, 8), 16, 10) AS bigint) * {buckets}) div {1 << 32}"))
     size = -(-(wanted or 0) // max_blocks) or 1
     sized = taken.withColumn("n_blocks", F.expr(f"(quota + {size - 1}) div {size}"))
-    plan = materialise(schedule(sized.select("source", "n_blocks")), "schedule")
+    plan = schedule(sized.select("source", "n_blocks")).withColumn("_late", F.lit(False))
+    late_size = 1
+    if excess:
+        late_size = -(-((rows or 0) - (wanted or 0)) // max_blocks) or 1
+        sized = sized.withColumn("late_blocks", F.expr(f"(n - quota + {late_size - 1}) div {late_size}"))
+        slots = sized.agg(F.sum("n_blocks")).first()[0] or 0
+        late = schedule(sized.select("source", F.col("late_blocks").alias("n_blocks"))).withColumn("_late", F.lit(True))
+        plan = plan.union(late.withColumns({c: F.col(c) + slots for c in ("release", "deadline", "slot")}))
+    plan = materialise(plan, "schedule")
     plan = plan.withColumn("_source", key).drop("source")
 
     counts = marked.groupBy("_source", "_bucket").agg(F.count("*").alias("n"))
     order = W.partitionBy("_source").orderBy("_bucket")
     before = counts.select("_source", "_bucket", (F.sum("n").over(order) - F.col("n")).alias("_before"))
-    sized = sized.withColumn("_source", key).select("_source", "quota")
-    before = before.join(sized, "_source").where("_before < quota")
+    sized = sized.withColumn("_source", key).select("_source", "quota", "n_blocks")
+    before = before.join(sized, "_source").where(F.lit(excess) | (F.col("_before") < F.col("quota")))
     rank = F.row_number().over(W.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id", "_tie"))
     placed = marked.withColumn("_rank", rank - 1).join(before, ["_source", "_bucket"])
-    placed = placed.withColumn("_at", F.col("_before") + F.col("_rank")).where("_at < quota")
-    placed = placed.withColumn("block", F.expr(f"_at div {size}")).withColumn("_place", F.expr(f"_at % {size}"))
-    out = placed.join(F.broadcast(plan), ["_source", "block"])  # max_blocks rows, and one per source, at most
-    mine = [F.col(a).alias(b) for a, b in (("block", "_block"), ("release", "_release"), ("deadline", "_deadline"), ("slot", "_slot"))]
+    placed = placed.withColumn("_at", F.col("_before") + F.col("_rank")).withColumn("_late", F.expr("_at >= quota"))
+    placed = placed if excess else placed.where("NOT _late")
+    placed = placed.withColumn("block", F.expr(f"CASE WHEN _late THEN (_at - quota) div {late_size} ELSE _at div {size} END"))
+    placed = placed.withColumn("_place", F.expr(f"CASE WHEN _late THEN (_at - quota) % {late_size} ELSE _at % {size} END"))
+    out = placed.join(F.broadcast(plan), ["_source", "_late", "block"])  # max_blocks rows and one per source, or twice that, at most
+    number = F.expr("block + CASE WHEN _late THEN n_blocks ELSE 0 END").alias("_block")
+    mine = [number, *(F.col(a).alias(b) for a, b in (("release", "_release"), ("deadline", "_deadline"), ("slot", "_slot")))]
     return out.select(*[F.col(f"`{n}`") for n in names], *mine, "_place")

@@ -257,7 +257,7 @@ FROM d JOIN q USING (source) CROSS JOIN z JOIN plan ON plan.source = d.source AN
 """,
 )
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), excess=True)
     names = ("block", "release", "deadline", "slot", "place")
     return out.select("doc_id", "source", *[F.col(f"_{n}").alias(n) for n in names])
 

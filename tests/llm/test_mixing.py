@@ -57,3 +57,27 @@ def test_edges(spark):
     again = mixing.mix(out, max_share=1.0)
     assert again.columns == out.columns and again.count() == out.count()
     assert mixing.mix(edge.empty(spark)).count() == 0
+
+
+def test_excess_follows_the_mixture(spark):
+    rows = [edge.row(i, f"t{i}", source="hot" if i % 3 else f"s{i % 7}") for i in range(600)]
+    docs = edge.docs(spark, rows)
+    first = {r["doc_id"]: r for r in mixing.mix(docs, max_blocks=40, bucket_rows=50).collect()}
+    out = mixing.mix(docs, max_blocks=40, bucket_rows=50, excess=True).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(600)) and len({(r["_slot"], r["_place"]) for r in out}) == 600
+    last = max(r["_slot"] for r in first.values())
+    assert all(first[r["doc_id"]] == r if r["doc_id"] in first else r["_slot"] > last and r["source"] == "hot" for r in out)
+    assert all(r["_release"] <= r["_slot"] < r["_deadline"] for r in out)
+    assert {r["_slot"] for r in out} == set(range(max(r["_slot"] for r in out) + 1))
+    assert len({(r["source"], r["_block"], r["_place"]) for r in out}) == 600
+    assert mixing.mix(docs, {"s0": 1}, excess=True).count() == 600 and mixing.mix(edge.empty(spark), excess=True).count() == 0
+
+
+def test_registered_stages_keep_a_hot_source(spark, tmp_path):
+    import corpus_pipeline
+    from crivo.plans.registry import QUERIES
+
+    docs = edge.docs(spark, [edge.row(i, f"t{i}", source="hot" if i % 3 else "s") for i in range(60)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["op9_mixing"](spark, str(tmp_path)).count() == 60
+    assert corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).count() == 60
