@@ -2,8 +2,8 @@
 
 Two histograms are compared by Jensen-Shannon divergence (base 2, 0 to 1) with the reference of the document's language:
 the shares of seven character classes, and the shares of the language's most common words with one bin for all others.
-The references are counted over all documents of a language. Short documents give noisy histograms, so each comparison
-has a least length below which it passes no judgement.
+The references are counted over all documents of a language, however rare it is. Short documents give noisy histograms, so
+each comparison has a least length, of the document and of the reference, below which it passes no judgement.
 """
 
 from __future__ import annotations
@@ -19,12 +19,15 @@ MAX_REPEAT_PERCENT = 50
 COMMON_WORDS = 16
 #: Words rarer than this in a language are not common, so at most 2000 of each language are put in order.
 WORD_SHARE = 0.0005
-#: A language has a reference of its own from this share of the documents on, so there are 1000 references at most.
-REFERENCE_SHARE = 0.001
+#: References of languages with this share of the documents are broadcast: 1000 at most. Others are joined by language.
+OFTEN_SHARE = 0.001
 MAX_CLASS_DIVERGENCE = 0.10
 MAX_WORD_DIVERGENCE = 0.20
 MIN_CLASS_CHARS = 200
 MIN_COMMON_WORDS = 100
+#: Text from which a language has references: ten times what a document needs.
+MIN_REFERENCE_CHARS = 10 * MIN_CLASS_CHARS
+MIN_REFERENCE_WORDS = 10 * MIN_COMMON_WORDS
 
 #: Character classes in the order they are taken off a text without white space; what is left over is the last class.
 CLASSES = ("[a-z]+", "[A-Z]+", "\\p{L}+", "\\p{N}+", "[.,;:!?'\"()-]+")
@@ -77,50 +80,56 @@ def repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.expr(covered).cast("long")).drop("windows", "ordered", "at")
 
 
-def references(docs: DataFrame, common_words: int = COMMON_WORDS, share: float = REFERENCE_SHARE, word_share: float = WORD_SHARE) -> DataFrame:
-    """One row per language with a reference, and one with a null `lang` over all documents.
+def references(docs: DataFrame, common_words: int = COMMON_WORDS, share: float = OFTEN_SHARE, word_share: float = WORD_SHARE) -> DataFrame:
+    """One row per language that is not null.
 
-    class_share: the shares of the character classes; common: the most common words, ties in word order, if they have
-    `word_share` of the language's words (over all documents: if they have it in some language); word_share: their shares of all
-    words and, last, that of every other word.
+    often: it has `share` of the documents; class_share: the shares of the character classes, null under
+    MIN_REFERENCE_CHARS; common: the most common words, ties in word order, if they have `word_share` of the language's
+    words; word_share: their shares of all words and, last, that of every other word, null under MIN_REFERENCE_WORDS.
     """
     texts = _texts(docs, F.col("lang").cast("string").alias("lang")).withColumn("bare", F.regexp_replace("text", f"{SPACE}+", ""))
     texts = class_counts(texts)
     counts = texts.select("lang", *[F.col("classes")[i].alias(f"c{i}") for i in range(N_CLASSES)])
     sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(N_CLASSES)]
     classes = materialise(counts.groupBy("lang").agg(F.count("*").alias("n_docs"), *sums), "class-counts")
-    words = _texts(docs, F.col("lang").cast("string").alias("lang")).select("lang", F.explode(_words()).alias("word"))
+    words = _texts(docs, F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL").select("lang", F.explode(_words()).alias("word"))
     words = materialise(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
 
-    every = F.lit(None).cast("string").alias("lang")
     total = classes.groupBy().agg(F.sum("n_docs").alias("of")).select("of")
-    enough = classes.where("lang IS NOT NULL").where(F.col("n_docs") >= F.lit(share) * total.scalar())
-    all_classes = classes.groupBy().agg(F.sum("n_docs").alias("n_docs"), *sums).select(every, "n_docs", *[f"c{i}" for i in range(N_CLASSES)])
-    classes = enough.union(all_classes)
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n_words"))
-    known = words.join(F.broadcast(enough.select("lang")), "lang", "left_semi")  # 1000 languages at most
-    frequent = known.join(totals, "lang").where(F.col("n") >= F.lit(word_share) * F.col("n_words"))
-    frequent = materialise(frequent.select("lang", "word", "n"), "frequent-words")
-    # over all documents: the counts of words that are frequent in some language
-    some = frequent.select("word").distinct()
-    all_words = words.join(F.broadcast(some), "word").groupBy("word").agg(F.sum("n").alias("n")).select(every, "word", "n")
-    ranked = frequent.union(all_words)
-    top = ranked.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= common_words)
+    classes = classes.withColumn("often", F.col("n_docs") >= F.lit(share) * total.scalar()).where("lang IS NOT NULL")
+    totals = words.groupBy("lang").agg(F.sum("n").alias("n_words")).where(F.col("n_words") >= MIN_REFERENCE_WORDS)
+    frequent = words.join(totals, "lang").where(F.col("n") >= F.lit(word_share) * F.col("n_words"))
+    top = frequent.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= common_words)
     top = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
-    sizes = totals.where("lang IS NOT NULL").union(totals.groupBy().agg(F.sum("n_words").alias("n_words")).select(every, "n_words"))
 
     chars = "+".join(f"c{i}" for i in range(N_CLASSES))
-    out = classes.withColumn("lang_key", F.coalesce("lang", F.lit(""))).withColumn("any", F.col("lang").isNull())
-    keyed = lambda df: df.withColumn("any", F.col("lang").isNull()).withColumn("lang_key", F.coalesce("lang", F.lit(""))).drop("lang")
-    out = out.join(keyed(top), ["any", "lang_key"], "left").join(keyed(sizes), ["any", "lang_key"], "left")
+    shares = f"transform(array({','.join(f'c{i}' for i in range(N_CLASSES))}), c -> c / ({chars}))"
+    out = classes.join(totals, "lang", "left").join(top, "lang", "left")
     return out.select(
         "lang",
-        F.expr(f"transform(array({','.join(f'c{i}' for i in range(N_CLASSES))}), c -> c / greatest({chars}, 1))").alias("class_share"),
+        "often",
+        F.expr(f"CASE WHEN {chars} >= {MIN_REFERENCE_CHARS} THEN {shares} END").alias("class_share"),
         F.expr("coalesce(top.word, cast(array() AS array<string>))").alias("common"),
-        F.expr("concat(coalesce(transform(top, t -> t.n / n_words), cast(array() AS array<double>)), array(1 - coalesce(aggregate(top, 0D, (s, t) -> s + t.n / n_words), 0D)))").alias("word_share"),
+        F.expr("CASE WHEN n_words IS NOT NULL THEN concat(coalesce(transform(top, t -> t.n / n_words), cast(array() AS array<double>)), array(1 - coalesce(aggregate(top, 0D, (s, t) -> s + t.n / n_words), 0D))) END").alias("word_share"),
     )
 
 
+def with_references(df: DataFrame, refs: DataFrame) -> DataFrame:
+    """Add the references of `lang` to every row; a null lang has none.
+
+    Only rows of rare languages, none of which has many rows, are shuffled to meet their references.
+    """
+    refs = refs.withColumnRenamed("lang", "ref_lang")
+    often, rare = F.broadcast(refs.where("often")), refs.where("NOT often")  # 1000 rows at most
+    if rare.isEmpty():
+        return df.join(often, df["lang"] == often["ref_lang"], "left")
+    known = df.join(often, df["lang"] == often["ref_lang"], "left").where("ref_lang IS NOT NULL OR lang IS NULL")
+    keys = F.broadcast(refs.where("often").select(F.col("ref_lang").alias("often_lang")))
+    others = df.where("lang IS NOT NULL").join(keys, df["lang"] == F.col("often_lang"), "left_anti")
+    rare = rare.hint("merge")
+    return known.unionByName(others.join(rare, others["lang"] == rare["ref_lang"]))
+
+
 def divergence(p: str, q: str) -> Column:
     """Jensen-Shannon divergence, base 2, of two share arrays of one length."""
     half = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / (x + y)) ELSE 0D END"
@@ -141,17 +150,13 @@ def quality(
     row (a struct of all columns of `docs`, so that no name clashes), n_words (runs of characters other than the six ASCII white-space ones), word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed (under `min_words` words, or over `max_repeat_percent` of them repeat), class_divergence,
     word_divergence, kept. A text is kept if it passes the base rules and each histogram that is long enough to judge is
-    close to its language's. A null text has no words and fails. A null or rare lang is compared with all documents. An
-    empty table gives no rows.
+    close to its language's. A null text has no words and fails. Every language is compared with itself alone; a divergence is
+    null, and passes, where there is no reference: with a null lang, or with too little text of the language. An empty
+    table gives no rows.
     """
     refs = materialise(references(docs), "references")
-    every = refs.where("lang IS NULL").first()  # one row; there is none without documents
-    own = F.broadcast(refs.where("lang IS NOT NULL").withColumnRenamed("lang", "ref_lang"))  # 1000 rows at most
     df = _texts(docs, F.struct("*").alias("row"), F.col("lang").cast("string").alias("lang"))
-    df = df.join(own, df["lang"] == own["ref_lang"], "left")
-    if every:
-        for name in ("class_share", "common", "word_share"):
-            df = df.withColumn(name, F.coalesce(name, F.array(*[F.lit(v) for v in every[name]])))
+    df = with_references(df, refs).withColumn("common", F.expr("coalesce(common, cast(array() AS array<string>))"))
     df = df.withColumn("words", _words())
     df = df.withColumn("n_words", F.size("words").cast("long")).withColumn("bare", F.array_join("words", ""))
     df = class_counts(df).withColumn("word_chars", F.length("bare").cast("long")).drop("bare")
@@ -166,8 +171,8 @@ def quality(
     df = df.withColumn("word_divergence", divergence("own_words", "word_share"))
     df = df.withColumn("base_failed", F.expr(f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_percent} * n_words"))
     close = F.expr(
-        f"(length(text) < {min_class_chars} OR class_divergence <= {max_class_divergence}D) AND "
-        f"(n_words < {min_common_words} OR word_divergence <= {max_word_divergence}D)"
+        f"(length(text) < {min_class_chars} OR class_divergence IS NULL OR class_divergence <= {max_class_divergence}D) AND "
+        f"(n_words < {min_common_words} OR word_divergence IS NULL OR word_divergence <= {max_word_divergence}D)"
     )
     # A filter on the verdict must not be pushed below the steps above: it would repeat them inside each other.
     kept = (~F.col("base_failed")) & close & (F.monotonically_increasing_id() >= 0)

@@ -68,3 +68,21 @@ def test_divergences_against_brute_force(spark):
         close &= r["n_words"] < quality.MIN_COMMON_WORDS or r["word_divergence"] <= quality.MAX_WORD_DIVERGENCE
         assert r["kept"] == (close and not r["base_failed"])
     assert got[100]["class_divergence"] > quality.MAX_CLASS_DIVERGENCE > got[5]["class_divergence"]
+
+
+def test_rare_and_null_languages_are_not_held_against_others(spark):
+    latin = [edge.row(i, " ".join(f"w{(i * j) % 17}" if j % 3 else "the" for j in range(70)), "en") for i in range(2100)]
+    kana = [" ".join(chr(0x3042 + j % 40) * (3 + j % 4) + chr(0x3042 + j // 40) for j in range(n)) for n in (120, 500)]
+    rows = latin + [edge.row(5000, kana[0], None), edge.row(5001, kana[0], "xx"), edge.row(5002, kana[0], "ja"), edge.row(5003, kana[1], "ja")]
+    odd = "| " + " | ".join(f"Z{j}#" for j in range(300))
+    rows += [edge.row(5010, " ".join(chr(0x0430 + j % 30) * (3 + j % 4) + str(j) for j in range(4000)), "ru"), edge.row(5011, odd, "ru"), edge.row(5012, odd, "en")]
+    got = {r["row"]["doc_id"]: r for r in quality.quality(edge.docs(spark, rows)).collect()}
+    assert len(got) == len(rows) and all(len(r[1]) >= quality.MIN_CLASS_CHARS for r in rows)
+    assert all(got[i]["class_divergence"] is None and got[i]["word_divergence"] is None for i in (5000, 5001))
+    own = [sum(x) for x in zip(classes(rows[-5][1]), classes(rows[-4][1]))]  # ja, 2 of 2107 documents
+    mine = classes(rows[-5][1])
+    assert math.isclose(got[5002]["class_divergence"], js([x / sum(mine) for x in mine], [x / sum(own) for x in own]), abs_tol=1e-9)
+    for i in (5000, 5001, 5002, 5003, 5010):
+        assert got[i]["class_divergence"] is None or got[i]["class_divergence"] <= quality.MAX_CLASS_DIVERGENCE
+        assert got[i]["kept"] and not got[i]["base_failed"]
+    assert not got[5011]["kept"] and not got[5012]["kept"]  # junk in a rare language is still found
