@@ -660,9 +660,9 @@ def ratio_sweep(spark, sf):
 
 @query("grid_search")
 def grid_search(spark, sf):
-    """One ratio and two feature counts, but every C and fold of the experiment: 60 fits and 2 refits."""
+    """Every ratio, feature count, C and fold of the experiment: 360 fits and 12 refits."""
     train, dev, _ = _splits(spark, sf)
-    grid, _ = ML.grid_search(train, dev, {"1a2": 2.0}, ML.GRID_FEATURES[:2], spec=MODEL)
+    grid, _ = ML.grid_search(train, dev, RATIOS, ML.GRID_FEATURES, spec=MODEL)
     return SE.grid_winner(grid)
 
 

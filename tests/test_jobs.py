@@ -24,3 +24,19 @@ def test_domain_shift_experiment(spark):
     assert 0 <= row.exp_ap <= 1 and 0 <= row.in_f1 <= 1 and row.exp_best_f1 >= row.exp_f1 - 1e-9
     assert out["dev_ranking"].where("winner = 1").count() == 1
     assert {r.metric for r in out["ci_test"].collect()} == {"f1", "recall", "precision", "ap"}
+
+
+def test_grid_search_query_runs_the_whole_grid(monkeypatch):
+    from crivo.plans import model_queries as Q
+
+    asked = {}
+
+    def search(train, dev, ratios, features=Q.ML.GRID_FEATURES, cs=Q.ML.GRID_C, folds=5, **_):
+        asked.update(ratios=set(ratios), features=tuple(features), cs=tuple(cs), folds=folds)
+        return None, None
+
+    monkeypatch.setattr(Q.ML, "grid_search", search)
+    monkeypatch.setattr(Q, "_splits", lambda spark, sf: (None, None, None))
+    monkeypatch.setattr(Q.SE, "grid_winner", lambda grid: grid)
+    Q.grid_search(None, "")
+    assert asked == {"ratios": set(Q.RATIOS), "features": Q.ML.GRID_FEATURES, "cs": Q.ML.GRID_C, "folds": 5}
