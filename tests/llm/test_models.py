@@ -181,3 +181,26 @@ def test_model_edges(spark):
     assert lm.language_scores(edge.empty(spark), tokenizer_file()).count() == 0
     only_held = edge.docs(spark).where(lm.held_out("doc_id"))
     assert lm.language_scores(only_held, tokenizer_file()).count() == only_held.count()
+
+
+def test_windows_cover_whole_texts():
+    code = lm.coder(tokenizer_file())
+    for n in (0, 1, 31, 32, 33, 5000):
+        text = words(random.Random(n), "en", n)
+        ids = np.frombuffer(code.encode(text), "<u4")
+        rows = lm._rows(lm._chunks(text, code))
+        z = [lm.MARK, *ids, lm.MARK]
+        targets = rows[:, 1:].ravel()
+        assert targets[targets >= 0].tolist() == z[1:] and rows[0, 0] == lm.MARK
+        assert (rows[1:, 0] == rows[:-1, -1]).all()
+
+
+def test_passes_do_not_depend_on_the_number_of_windows(monkeypatch):
+    r, seen = np.random.default_rng(4), []
+    counts = np.ones(lm.VOCABULARY)
+    theta = lm.start(counts, lm.fold(counts))
+    monkeypatch.setattr(lm, "gradient", lambda theta, x, y, used: (seen.append(len(x)), (0.0, np.zeros_like(theta)))[1])
+    for n in (10, 700, 20_000):
+        seen.clear()
+        lm.train(theta, r.integers(0, lm.CLASSES, (n, lm.WINDOW + 1)), lm.PASSES, 0)
+        assert sum(seen) == lm.PASSES * n
