@@ -204,3 +204,16 @@ def test_passes_do_not_depend_on_the_number_of_windows(monkeypatch):
         seen.clear()
         lm.train(theta, r.integers(0, lm.CLASSES, (n, lm.WINDOW + 1)), lm.PASSES, 0)
         assert sum(seen) == lm.PASSES * n
+
+
+def test_ids_are_counted_over_whole_texts(spark):
+    code = lm.coder(tokenizer_file())
+    texts = [words(random.Random(i), "de", n) for i, n in enumerate((0, 3, 40, 3000))] + ["a\x1cb\u2003c d"]
+    counts = np.zeros(lm.VOCABULARY)
+    for t in texts:
+        counts += np.bincount(np.frombuffer(code.whole(t), "<u4"), minlength=lm.VOCABULARY)
+    counts[lm.MARK] += len(texts)
+    df = spark.createDataFrame([(c,) for t in texts for c in lm._chunks(t, code)], "windows binary")
+    classes, _ = lm.fit(df, rounds=0)
+    want = lm.fold(counts)
+    assert (classes.of == want.of).all() and np.allclose(classes.share, want.share)
