@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from crivo.llm import attention_lm, exactdedup, langid, mixing, neardup, packing, quality, rollups, toxicity, warc
+from crivo.llm import attention_lm, embedclass, exactdedup, langid, mixing, neardup, packing, prefixtrie, quality, rollups, toxicity, variants, warc
 from crivo.plans.registry import query
 from crivo.session import scratch
 
@@ -267,3 +267,100 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_part("doc_id", 4) == 2)
     model = langid.learn(docs.where("NOT held_out"))
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+#: The table of CRC-32 by its rule, and the checksum of a string's UTF-8 bytes.
+_CRC_TABLE = """crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS crc_table
+)"""
+
+
+def _crc_sql(text: str) -> str:
+    return (
+        f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::BIGINT)),"
+        " lambda c, b: xor(c >> 8, crc_table[xor(c, b) % 256 + 1])), 4294967295::BIGINT)"
+    )
+
+
+@query(
+    "op11_prefix_trie",
+    f"""
+WITH {_CRC_TABLE},
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+    SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS turns
+    FROM t GROUP BY conv_id
+),
+h AS (SELECT conv_id, turns, {_crc_sql("conv_id::VARCHAR")} % 4 AS h FROM c, crc),
+r AS (
+    SELECT a.conv_id, list_concat(coalesce(b.turns[1:h], []), a.turns[h + 1:]) AS path
+    FROM h a LEFT JOIN c b ON b.conv_id = a.conv_id - a.conv_id % 20
+),
+p AS (SELECT conv_id, depth, path[1:depth] AS node FROM (SELECT conv_id, path, unnest(range(len(path) + 1)) AS depth FROM r)),
+n AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs FROM p GROUP BY ALL),
+o AS (SELECT p.conv_id AS member, depth, n.conv_id AS owner FROM p JOIN n USING (node, depth)),
+k AS (
+    SELECT n.conv_id, n.depth, n.n_convs, o.owner AS parent,
+           (n.n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE len(regexp_extract_all(node[-1].text, '[^\\x20\\x09-\\x0D]+')) END AS saved
+    FROM n LEFT JOIN o ON o.member = n.conv_id AND o.depth = n.depth - 1
+),
+g AS (SELECT parent, depth - 1 AS depth, count(*) AS n_children FROM k WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT k.*, coalesce(n_children, 0) AS n_children FROM k LEFT JOIN g ON g.parent = k.conv_id AND g.depth = k.depth),
+s AS (
+    SELECT owner, o.depth, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens
+    FROM w JOIN o ON member = w.conv_id AND o.depth <= w.depth GROUP BY ALL
+),
+e AS (
+    SELECT owner, depth, string_agg(member::VARCHAR, ',' ORDER BY member) AS ids
+    FROM o JOIN r ON member = conv_id WHERE depth = len(path) GROUP BY ALL
+)
+SELECT w.conv_id, w.depth, parent AS parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM w JOIN s ON s.owner = w.conv_id AND s.depth = w.depth LEFT JOIN e ON e.owner = w.conv_id AND e.depth = w.depth
+""",
+)
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixtrie.numbered(table(spark, sf_dir, "conversations"))
+    return prefixtrie.trie(*prefixtrie.regrafted(turns))
+
+
+@query("op12_quality_classifier")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = embedclass.learn(docs, labels.where(crc_part("doc_id", 5) != 0))
+    rows = docs.select("doc_id", "text", (crc_part("doc_id", 5) == 0).alias("held_out"))
+    scored = embedclass.score(rows, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query(
+    "op13_spelling_variants",
+    f"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (
+    SELECT doc_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+'),
+        lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS run FROM documents
+),
+d AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS id, run, count(*) AS times FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, times, {_crc_sql("id")} AS h FROM d, crc),
+f AS (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, times FROM h),
+w AS (SELECT word, sum(times)::BIGINT AS n FROM f WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+s AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (
+    SELECT a.word, b.word AS other, b.n FROM s a JOIN s b ON a.rest = b.rest AND a.i = b.i WHERE a.word <> b.word
+    UNION SELECT s.word, w.word, w.n FROM s JOIN w ON rest = w.word
+    UNION SELECT w.word, s.word, s.n FROM s JOIN w ON rest = w.word
+),
+b AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS most FROM e GROUP BY word),
+v AS (
+    SELECT word, CASE WHEN most >= 10 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN most END AS form_n
+    FROM w LEFT JOIN b USING (word)
+),
+t AS (SELECT word, word AS root FROM v UNION ALL SELECT t.word, v.form FROM t JOIN v ON v.word = t.root WHERE v.form IS NOT NULL),
+l AS (SELECT t.word, t.root FROM t JOIN v ON v.word = t.root WHERE v.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM v JOIN l USING (word)
+""",
+)
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.word_counts(table(spark, sf_dir, "documents")))

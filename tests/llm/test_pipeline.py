@@ -47,7 +47,7 @@ def test_stages_and_run_against_brute_force(spark):
 def test_registered():
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "packing"]
     numbers = [n for n in QUERIES if n.startswith("op")]
-    assert [n.split("_")[0] for n in numbers] == [f"op{i}" for i in range(1, 11)] and "pipeline" in QUERIES
+    assert [n.split("_")[0] for n in numbers] == [f"op{i}" for i in range(1, 14)] and "pipeline" in QUERIES
     assert {"op4_token_counts", "op8_exact_dedup"} <= set(ORACLE)
 
 
