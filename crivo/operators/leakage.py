@@ -211,6 +211,18 @@ def reconcile_versions(old: DataFrame, new: DataFrame, columns: Sequence[str], k
 
     An empty or NULL key names no row, so such rows count as unmatched on their own side.
     """
+    return reconciled(reconcile_counts(old, new, columns, key), "text" in columns)
+
+
+def reconciled(counts: DataFrame, with_text: bool) -> DataFrame:
+    """The counts with the share of equal texts in place of their number."""
+    if not with_text:
+        return counts
+    return counts.withColumn("text_equal_pct", percent(F.col("same_text"), F.col("matched"), 1)).drop("same_text")
+
+
+def reconcile_counts(old: DataFrame, new: DataFrame, columns: Sequence[str], key: str = "url") -> DataFrame:
+    """One row of additive counts; `same_text` of matched rows whose texts are equal after normalising."""
     def side(df: DataFrame, name: str) -> DataFrame:
         # Texts are compared by digest, so none is shuffled. A row without a key gets one of its own: it matches nothing.
         digests = [F.md5(F.col(c).cast("string")).alias(f"{name}_{c}") for c in columns]
@@ -230,8 +242,7 @@ def reconcile_versions(old: DataFrame, new: DataFrame, columns: Sequence[str], k
         *[F.count_if(both & ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))).alias(f"diff_{c}") for c in columns],
     ]
     if "text" in columns:
-        same = F.col("a_norm").eqNullSafe(F.col("b_norm"))
-        aggs.append(percent(F.count_if(both & same), F.count_if(both), 1).alias("text_equal_pct"))
+        aggs.append(F.count_if(both & F.col("a_norm").eqNullSafe(F.col("b_norm"))).alias("same_text"))
     return j.agg(*aggs)
 
 

@@ -96,9 +96,9 @@ def content_hashes(spark, sf):
 
 _W = r"\p{L}\p{N}_"
 _G = rf"{WS}*"
-def _foot_sql(expr: str) -> str:
+def _foot_sql(expr: str, credit: str = "Version") -> str:
     """The footer rule without lookahead: keep the later section if there is one, else cut to the end."""
-    start = rf"(?s){_G}Licensed{_G}[{_W}]*?{_G}Version"
+    start = rf"(?s){_G}Licensed{_G}[{_W}]*?{_G}{credit}"
     kept = rf"regexp_replace({expr},'{start}(?:[^{_W}].*?|)({_G}The(?:[^{_W}].*|))$','\1')"
     cut = rf"regexp_replace({kept},'{start}(?:[^{_W}].*|)$','')"
     return rf"regexp_replace({cut},'{WS}+$','')"

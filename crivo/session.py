@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: dict[str, SparkSession] = {}
@@ -79,6 +80,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def publish(spark: SparkSession, temporary: str, final: str) -> bool:
+    """Rename a finished file or folder to its name; false, and nothing happens, if the name is taken."""
+    jvm = spark._jvm
+    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (temporary, final))
+    conf = spark._jsc.hadoopConfiguration()
+    target = target.getFileSystem(conf).makeQualified(target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
+    no_options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    target.getFileSystem(conf).mkdirs(target.getParent())
+    try:
+        context.rename(source, target, no_options)
+    except Py4JJavaError as e:
+        if context.util().exists(target):
+            return False
+        raise e
+    return True
+
+
 @atexit.register
 def discard() -> None:
     """Delete every intermediate written so far; results that still read one must have been saved before."""
