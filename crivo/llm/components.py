@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from crivo.operators.relational import join_groups
 from crivo.session import materialise
 
 
-def components(edges: DataFrame, name: str = "edges", rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """(node, component): the smallest node each node of `edges` (a, b) can reach. Nodes without an edge do not appear.
 
     Alternates two steps until the edges stop changing: every node hands its larger neighbours to its smallest
@@ -17,10 +18,12 @@ def components(edges: DataFrame, name: str = "edges", rounds: int = 100) -> Data
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialise(edges, name)
     state = None
-    for _ in range(rounds):
+    while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("least"), F.count_if(F.col("b") > F.col("a")).alias("larger"))
+        least = least.where("larger > 0").select("a", F.least("a", "least").alias("least"), "larger")
+        large = join_groups(both.where("b > a"), least, "a", "larger", "b")  # a node may have most edges
+        large = large.select(F.col("b").alias("a"), F.col("least").alias("b"))
         large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(least, "a")

@@ -18,6 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crivo.llm.prefilter import drop_absent
+from crivo.operators.relational import join_groups
 from crivo.session import materialise, scratch
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -120,8 +121,9 @@ def _deduplicate(at: DataFrame, digest: Callable[[Column], Column]) -> DataFrame
     suspects = suspects.select("digest", "locator", (F.col("locator") == F.col("stay.locator")).alias("stays"))
     bodies = drop_absent(source, suspects, "locator").join(suspects, "locator").select("digest", "locator", "stays", "doc_id", F.length("text").alias("points"), text.alias("body"))
     bodies = materialise(bodies, "dedup-bodies")
-    first = bodies.where("stays").select("digest", F.col("body").alias("first_body"))
-    differing = bodies.where("NOT stays").join(first, "digest").where("body <> first_body").select("digest").distinct()
+    first = bodies.where("stays").select("digest", F.col("body").alias("first_body")).join(hit.select("digest", "group_size"), "digest")
+    compared = join_groups(bodies.where("NOT stays").select("digest", "body", "locator"), first, "digest", "group_size", "locator")
+    differing = compared.where("body <> first_body").select("digest").distinct()
     differing = materialise(differing, "dedup-differing")
 
     out = landed.join(held, "digest").select("doc_id", "locator", "sha256", "stay", "group_size")

@@ -21,7 +21,7 @@ from crivo.session import ship
 
 CELLS = 1 << 14
 SAMPLE = 2000
-MAX_LANGUAGES = 400
+HASH_PARTS = 16
 LEARN_CHARS = 20_000
 LANDMARKS = 96
 RIDGE = 1e-3
@@ -93,19 +93,23 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     return Model(languages, marks, weights.astype(np.float32), offset.astype(np.float32))
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE, max_languages: int = MAX_LANGUAGES) -> DataFrame:
-    """At most `rows` texts, the same number for each of the `max_languages` most frequent languages.
+def sample(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
+    """At most `rows` labelled texts, the same number for each language, one at least, the most frequent languages first.
 
-    Texts over LEARN_CHARS characters are not learned from. Rows are chosen and ordered by the hash of their text.
+    A text over LEARN_CHARS characters gives a piece of that size at a hashed place. Rows are chosen and ordered by the hash
+    of their text. Only a table of more than `rows` languages has languages without a text here.
     """
     usable = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    usable = usable.where(f"lang IS NOT NULL AND length(text) BETWEEN 1 AND {LEARN_CHARS}").withColumn("h", F.xxhash64("text"))
-    keys = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
+    usable = usable.where("lang IS NOT NULL AND text <> ''").withColumn("h", F.xxhash64("text"))
+    keys = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).select("lang")
     each = max(1, rows // max(1, keys.count()))
-    small = usable.select("lang", "h").join(F.broadcast(keys), "lang").distinct()
-    small = small.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= each)
+    small = usable.select("lang", "h").join(F.broadcast(keys), "lang").distinct().withColumn("part", F.pmod("h", F.lit(HASH_PARTS)))
+    for by in (["lang", "part"], ["lang"]):  # a language may have most of the rows: first the best of each part of it
+        small = small.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("h"))).where(F.col("rank") <= each)
     chosen = usable.join(F.broadcast(small.select("lang", "h")), ["lang", "h"]).dropDuplicates(["lang", "h"])
-    return chosen.orderBy("h", "lang").select("lang", "text")
+    room = F.greatest(F.length("text") - LEARN_CHARS, F.lit(0)) + 1
+    piece = F.substring(F.col("text"), (F.pmod(F.xxhash64("h"), room) + 1).cast("int"), F.lit(LEARN_CHARS))
+    return chosen.orderBy("h", "lang").select("lang", piece.alias("text"))
 
 
 def learn(docs: DataFrame, rows: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
@@ -118,7 +122,8 @@ def predict(docs: DataFrame, model: Model | None, batch_rows: int = 128) -> Data
     """Add lang_pred and score to the rows of `docs` (text, ...); columns of these names are replaced.
 
     The score is the softmax of the languages' ridge outputs, 0 to 1. A text that is null or has no letter is `und` with
-    score 0, and so is every text if nothing could be learned. Equal outputs go to the first language in order.
+    score 0, and so is every text if nothing could be learned. Equal outputs go to the first language in order. Repeated rows
+    are labelled alike; an empty table stays empty.
     """
     ship(docs.sparkSession)
     spark = docs.sparkSession

@@ -37,7 +37,7 @@ LIST_BLOCK = 4096  # documents of a posting list in one cell
 FAMILY_BLOCK = 1 << 20  # shingles of a family in one cell
 
 U = np.uint64
-_SIGNED = "doc_id long, n_shingles long, node long, signature binary"
+_SIGNED = "doc_id long, n_shingles long, node long, other long, signature binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -72,9 +72,10 @@ def shingles(text: str | None, words: dict, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def _set_number(hashes: np.ndarray) -> int:
-    """One 64-bit number for a set."""
-    return int(_mix(_mix(hashes + U(1)).sum(dtype=U, keepdims=True)).view(np.int64)[0])
+def _set_numbers(hashes: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit numbers for a set: its name, and the one that tells sets of one name apart."""
+    one, two = (_mix(_mix(x).sum(dtype=U, keepdims=True)).view(np.int64)[0] for x in (hashes + U(1), hashes ^ U(0x9E3779B97F4A7C15)))
+    return int(one), int(two)
 
 
 def match_threshold(coordinates: int, percent: int, miss: float = 3e-6) -> int:
@@ -106,12 +107,12 @@ def _arrow(schema: list[tuple[str, pa.DataType]], cols: list) -> pa.RecordBatch:
 def _sign(coordinates: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, by = _WordHash(), _multipliers(coordinates)
-        schema = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("signature", pa.binary())]
+        schema = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("signature", pa.binary())]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch[0].to_pylist(), batch[1]):
                 s = shingles(text.as_py(), words, size)
-                rows.append((doc_id, len(s), _set_number(s), signature(s, by).tobytes()))
+                rows.append((doc_id, len(s), *_set_numbers(s), signature(s, by).tobytes()))
             if rows:
                 yield _arrow(schema, list(zip(*rows)))
 
@@ -275,7 +276,7 @@ def _shingle(size: int):
                 rows = []
                 for family, node, blocks, text in zip(*(batch.column(i)[lo : lo + 256] for i in range(4))):
                     s = shingles(text.as_py(), words, size)
-                    if _set_number(s) == node.as_py():
+                    if node.as_py() in _set_numbers(s):
                         rows.append((family.as_py(), node.as_py(), blocks.as_py(), s.tobytes()))
                 if rows:
                     yield _arrow(schema, list(zip(*rows)))
@@ -298,6 +299,22 @@ def _cells(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     return out.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")
 
 
+def _told_apart(signed: DataFrame) -> DataFrame:
+    """`signed` with different sets under different names.
+
+    Among many sets two may agree in 64 bits by chance. Sets are equal only if their size and both numbers agree; of those that
+    share a name, all but the first take their second number for it.
+    """
+    distinct = signed.where("n_shingles > 0").groupBy("node", "n_shingles", "other").agg(F.lit(1).alias("one"))
+    shared = distinct.groupBy("node").agg(F.count("*").alias("sets"), F.min(F.struct("n_shingles", "other")).alias("first")).where("sets > 1")
+    shared = materialise(shared, "shared-names")
+    if shared.isEmpty():
+        return signed
+    renamed = signed.join(F.broadcast(shared) if shared.count() <= 100_000 else shared, "node", "left")
+    name = F.when(F.col("first").isNotNull() & (F.col("first") != F.struct("n_shingles", "other")), F.col("other")).otherwise(F.col("node"))
+    return materialise(renamed.withColumn("node", name).select(signed.columns), "signed-apart")
+
+
 def near_duplicates(
     docs: DataFrame,
     percent: int = 80,
@@ -323,6 +340,7 @@ def near_duplicates(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(rows.mapInArrow(_sign(coordinates, size), _SIGNED), "signed")
     # one row per distinct set: its first document stands for it
+    signed = _told_apart(signed)
     found = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"))
     sets = materialise(found, "sets")
     lead = signed.join(sets.select("node", "first_id"), "node").where("doc_id <=> first_id")

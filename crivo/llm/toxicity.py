@@ -31,11 +31,31 @@ STRETCH = 64
 BATCH_WORDS = 400_000
 _EDGE = re.compile(r"^\W+|\W+$")
 _WORD = re.compile(r"\S+")
+LONGEST = 200  # a longer run of characters is cut into pieces, each a word of the chain
+_PIECE = re.compile(rf"[^\W_]{{1,{LONGEST}}}|[\W_]{{1,{LONGEST}}}")
+
+
+def words(text: str) -> list[str]:
+    """The words of a text: runs without white space; a run of over LONGEST characters falls apart at its non-letters."""
+    found = text.split()
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [p for w in found for p in ([w] if len(w) <= LONGEST else _PIECE.findall(w))]
+
+
+def word_places(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the words of a text, in their order."""
+    for m in _WORD.finditer(text):
+        if m.end() - m.start() <= LONGEST:
+            yield m.span()
+        else:
+            for p in _PIECE.finditer(text, m.start(), m.end()):
+                yield p.span()
 
 
 def features(token: str) -> tuple[str, ...]:
     """A token's features: the bare lower-cased word, its first 3 to 5 and its last 4 letters."""
-    word = _EDGE.sub("", token[:200].lower())
+    word = _EDGE.sub("", token.lower())
     if len(word) < 3:
         return (f"={word}",)
     return (f"={word}", *(f"<{word[:n]}" for n in (3, 4, 5) if len(word) > n), *((f">{word[-4:]}",) if len(word) > 4 else ()))
@@ -144,7 +164,7 @@ def label_features(toxic: list[set[str]], clean: list[set[str]], times: float =
 
 def fit(toxic: list[str], clean: list[str], steps: int = 40, ridge: float = 1e-5, rate: float = 0.3) -> Field:
     """Fit the field on toxic and clean texts."""
-    sides = [[t.split() for t in texts] for texts in (toxic, clean)]
+    sides = [[words(t) for t in texts] for texts in (toxic, clean)]
     known = {w: features(w) for side in sides for words in side for w in words}
     marks = label_features(*[[{f for w in words for f in known[w]} for words in side] for side in sides])
     is_toxic = {w for w, fs in known.items() if marks.intersection(fs)}
@@ -224,12 +244,12 @@ def spans(text: str, p: np.ndarray, cut: float = 0.5) -> list[dict]:
     if not len(p) or p.max() < cut:
         return out
     last = -2
-    for i, m in enumerate(_WORD.finditer(text)):
+    for i, (start, end) in enumerate(word_places(text)):
         if p[i] >= cut:
             if last == i - 1:
-                out[-1]["end"], out[-1]["p"] = m.end(), max(out[-1]["p"], float(p[i]))
+                out[-1]["end"], out[-1]["p"] = end, max(out[-1]["p"], float(p[i]))
             else:
-                out.append({"start": m.start(), "end": m.end(), "p": float(p[i])})
+                out.append({"start": start, "end": end, "p": float(p[i])})
             last = i
     return out
 
@@ -255,7 +275,8 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
     """Add score (0 to 1) and spans (start, end, p; in characters) to the rows of `docs` (text, ...).
 
     Columns of these names are replaced. Null, empty and blank texts have no spans and the score of a text without
-    toxic words. Every word of a text is scored, however long it is.
+    toxic words. Every word of a text is scored, a run of over LONGEST characters piece by piece. Repeated rows are scored alike,
+    and an empty table stays empty.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)  # weights of a bounded sample's features
@@ -271,7 +292,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
             held: list[list[str]] = []
             size = 0
             for i, text in enumerate(texts):
-                held.append(text.split())
+                held.append(words(text))
                 size += len(held[-1])
                 if size >= BATCH_WORDS or i == len(texts) - 1:
                     for t, p in zip(texts[i + 1 - len(held) : i + 1], marginals(held, field, emissions)):

@@ -217,3 +217,46 @@ def test_ids_are_counted_over_whole_texts(spark):
     classes, _ = lm.fit(df, rounds=0)
     want = lm.fold(counts)
     assert (classes.of == want.of).all() and np.allclose(classes.share, want.share)
+
+
+def test_toxic_word_late_in_an_unbroken_run():
+    """A word counts wherever it stands in a run without white space, and its span is where it is."""
+    field = toxicity.fit(["you vileword here " + "calm words " * 5] * 12, ["calm words and more here you"] * 30)
+    run = "-".join(["calm"] * 60) + "-vileword-" + "-".join(["more"] * 60)
+    words_ = toxicity.words(run)
+    assert len(run) > 300 and "vileword" in words_ and "".join(words_) == run
+    emissions = toxicity._Emissions(field)
+    p = toxicity.marginals([words_], field, emissions)[0]
+    found = toxicity.spans(run, p)
+    assert any(run[s["start"] : s["end"]].strip("-") == "vileword" for s in found)
+    assert [run[a:b] for a, b in toxicity.word_places(run)] == words_ and toxicity.words("x" * 1000) == ["x" * 200] * 5
+
+
+def test_language_is_learned_from_long_texts_and_by_every_language(spark):
+    r = random.Random(8)
+    rows = [(i, words(r, "en", 40), "en") for i in range(60)]
+    rows += [(100 + i, words(r, "de", 9000), "de") for i in range(6)]  # long texts only
+    rows += [(200 + i, "жзи " * 20 + chr(0x4E00 + i) * 30, f"x{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["lang"]: r["n"] for r in langid.sample(df, 40).groupBy("lang").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert set(got) == {g for *_, g in rows} and max(len(r["text"]) for r in langid.sample(df, 40).collect()) <= langid.LEARN_CHARS
+    model = langid.learn(df)
+    pred = langid.predict(spark.createDataFrame([(words(r, "de", 60),)], "text string"), model).first()
+    assert pred["lang_pred"] == "de"
+
+
+def test_language_scores_against_plain_kernels():
+    """The batched product equals kernels of sets of hashed n-grams, one pair at a time."""
+    texts, langs = ["the thing and", "der die das ung", "le la eau tion", "the and ing", "das sch keit"], ["en", "de", "fr", "en", "de"]
+    model = langid.fit(texts, langs, landmarks=4)
+
+    def cells(text):
+        out = np.zeros(langid.CELLS, np.float32)
+        langid.profile(text, out)
+        return set(np.flatnonzero(out).tolist())
+
+    marks = [set(np.flatnonzero(m).tolist()) for m in model.landmarks]
+    for text in ("the der", "eau", "zzz", *texts):
+        mine = cells(text)
+        kernel = np.array([len(mine & m) / np.sqrt(len(mine) * len(m)) for m in marks])
+        assert np.allclose(model.scores([text])[0], kernel @ model.weights + model.offset, atol=1e-4)

@@ -75,3 +75,26 @@ def test_threshold_and_walk():
     for i, j in ((0, 3), (3, 5), (1, 2)):
         near[i, j] = near[j, i] = True
     assert len(list(neardup.walk(7, lambda i, js: near[i, js]))) == 3
+
+
+def test_sets_with_one_name_are_told_apart(spark, monkeypatch):
+    """All sets get the same first number: the second one and the size still keep them apart."""
+    real = neardup._set_numbers
+    rows = [(i, f"a{i // 2} b c d e f g h{i // 4}") for i in range(12)] + [(20, "one two"), (21, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = [(i, len(s), 77, real(s)[1], b"") for i, t in rows for s in [neardup.shingles(t, neardup._WordHash())]]
+    table = spark.createDataFrame(signed, neardup._SIGNED)
+    got = {r["doc_id"]: r["node"] for r in neardup._told_apart(table).collect()}
+    sets = {i: frozenset(neardup.shingles(t, neardup._WordHash()).tolist()) for i, t in rows if t}
+    assert all((got[i] == got[j]) == (sets[i] == sets[j]) for i in sets for j in sets)
+    assert neardup._told_apart(table.where("doc_id = 20")).first()["node"] == 77
+    assert docs.count() == len(rows)
+
+
+def test_long_chain_and_star(spark):
+    from crivo.llm.components import components
+
+    chain = [(i, i + 1) for i in range(300)]
+    star = [(1000, i) for i in range(1001, 1800)]
+    got = dict(map(tuple, components(spark.createDataFrame(chain + star, "a long, b long")).collect()))
+    assert {got[i] for i in range(301)} == {0} and {got[i] for i in range(1000, 1800)} == {1000}
