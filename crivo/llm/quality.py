@@ -2,8 +2,8 @@
 
 Two histograms are compared by Jensen-Shannon divergence (base 2, 0 to 1) with the reference of the document's language:
 the shares of seven character classes, and the shares of the language's most common words with one bin for all others.
-The references are counted over all documents of a language, however rare it is. Short documents give noisy histograms, so
-each comparison has a least length, of the document and of the reference, below which it passes no judgement.
+The references are counted over all other documents of a language, however rare it is: a document's own counts are taken
+off, so none is its own norm. Short documents give noisy histograms, so each comparison has a least length, of the document and of the reference, below which it passes no judgement.
 """
 
 from __future__ import annotations
@@ -17,15 +17,15 @@ SYMBOLS = "[#*$%&|<>]+"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 COMMON_WORDS = 16
-#: Words rarer than this in a language are not common, so at most 2000 of each language are put in order.
-WORD_SHARE = 0.0005
+#: The most common words of a language are found among the most common ones of as many parts of its vocabulary.
+WORD_PARTS = 64
 #: References of languages with this share of the documents are broadcast: 1000 at most. Others are joined by language.
 OFTEN_SHARE = 0.001
 MAX_CLASS_DIVERGENCE = 0.10
 MAX_WORD_DIVERGENCE = 0.20
 MIN_CLASS_CHARS = 200
 MIN_COMMON_WORDS = 100
-#: Text from which a language has references: ten times what a document needs.
+#: Other text of its language that a document is judged by, at least: ten times what a document needs, and its own length.
 MIN_REFERENCE_CHARS = 10 * MIN_CLASS_CHARS
 MIN_REFERENCE_WORDS = 10 * MIN_COMMON_WORDS
 
@@ -80,12 +80,11 @@ def repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.expr(covered).cast("long")).drop("windows", "ordered", "at")
 
 
-def references(docs: DataFrame, common_words: int = COMMON_WORDS, share: float = OFTEN_SHARE, word_share: float = WORD_SHARE) -> DataFrame:
+def references(docs: DataFrame, common_words: int = COMMON_WORDS, share: float = OFTEN_SHARE) -> DataFrame:
     """One row per language that is not null.
 
-    often: it has `share` of the documents; class_share: the shares of the character classes, null under
-    MIN_REFERENCE_CHARS; common: the most common words, ties in word order, if they have `word_share` of the language's
-    words; word_share: their shares of all words and, last, that of every other word, null under MIN_REFERENCE_WORDS.
+    often: it has `share` of the documents; ref_classes: its characters by class; common: its most common words, ties in word
+    order; common_n: how often they occur; ref_words: all its words.
     """
     texts = _texts(docs, F.col("lang").cast("string").alias("lang")).withColumn("bare", F.regexp_replace("text", f"{SPACE}+", ""))
     texts = class_counts(texts)
@@ -97,20 +96,19 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS, share: float =
 
     total = classes.groupBy().agg(F.sum("n_docs").alias("of")).select("of")
     classes = classes.withColumn("often", F.col("n_docs") >= F.lit(share) * total.scalar()).where("lang IS NOT NULL")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n_words")).where(F.col("n_words") >= MIN_REFERENCE_WORDS)
-    frequent = words.join(totals, "lang").where(F.col("n") >= F.lit(word_share) * F.col("n_words"))
-    top = frequent.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= common_words)
+    totals = words.groupBy("lang").agg(F.sum("n").alias("ref_words"))
+    top = words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(WORD_PARTS)))
+    for by in (["lang", "part"], ["lang"]):  # a language may have most of the words
+        top = top.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n"), "word"))).where(F.col("rank") <= common_words)
     top = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
-
-    chars = "+".join(f"c{i}" for i in range(N_CLASSES))
-    shares = f"transform(array({','.join(f'c{i}' for i in range(N_CLASSES))}), c -> c / ({chars}))"
     out = classes.join(totals, "lang", "left").join(top, "lang", "left")
     return out.select(
         "lang",
         "often",
-        F.expr(f"CASE WHEN {chars} >= {MIN_REFERENCE_CHARS} THEN {shares} END").alias("class_share"),
+        F.array(*[f"c{i}" for i in range(N_CLASSES)]).alias("ref_classes"),
         F.expr("coalesce(top.word, cast(array() AS array<string>))").alias("common"),
-        F.expr("CASE WHEN n_words IS NOT NULL THEN concat(coalesce(transform(top, t -> t.n / n_words), cast(array() AS array<double>)), array(1 - coalesce(aggregate(top, 0D, (s, t) -> s + t.n / n_words), 0D))) END").alias("word_share"),
+        F.expr("coalesce(top.n, cast(array() AS array<bigint>))").alias("common_n"),
+        F.coalesce("ref_words", F.lit(0)).alias("ref_words"),
     )
 
 
@@ -150,9 +148,9 @@ def quality(
     row (a struct of all columns of `docs`, so that no name clashes), n_words (runs of characters other than the six ASCII white-space ones), word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed (under `min_words` words, or over `max_repeat_percent` of them repeat), class_divergence,
     word_divergence, kept. A text is kept if it passes the base rules and each histogram that is long enough to judge is
-    close to its language's. A null text has no words and fails. Every language is compared with itself alone; a divergence is
-    null, and passes, where there is no reference: with a null lang, or with too little text of the language. An empty
-    table gives no rows.
+    close to that of its language's other documents. A null text has no words and fails. A divergence is null, and passes, where
+    there is no reference: with a null lang, or where the language's other text is short or shorter than the document itself. An
+    empty table gives no rows.
     """
     refs = materialise(references(docs), "references")
     df = _texts(docs, F.struct("*").alias("row"), F.col("lang").cast("string").alias("lang"))
@@ -167,6 +165,11 @@ def quality(
     df = df.withColumn("other", F.expr("n_words - aggregate(hits, 0L, (s, h) -> s + h)"))
     df = df.withColumn("own_words", F.expr("transform(concat(hits, array(other)), h -> h / greatest(n_words, 1))"))
     df = df.withColumn("own_classes", F.expr("transform(classes, c -> c / greatest(length(text), 1))"))
+    df = df.withColumn("left_classes", F.expr("zip_with(ref_classes, classes, (t, c) -> t - c)")).withColumn("left_words", F.expr("ref_words - n_words"))
+    df = df.withColumn("left_chars", F.expr("aggregate(left_classes, 0L, (s, c) -> s + c)"))
+    df = df.withColumn("class_share", F.expr(f"CASE WHEN left_chars >= greatest({MIN_REFERENCE_CHARS}, length(text)) THEN transform(left_classes, c -> c / left_chars) END"))
+    df = df.withColumn("shares", F.expr(f"CASE WHEN left_words >= greatest({MIN_REFERENCE_WORDS}, n_words) THEN zip_with(common_n, hits, (t, h) -> (t - h) / left_words) END"))
+    df = df.withColumn("word_share", F.expr("concat(shares, array(1 - aggregate(shares, 0D, (s, x) -> s + x)))"))
     df = df.withColumn("class_divergence", divergence("own_classes", "class_share"))
     df = df.withColumn("word_divergence", divergence("own_words", "word_share"))
     df = df.withColumn("base_failed", F.expr(f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_percent} * n_words"))

@@ -173,35 +173,31 @@ k AS (
     SELECT doc_id, lang, text, words, [length(text) - length(r0), length(r0) - length(r1), length(r1) - length(r2),
         length(r2) - length(r3), length(r3) - length(r4), length(r4) - length(r5), length(r5)] AS cls FROM k5
 ),
-big AS (SELECT lang FROM t GROUP BY lang HAVING lang IS NOT NULL AND count(*) >= 0.001::DOUBLE * (SELECT count(*) FROM t)),
-keyed AS (SELECT k.*, coalesce('=' || big.lang, '') AS key FROM k LEFT JOIN big ON k.lang = big.lang),
-wc AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(words) AS word FROM k) GROUP BY ALL),
-wt AS (SELECT lang, sum(n) AS total FROM wc GROUP BY lang),
-fr AS (SELECT wc.* FROM wc JOIN wt ON wc.lang = wt.lang JOIN big ON wc.lang = big.lang WHERE n >= 0.0005::DOUBLE * total),
-cand AS (
-    SELECT '=' || lang AS key, word, n FROM fr UNION ALL
-    SELECT '', word, sum(n) FROM wc WHERE word IN (SELECT word FROM fr) GROUP BY word
-),
-tops AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, word) AS nth FROM cand),
-sizes AS (SELECT '=' || lang AS key, total FROM wt WHERE lang IS NOT NULL UNION ALL SELECT '', sum(total) FROM wt),
-wr AS (SELECT key, list(word ORDER BY nth) AS common, list(n::DOUBLE / total ORDER BY nth) AS share FROM tops JOIN sizes USING (key) WHERE nth <= 16 GROUP BY key),
 cs AS (
-    SELECT key, list(n ORDER BY i) AS ns FROM (SELECT key, i, sum(c) AS n FROM (
-        SELECT key, unnest(cls) AS c, unnest(range(7)) AS i FROM keyed WHERE key <> '' UNION ALL SELECT '', unnest(cls), unnest(range(7)) FROM keyed) GROUP BY ALL) GROUP BY key
+    SELECT lang, list(n ORDER BY i) AS ns FROM (SELECT lang, i, sum(c) AS n FROM (
+        SELECT lang, unnest(cls) AS c, unnest(range(7)) AS i FROM k WHERE lang IS NOT NULL) GROUP BY ALL) GROUP BY lang
 ),
+wc AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(words) AS word FROM k WHERE lang IS NOT NULL) GROUP BY ALL),
+wt AS (SELECT lang, sum(n)::BIGINT AS total FROM wc GROUP BY lang),
+tops AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS nth FROM wc),
+wr AS (SELECT lang, list(word ORDER BY nth) AS common, list(n ORDER BY nth) AS common_n FROM tops WHERE nth <= 16 GROUP BY lang),
 h AS (
-    SELECT doc_id, text, words, cls, list_transform(ns, lambda x: x::DOUBLE / greatest(list_sum(ns), 1)) AS ref_cls, share,
+    SELECT doc_id, text, words, cls, common_n, total - len(words) AS left_words, list_transform(list_zip(ns, cls), lambda z: z[1] - z[2]) AS left_cls,
         list_transform(common, lambda c: len(list_filter(words, lambda w: w = c))) AS hits
-    FROM keyed JOIN cs USING (key) JOIN wr USING (key)
+    FROM k LEFT JOIN cs USING (lang) LEFT JOIN wr USING (lang) LEFT JOIN wt USING (lang)
+),
+r AS (
+    SELECT *, list_transform(left_cls, lambda x: x::DOUBLE / greatest(list_sum(left_cls), 1)) AS ref_cls,
+        list_transform(list_zip(common_n, hits), lambda z: (z[1] - z[2])::DOUBLE / greatest(left_words, 1)) AS share FROM h
 ),
 d AS (
     SELECT doc_id, length(text) AS chars,
-        {_js_sql('list_transform(cls, lambda x: x::DOUBLE / greatest(length(text), 1))', 'ref_cls')} AS class_divergence,
-        {_js_sql('list_transform(list_append(hits, len(words) - list_sum(hits)), lambda x: x::DOUBLE / greatest(len(words), 1))', 'list_append(share, 1 - list_sum(share))')} AS word_divergence
-    FROM h
+        CASE WHEN list_sum(left_cls) >= greatest(2000, length(text)) THEN {_js_sql('list_transform(cls, lambda x: x::DOUBLE / greatest(length(text), 1))', 'ref_cls')} END AS class_divergence,
+        CASE WHEN left_words >= greatest(1000, len(words)) THEN {_js_sql('list_transform(list_append(hits, len(words) - list_sum(hits)), lambda x: x::DOUBLE / greatest(len(words), 1))', 'list_append(share, 1 - list_sum(share))')} END AS word_divergence
+    FROM r
 )
 SELECT base.*, round_even(class_divergence, 6) AS class_divergence, round_even(word_divergence, 6) AS word_divergence,
-    NOT base_failed AND (chars < 200 OR class_divergence <= 0.10) AND (n_words < 100 OR word_divergence <= 0.20) AS kept
+    NOT base_failed AND (chars < 200 OR class_divergence IS NULL OR class_divergence <= 0.10) AND (n_words < 100 OR word_divergence IS NULL OR word_divergence <= 0.20) AS kept
 FROM base JOIN d USING (doc_id)
 """
 
@@ -230,30 +226,41 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.deduplicate(table(spark, sf_dir, "documents")).drop("locator")
 
 
-@query(
-    "op9_mixing",
-    """
-WITH RECURSIVE q AS (
-    SELECT source, least(count(*), ceil(0.25 * (SELECT count(*) FROM documents))::BIGINT) AS quota FROM documents GROUP BY source
-),
-z AS (SELECT greatest(1, (sum(quota)::BIGINT + 2047) // 2048) AS size FROM q),
-b AS (SELECT source, (quota + size - 1) // size AS n FROM q, z),
-l AS (SELECT list(source ORDER BY source) AS names, list(n ORDER BY source) AS ns, sum(n)::BIGINT AS m FROM b),
-edf AS (
-    SELECT 0::BIGINT AS slot, list_transform(ns, lambda x: 0::BIGINT) AS done, 0::BIGINT AS pick FROM l
+_EDF = """(
+    SELECT 0::BIGINT AS slot, list_transform({ns}, lambda x: 0::BIGINT) AS done, 0::BIGINT AS pick FROM l
     UNION ALL
     SELECT slot + 1, list_transform(done, lambda x, i: x + (i = best)::BIGINT), best FROM (
         SELECT slot, done, list_min(list_filter(list_transform(done, lambda x, i:
-            CASE WHEN x < ns[i] AND (x * m) // ns[i] <= slot THEN (((x + 1) * m + ns[i] - 1) // ns[i]) * 1000000 + i END), lambda x: x IS NOT NULL)) % 1000000 AS best
-        FROM edf, l WHERE slot < m)
+            CASE WHEN x < {ns}[i] AND (x * {m}) // {ns}[i] <= slot THEN (((x + 1) * {m} + {ns}[i] - 1) // {ns}[i]) * 1000000 + i END), lambda x: x IS NOT NULL)) % 1000000 AS best
+        FROM {name}, l WHERE slot < {m})
+)"""
+_SLOTS = "SELECT names[pick] AS source, slot - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS block, {ns}[pick] AS n, {m} AS m FROM {name}, l WHERE pick > 0"
+
+
+@query(
+    "op9_mixing",
+    f"""
+WITH RECURSIVE q AS (
+    SELECT source, count(*) AS n, least(count(*), ceil(0.25 * (SELECT count(*) FROM documents))::BIGINT) AS quota FROM documents GROUP BY source
 ),
+z AS (SELECT greatest(1, (sum(quota)::BIGINT + 2047) // 2048) AS size, greatest(1, (sum(n - quota)::BIGINT + 2047) // 2048) AS late_size FROM q),
+b AS (SELECT source, (quota + size - 1) // size AS early, (n - quota + late_size - 1) // late_size AS late FROM q, z),
+l AS (SELECT list(source ORDER BY source) AS names, list(early ORDER BY source) AS es, list(late ORDER BY source) AS ls, sum(early)::BIGINT AS me, sum(late)::BIGINT AS ml FROM b),
+early AS {_EDF.format(ns='es', m='me', name='early')},
+late AS {_EDF.format(ns='ls', m='ml', name='late')},
 plan AS (
-    SELECT names[pick] AS source, slot - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS block, ns[pick] AS n, m
-    FROM edf, l WHERE pick > 0
+    SELECT FALSE AS after, *, 0::BIGINT AS first FROM ({_SLOTS.format(ns='es', m='me', name='early')})
+    UNION ALL SELECT TRUE, s.*, me FROM ({_SLOTS.format(ns='ls', m='ml', name='late')}) s, l
 ),
-d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('0:' || doc_id), doc_id) - 1 AS nth FROM documents)
-SELECT doc_id, d.source, block, (block * m) // n AS release, ((block + 1) * m + n - 1) // n AS deadline, slot, nth % size AS place
-FROM d JOIN q USING (source) CROSS JOIN z JOIN plan ON plan.source = d.source AND plan.block = nth // size WHERE nth < quota
+d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('0:' || doc_id), doc_id) - 1 AS nth FROM documents),
+p AS (
+    SELECT doc_id, d.source, nth >= quota AS after, CASE WHEN nth >= quota THEN (nth - quota) // late_size ELSE nth // size END AS at,
+           CASE WHEN nth >= quota THEN (nth - quota) % late_size ELSE nth % size END AS place
+    FROM d JOIN q USING (source) CROSS JOIN z
+)
+SELECT doc_id, p.source, block + CASE WHEN p.after THEN early ELSE 0 END AS block, first + (block * m) // n AS release,
+       first + ((block + 1) * m + n - 1) // n AS deadline, first + slot AS slot, place
+FROM p JOIN b USING (source) JOIN plan ON plan.source = p.source AND plan.after = p.after AND plan.block = p.at
 """,
 )
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from crivo.session import publish
+
 KEYS = ("source", "lang", "version")
 SCHEMA = "source string, lang string, version string, n_docs long, n_tokens long"
 
@@ -35,7 +37,7 @@ def signed(batch: DataFrame) -> DataFrame:
     """A batch's delta: one row per key with the documents and tokens to add, which may be negative.
 
     A null count is 0, a null source, lang or version is a key of its own, a row of another kind changes nothing.
-    Repeated rows count as often as they are there.
+    Repeated rows count as often as they are there; an empty batch adds nothing.
     """
     kind, tokens, was = F.col("kind"), F.coalesce("tokens", F.lit(0)), F.coalesce("was", F.lit(0))
     docs = F.when(kind == "insert", 1).when(kind == "delete", -1).otherwise(0)
@@ -58,14 +60,12 @@ class Rollup:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
     def _publish(self, df: DataFrame, name: str) -> bool:
-        """Write under a temporary name, then rename; false if `name` was there first."""
-        temporary = self._where(f"{self.path}/_temporary/{uuid.uuid4().hex}")
-        df.write.parquet(temporary.toString())
-        final = self._where(f"{self.path}/{name}")
-        self._fs.mkdirs(final.getParent())
-        done = not self._fs.exists(final) and self._fs.rename(temporary, final)
+        """Write under a temporary name, then rename; false if `name` was there first, also if another committer was faster."""
+        temporary = f"{self.path}/_temporary/{uuid.uuid4().hex}"
+        df.write.parquet(temporary)
+        done = publish(self.spark, temporary, f"{self.path}/{name}")
         if not done:
-            self._fs.delete(temporary, True)
+            self._fs.delete(self._where(temporary), True)
         return done
 
     def _base(self) -> str | None:
@@ -102,9 +102,7 @@ class Rollup:
         work = f"{self.path}/_temporary/{uuid.uuid4().hex}"
         self.totals().write.parquet(f"{work}/totals")
         self.spark.createDataFrame([(b,) for b in sorted(folded)], "batch string").write.parquet(f"{work}/batches")
-        final = self._where(f"{self.path}/base/{number:09d}")
-        self._fs.mkdirs(final.getParent())
-        if not self._fs.rename(self._where(work), final):
+        if not publish(self.spark, work, f"{self.path}/base/{number:09d}"):
             raise RuntimeError("another compaction came first")
         for b in folded & set(self._names("deltas")):  # the base names them, so a reader in between counts them once
             self._fs.delete(self._where(f"{self.path}/deltas/{b}"), True)

@@ -81,3 +81,10 @@ def test_registered_stages_keep_a_hot_source(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert QUERIES["op9_mixing"](spark, str(tmp_path)).count() == 60
     assert corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).count() == 60
+
+
+def test_sql_agrees_on_a_hot_source(spark, tmp_path):
+    from .test_quality import same_as_sql
+
+    rows = [edge.row(i, f"t{i}", source="hot" if i % 3 else f"s{i % 7}") for i in range(5000)]
+    same_as_sql(spark, "op9_mixing", tmp_path, rows, edge.SCHEMA)

@@ -56,12 +56,12 @@ def test_divergences_against_brute_force(spark):
     words = Counter(w for r in rows for w in WORD.findall(r[1]))
     top = [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON_WORDS]]
     n = sum(words.values())
-    ref = [words[w] / n for w in top]
-    for r in rows:
+    for r in rows:  # against all other documents
         own, mine = classes(r[1]), Counter(WORD.findall(r[1]))
         size = sum(mine.values())
-        p = [mine[w] / size for w in top]
-        assert math.isclose(got[r[0]]["class_divergence"], js([x / sum(own) for x in own], [x / sum(total) for x in total]), abs_tol=1e-9)
+        p, ref = [mine[w] / size for w in top], [(words[w] - mine[w]) / (n - size) for w in top]
+        rest = [a - b for a, b in zip(total, own)]
+        assert math.isclose(got[r[0]]["class_divergence"], js([x / sum(own) for x in own], [x / sum(rest) for x in rest]), abs_tol=1e-9)
         assert math.isclose(got[r[0]]["word_divergence"], js(p + [1 - sum(p)], ref + [1 - sum(ref)]), abs_tol=1e-9)
     for r in got.values():
         close = len(r["row"]["text"]) < quality.MIN_CLASS_CHARS or r["class_divergence"] <= quality.MAX_CLASS_DIVERGENCE
@@ -79,10 +79,35 @@ def test_rare_and_null_languages_are_not_held_against_others(spark):
     got = {r["row"]["doc_id"]: r for r in quality.quality(edge.docs(spark, rows)).collect()}
     assert len(got) == len(rows) and all(len(r[1]) >= quality.MIN_CLASS_CHARS for r in rows)
     assert all(got[i]["class_divergence"] is None and got[i]["word_divergence"] is None for i in (5000, 5001))
-    own = [sum(x) for x in zip(classes(rows[-5][1]), classes(rows[-4][1]))]  # ja, 2 of 2107 documents
-    mine = classes(rows[-5][1])
-    assert math.isclose(got[5002]["class_divergence"], js([x / sum(mine) for x in mine], [x / sum(own) for x in own]), abs_tol=1e-9)
+    mine, other = classes(rows[-5][1]), classes(rows[-4][1])  # ja, 2 of 2107 documents: the other one is the reference
+    assert math.isclose(got[5002]["class_divergence"], js([x / sum(mine) for x in mine], [x / sum(other) for x in other]), abs_tol=1e-9)
+    assert got[5003]["class_divergence"] is None  # too little other text
     for i in (5000, 5001, 5002, 5003, 5010):
         assert got[i]["class_divergence"] is None or got[i]["class_divergence"] <= quality.MAX_CLASS_DIVERGENCE
         assert got[i]["kept"] and not got[i]["base_failed"]
     assert not got[5011]["kept"] and not got[5012]["kept"]  # junk in a rare language is still found
+
+
+def same_as_sql(spark, name, path, rows, schema):
+    """Does the registered query give what its SQL says of the table `rows`?"""
+    import duckdb
+
+    import crivo.llm.queries  # noqa: F401
+
+    from crivo.plans.registry import ORACLE, QUERIES
+
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    got, want = QUERIES[name](spark, str(path)).toPandas(), con.execute(ORACLE[name]).fetchdf()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns) and len(got) == len(rows)
+    key = lambda df: sorted((tuple(None if v != v else v for v in r) for r in df[columns].astype(object).itertuples(index=False)), key=repr)
+    assert key(got) == key(want)
+
+
+def test_sql_agrees_on_a_rare_language(spark, tmp_path):
+    rows = [edge.row(i, " ".join(f"w{(i * j) % 17}" if j % 3 else "the" for j in range(70)), "en") for i in range(60)]
+    rows += [edge.row(100 + i, " ".join(chr(0x3042 + j % (30 + i)) * 4 for j in range(400)), "ja") for i in range(4)]
+    rows += [edge.row(200, "| " + " | ".join(f"Z{j}#" for j in range(300)), "ja"), edge.row(201, "lone " * 300, "xx"), edge.row(202, "no lang " * 90, None)]
+    same_as_sql(spark, "op7_quality", tmp_path, rows, edge.SCHEMA)

@@ -42,3 +42,13 @@ def test_empty(spark, tmp_path):
     rollup = Rollup(spark, f"{tmp_path}/r")
     assert rollup.commit("none", changes(edge.empty(spark), "insert", "v", F.length("text")))
     assert totals(rollup) == []
+
+
+def test_the_slower_of_two_committers_changes_nothing(spark, tmp_path):
+    """Both have seen that the batch is not there; the rename tells them apart."""
+    one, two = Rollup(spark, f"{tmp_path}/r"), Rollup(spark, f"{tmp_path}/r")
+    batch = changes(edge.docs(spark), "insert", "v1", F.length("text"))
+    from crivo.llm.rollups import signed
+
+    assert one._publish(signed(batch), "deltas/x") and not two._publish(signed(batch), "deltas/x")
+    assert sum(r[3] for r in totals(one)) == len(edge.ROWS) and not two.commit("x", batch)
