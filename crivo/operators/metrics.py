@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from crivo.functions.scores import hash_number, predict_at, ratio
-from crivo.operators.ranking import hash_rank, running_points, score_points
+from crivo.functions.scores import binomial_draw, predict_at, ratio, uniforms
+from crivo.operators.ranking import running_points, score_points
 from crivo.operators.relational import with_row
+from crivo.session import materialise
 
 ROUND = 6
+BROADCAST_LEVELS = 12  # a level of the draw's tree has at most 2 ** level nodes
 
 
 def _r(c: Column, digits: int = ROUND) -> Column:
@@ -196,48 +198,51 @@ def class_report(preds: DataFrame) -> DataFrame:
     return out.select("class", *[_r(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
-def bootstrap_replicates(
-    preds: DataFrame, threshold: float, key: str, replicates: int = 2000, seed: int = 42, with_ap: bool = False
-) -> DataFrame:
-    """Metrics of each bootstrap replicate.
+def multinomial_draws(cells: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
+    """(replicate, cell, n): per replicate, how often each cell is drawn when all rows are drawn with replacement.
 
-    A replicate draws n rows with replacement: draw (replicate, row) picks index md5(seed:replicate:row) mod n.
-    Without AP only the confusion cell of the drawn row matters, so the rows are thought of as laid out by cell: a
-    draw is a comparison with three running totals, and the draws of a task fold to one row per replicate before
-    the shuffle. With AP a draw meets its row through an equi-join on the row index.
+    `cells` (cell, weight) numbers the cells from 0 and says how many rows each holds. The counts come down a binary tree:
+    the rows of a node that go to its left half are a binomial draw with the half's share of the node, seeded by
+    replicate, level and node. So the work is cells times replicates, however many rows there are. Counts of 0 are left out.
+    """
+    last, total = cells.agg(F.max("cell"), F.sum("weight")).first()
+    levels = int(last or 0).bit_length()
+    state = cells.sparkSession.range(1, replicates + 1).select(F.col("id").alias("replicate"), F.lit(0).cast("bigint").alias("cell"), F.lit(total or 0).cast("bigint").alias("n"))
+    for level in range(levels):
+        half = F.shiftright("cell", levels - level - 1)
+        left = F.sum(F.when(half % 2 == 0, F.col("weight")).otherwise(0)).cast("double")
+        shares = cells.groupBy(F.shiftright("cell", levels - level).alias("cell")).agg(F.coalesce(F.try_divide(left, F.sum("weight")), F.lit(0.0)).alias("share"))
+        state = state.where("n > 0").join(F.broadcast(shares) if level <= BROADCAST_LEVELS else shares, "cell")  # 2 ** level rows
+        u, u2 = uniforms(seed, F.col("replicate"), level, F.col("cell"))
+        state = state.withColumn("left", binomial_draw(F.col("n"), F.col("share"), u, u2))
+        sides = F.array(F.struct((F.col("cell") * 2).alias("cell"), F.col("left").alias("n")), F.struct((F.col("cell") * 2 + 1).alias("cell"), (F.col("n") - F.col("left")).alias("n")))
+        state = state.select("replicate", F.explode(sides).alias("s")).select("replicate", "s.cell", "s.n")
+    return state.where("n > 0")
+
+
+def bootstrap_replicates(preds: DataFrame, threshold: float, replicates: int = 2000, seed: int = 42, with_ap: bool = False) -> DataFrame:
+    """Metrics of each bootstrap replicate: as many rows as there are, drawn with replacement.
+
+    Rows that agree in what a metric sees are one cell: the four cells of the confusion matrix, or with AP the distinct
+    (score, label). Only counts per cell are drawn, never rows.
     """
-    draws = preds.select(F.col(key).cast("string").alias("_key")).withColumn(
-        "replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    )
     if not with_ap:
-        total = confusion(preds.withColumn("pred", predict_at(F.col("score"), F.lit(threshold))))
-        idx = F.pmod(hash_number(seed, F.col("replicate"), F.col("_key")), F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn"))
-        drawn = with_row(draws, total).withColumn("i", idx)
-        a, b, c = F.col("tp"), F.col("tp") + F.col("fn"), F.col("tp") + F.col("fn") + F.col("fp")
-        cells = drawn.groupBy("replicate").agg(
-            F.count_if(F.col("i") < a).alias("tp"),
-            F.count_if((F.col("i") >= b) & (F.col("i") < c)).alias("fp"),
-            F.count_if((F.col("i") >= a) & (F.col("i") < b)).alias("fn"),
-            F.count_if(F.col("i") >= c).alias("tn"),
-        )
-        return rates(cells)
-    return _replicates_with_ap(preds, draws, threshold, key, seed)
-
-
-def _replicates_with_ap(preds: DataFrame, draws: DataFrame, threshold: float, key: str, seed: int) -> DataFrame:
-    # Any one-to-one row index serves; hash order needs no sort by score and has even keys for the join.
-    index = hash_rank(preds.select(key, "score", "label"), key, f"{seed}:index", out="_i")
-    index = index.select((F.col("_i") - 1).alias("i"), "score", "label")
-    drawn = with_row(draws, preds.agg(F.count(F.lit(1)).alias("size"))).select(
-        "replicate", F.pmod(hash_number(seed, F.col("replicate"), F.col("_key")), F.col("size")).alias("i")
-    )
-    sample = (
-        drawn.join(index, "i")
-        .groupBy("replicate", "score")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
-    )
+        names = ("tp", "fn", "fp", "tn")
+        whole = confusion(preds.withColumn("pred", predict_at(F.col("score"), F.lit(threshold))))
+        entries = F.array(*[F.struct(F.lit(i).cast("bigint").alias("cell"), F.col(c).alias("weight")) for i, c in enumerate(names)])
+        drawn = multinomial_draws(whole.select(F.explode(entries).alias("e")).select("e.*"), replicates, seed)
+        return rates(drawn.groupBy("replicate").agg(*[F.coalesce(F.sum(F.when(F.col("cell") == i, F.col("n"))), F.lit(0)).alias(c) for i, c in enumerate(names)]))
+    points = score_points(preds)
+    ranked = running_points(points.select("score", F.lit(1).alias("n"), F.lit(0).alias("pos")))  # fp counts the scores down to this one
+    ranked = materialise(points.join(ranked.select("score", (F.col("fp") - 1).alias("place")), "score"), "bootstrap-cells")
+    cells = ranked.select(F.explode(F.array(
+        F.struct((F.col("place") * 2).alias("cell"), F.col("pos").alias("weight")), F.struct((F.col("place") * 2 + 1).alias("cell"), (F.col("n") - F.col("pos")).alias("weight"))
+    )).alias("e")).select("e.*")
+    drawn = multinomial_draws(cells, replicates, seed).withColumn("place", F.shiftright("cell", 1))
+    at = ranked.select("place", "score")
+    sample = drawn.join(at, "place").groupBy("replicate", "score").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("cell") % 2 == 0, F.col("n")).otherwise(0)).alias("pos"))
     # Each replicate is an evaluation set of its own; its running totals are bucketed like any other's.
-    run = running_points(sample, ["replicate"])
+    run = running_points(materialise(sample, "bootstrap-sample"), ["replicate"])
     hit = F.col("score") >= threshold
     neg = F.col("n") - F.col("pos")
     out = run.groupBy("replicate").agg(
@@ -254,7 +259,6 @@ def _replicates_with_ap(preds: DataFrame, draws: DataFrame, threshold: float, ke
 def bootstrap_ci(
     preds: DataFrame,
     threshold: float,
-    key: str,
     replicates: int = 2000,
     seed: int = 42,
     level: float = 0.95,
@@ -262,7 +266,7 @@ def bootstrap_ci(
     skip_degenerate: bool = True,
 ) -> DataFrame:
     """Percentile interval of each metric. `skip_degenerate` leaves out replicates with a single class."""
-    reps = bootstrap_replicates(preds, threshold, key, replicates, seed, with_ap)
+    reps = bootstrap_replicates(preds, threshold, replicates, seed, with_ap)
     if skip_degenerate:
         reps = reps.where("tp + fn > 0 AND fp + tn > 0")
     names = ["f1", "recall", "precision"] + (["ap"] if with_ap else [])

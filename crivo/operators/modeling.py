@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Normalizer
@@ -14,9 +18,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from crivo.functions.text import word_tokens
 from crivo.operators.metrics import binary_metrics, ranking_metrics
-from crivo.operators.relational import with_row
+from crivo.operators.ranking import hash_rank
+from crivo.operators.multifit import Setting, fit_many, fold_counts, margins
+from crivo.operators.relational import join_groups, with_row
 from crivo.operators.sampling import NATURAL, ratio_undersample, stratified_folds
-from crivo.operators.tfidf import CLASSIFIER, TfidfSpec, collect_vocabulary, count_vectors, most_frequent, vocabulary
+from crivo.operators.stages import SharedPipeline, TfidfEstimator
+from crivo.operators.tfidf import CLASSIFIER, TfidfSpec, collect_vocabulary, count_vectors, most_frequent, tfidf_vectors, vocabulary
+from crivo.session import materialise
 
 # The grid of the reference experiment.
 GRID_C = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0)
@@ -77,6 +85,30 @@ def lexicon_scores(df: DataFrame, weights: DataFrame) -> DataFrame:
     return rest.join(sums, "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def held_out_scores(df: DataFrame, min_df: int = 5) -> DataFrame:
+    """Every row scored by the lexicon of all other sources: `score` beside the columns of `df` but the text.
+
+    A source's own counts are subtracted from the totals instead of counting anew without it: one pass over the texts serves
+    every source. A row's terms are terms of its source, so the weights needed are those of the (term, source) pairs
+    that occur. Rows without a source belong to every lexicon and are not scored.
+    """
+    one, zero = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
+    present = df.select("doc_id", "source", "label", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("term"))
+    own = materialise(present.groupBy("term", "source").agg(one.alias("o1"), zero.alias("o0")), "source-terms")
+    whole = own.groupBy("term").agg(F.sum("o1").alias("c1"), F.sum("o0").alias("c0"))
+    sizes = df.groupBy("source").agg(one.alias("s1"), zero.alias("s0"))
+    sizes = with_row(sizes, df.agg(one.alias("n1"), zero.alias("n0")))
+    sizes = sizes.join(own.groupBy("source").agg(F.count("*").alias("_terms")), "source")
+    left = own.join(whole, "term").select("term", "source", (F.col("c1") - F.col("o1")).alias("c1"), (F.col("c0") - F.col("o0")).alias("c0"))
+    left = join_groups(left.where((F.col("c1") + F.col("c0") >= min_df) & F.col("source").isNotNull()), sizes, "source", "_terms", "term")
+    positive = (F.col("c1") + 1.0) / (F.col("n1") - F.col("s1") + 2.0)
+    negative = (F.col("c0") + 1.0) / (F.col("n0") - F.col("s0") + 2.0)
+    weights = left.select("term", "source", F.round(F.log(positive / negative) * 10000).cast("bigint").alias("weight"))
+    sums = present.join(weights, ["term", "source"]).groupBy("doc_id").agg((F.sum("weight") / 10000.0).alias("score"))
+    rest = df.drop("text", "score").where("source IS NOT NULL")
+    return rest.join(sums, "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def svm(n: int, c: float = 0.1, max_iter: int = 100, weight: str | None = None) -> LinearSVC:
     """Linear SVM whose penalty matches C on n rows; the margin is the score, its cut is 0."""
     est = LinearSVC(regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=max_iter, labelCol="label")
@@ -149,7 +181,11 @@ def ratio_sweep(
     return out
 
 
-def cross_validate(features: DataFrame, cs: Sequence[float], folds: int = 5, seed=42, max_iter: int = 100, parallelism: int = 4):
+def _cores(spark) -> int:
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
+def cross_validate(features: DataFrame, cs: Sequence[float], folds: int = 5, seed=42, max_iter: int = 100, parallelism: int | None = None):
     """(best C, its mean F1 over stratified folds, model refitted on all rows); the first C wins a tie."""
     rows = features.join(stratified_folds(features, folds, seed).select("doc_id", "fold"), "doc_id")
     rows = rows.select("label", "features", "fold").persist()
@@ -161,7 +197,8 @@ def cross_validate(features: DataFrame, cs: Sequence[float], folds: int = 5, see
         grid = ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * fitted_on) for c in cs]).build()
         f1 = MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0)
         cv = CrossValidator(
-            estimator=est, estimatorParamMaps=grid, evaluator=f1, numFolds=folds, foldCol="fold", parallelism=parallelism
+            estimator=est, estimatorParamMaps=grid, evaluator=f1, numFolds=folds, foldCol="fold",
+            parallelism=parallelism or _cores(features.sparkSession),
         ).fit(pack(rows, n))
         best = max(range(len(cs)), key=lambda i: cv.avgMetrics[i])
         model = svm(n, cs[best], max_iter).fit(pack(rows, n))
@@ -170,6 +207,24 @@ def cross_validate(features: DataFrame, cs: Sequence[float], folds: int = 5, see
     return cs[best], cv.avgMetrics[best], model
 
 
+def ranked_vectors(train: DataFrame, others: DataFrame, spec: TfidfSpec, features: Sequence[int]) -> list[DataFrame]:
+    """`train` and `others` with sparse unit vectors (idx, w) in place of their text; idx ranks the terms by frequency.
+
+    Vocabularies are the most frequent terms, so each is the beginning of the next, with the same idf: a text is vectorised
+    once for the largest, and a smaller vocabulary is the terms of lower rank.
+    """
+    spec = replace(spec, max_features=max(features))
+    terms = materialise(vocabulary(train, spec), "grid-terms")
+    total = terms.select("idx", "term", "total").toArrow().sort_by("idx")  # max_features rows
+    order = sorted(range(total.num_rows), key=lambda i: (-total["total"][i].as_py(), total["term"][i].as_py()))
+    rank = F.lit([int(r) for r in np.argsort(order)]).cast("array<int>")
+    out = []
+    for df in (train, others):
+        vectors = tfidf_vectors(df, terms, spec, tuple(c for c in df.columns if c != "text")).drop("sig")
+        out.append(materialise(vectors.withColumn("idx", F.transform("idx", lambda i: F.get(rank, i))), "grid-vectors"))
+    return out
+
+
 def grid_search(
     train: DataFrame,
     dev: DataFrame,
@@ -179,31 +234,99 @@ def grid_search(
     folds: int = 5,
     spec: TfidfSpec = CLASSIFIER,
     seed=42,
-    max_iter: int = 100,
+    max_iter: int = 40,
 ) -> tuple[DataFrame, DataFrame]:
     """(grid, predictions) over ratio x feature count x C, the C chosen by stratified cross-validation on F1.
 
-    As in the experiment it follows, the vocabulary is fitted once per training set, outside the folds.
+    As in the experiment it follows, the vocabulary is fitted once per training set, outside the folds; `grid_search_in_fold`
+    fits it inside. The models of a training set, all counts, penalties and folds, are fitted together: see `multifit`.
     """
     spark = train.sparkSession
-    sets = training_sets(train, ratios, seed)
-    chosen, preds = [], None
-    for name in ratios:
-        rows = one_set(train, sets, name)
-        for k in features:
-            vec = fit_vectorizer(rows, replace(spec, max_features=k))
-            c, f1, model = cross_validate(vec.transform(rows), cs, folds, seed, max_iter)
-            chosen.append((name, k, float(c), float(f1)))
-            scored = decision_scores(model, vec.transform(dev)).withColumns({"ratio": F.lit(name), "max_features": F.lit(k)})
-            preds = scored if preds is None else preds.unionByName(scored)
-    cv = spark.createDataFrame(chosen, "ratio string, max_features int, best_c double, cv_f1 double")
+    sets = materialise(training_sets(train, ratios, seed), "grid-sets")
+
+    def fit(name: str) -> tuple[list, DataFrame]:
+        rows, others = ranked_vectors(one_set(train, sets, name), dev, spec, features)
+        fold = stratified_folds(rows.select("doc_id", "label"), folds, seed).select("doc_id", "fold")
+        rows = rows.join(fold, "doc_id").select("label", "fold", "idx", "w")
+        rows = materialise(pack(rows, rows.count()), "grid-rows")
+        settings = [Setting(k, c, f) for k in features for c in cs for f in (-1, *range(folds))]
+        weights = fit_many(rows, settings, max_iter)
+        tp, fp, fn = fold_counts(rows, settings, weights)
+        f1 = np.where(2 * tp + fp + fn > 0, 2 * tp / np.maximum(2 * tp + fp + fn, 1), 0.0)
+        mean = {(k, c): float(np.mean([f1[i] for i, s in enumerate(settings) if (s.features, s.c) == (k, c) and s.fold >= 0])) for k in features for c in cs}
+        best = {k: max(cs, key=lambda c, k=k: mean[k, c]) for k in features}  # the first of equal ones
+        winners = [Setting(k, best[k]) for k in features]
+        columns = weights[:, [settings.index(s) for s in winners]]
+        scored = margins(others, winners, columns).withColumn("pred", (F.col("score") >= 0).cast("int"))
+        count = F.get(F.lit([int(k) for k in features]).cast("array<int>"), F.col("setting"))
+        scored = scored.withColumns({"ratio": F.lit(name), "max_features": count}).drop("setting")
+        return [(name, k, float(best[k]), mean[k, best[k]]) for k in features], scored
+
+    with ThreadPool(max(1, min(len(ratios), _cores(spark)))) as pool:
+        fitted = pool.map(inheritable_thread_target(spark)(fit), list(ratios), chunksize=1)
+    preds = reduce(DataFrame.unionByName, [p for _, p in fitted])
+    return _grid_table(preds, [c for part, _ in fitted for c in part]), preds
+
+
+def _grid_table(preds: DataFrame, chosen: list[tuple[str, int, float, float]]) -> DataFrame:
+    cv = preds.sparkSession.createDataFrame(chosen, "ratio string, max_features int, best_c double, cv_f1 double")
     m = binary_metrics(preds, 0.0, ["ratio", "max_features"])
-    grid = m.join(F.broadcast(cv), ["ratio", "max_features"]).select(
+    return m.join(F.broadcast(cv), ["ratio", "max_features"]).select(
         "ratio", "max_features", "best_c", F.bround("cv_f1", 4).alias("cv_f1"),
         *[F.bround(x, 4).alias(f"dev_{x}") for x in ("accuracy", "precision", "recall", "f1")],
         "tp", "fp", "fn", "tn",
     )
-    return grid, preds
+
+
+def bounded_rows(train: DataFrame, most: int, seed=42) -> DataFrame:
+    """At most `most` rows, the first of the seeded order within each class, in the classes' shares."""
+    ranked = hash_rank(train.select("doc_id", "label"), "doc_id", f"{seed}:rows", by=["label"])
+    sizes = train.groupBy("label").agg(F.count("*").alias("_n"))  # a row per class
+    total = train.agg(F.count("*").alias("_all"))
+    share = F.floor(F.col("_n") * most / F.greatest(F.col("_all"), F.lit(most)))
+    few = with_row(ranked.join(F.broadcast(sizes), "label"), total).where(F.col("rank") <= share)
+    return train.join(few.select("doc_id"), "doc_id", "left_semi")
+
+
+def grid_search_in_fold(
+    train: DataFrame,
+    dev: DataFrame,
+    features: Sequence[int] = GRID_FEATURES,
+    cs: Sequence[float] = GRID_C,
+    folds: int = 5,
+    spec: TfidfSpec = CLASSIFIER,
+    seed=42,
+    max_iter: int = 100,
+    most_rows: int = 20_000,
+) -> tuple[DataFrame, DataFrame]:
+    """(grid, predictions) over feature count x C, with the vocabulary fitted anew inside every fold.
+
+    No term is known from held-out rows. At most `most_rows` labelled rows are fitted on: this is folds x features
+    vocabularies where `grid_search` needs one.
+    """
+    spark = train.sparkSession
+    rows = bounded_rows(train, most_rows, seed)
+    rows = rows.join(stratified_folds(rows, folds, seed).select("doc_id", "fold"), "doc_id")
+    rows = materialise(rows.select("doc_id", "label", "text", "fold"), "in-fold-rows")
+    n = rows.count()
+
+    def fit(k: int):
+        est = svm(n, cs[0], max_iter)
+        pipeline = SharedPipeline(stages=[TfidfEstimator.of(replace(spec, max_features=k)), est])
+        fitted_on = max(n, 1) * (folds - 1) / folds
+        grid = ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * fitted_on) for c in cs]).build()
+        f1 = MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0)
+        cv = CrossValidator(
+            estimator=pipeline, estimatorParamMaps=grid, evaluator=f1, numFolds=folds, foldCol="fold", parallelism=max(1, _cores(spark) // 2)
+        ).fit(rows.drop("doc_id"))
+        best = max(range(len(cs)), key=lambda i: cv.avgMetrics[i])
+        scored = decision_scores(cv.bestModel, dev).drop("text")
+        return cs[best], cv.avgMetrics[best], scored.withColumns({"ratio": F.lit(NATURAL), "max_features": F.lit(k)})
+
+    with ThreadPool(max(1, min(len(features), _cores(spark)))) as pool:
+        fitted = pool.map(inheritable_thread_target(spark)(fit), features, chunksize=1)
+    preds = reduce(DataFrame.unionByName, [p for *_, p in fitted])
+    return _grid_table(preds, [(NATURAL, k, float(c), float(f1)) for k, (c, f1, _) in zip(features, fitted)]), preds
 
 
 def final_eval(

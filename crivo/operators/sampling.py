@@ -164,12 +164,14 @@ def write_sets(sets: DataFrame, rows: DataFrame, path: str, key: str = "doc_id",
     return write_table(sets.select("set_name", key).join(rows, key), path, fmt, partition_by=["set_name"])
 
 
-def leave_one_source_out(df: DataFrame, held_out: Sequence[str]) -> DataFrame:
-    """Set sizes when each given source is held out: the rest to train on, the source to test on."""
-    g = df.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("pos"))
-    rows = g.withColumn("held_out", F.explode(F.array(*[F.lit(s) for s in held_out])))
-    role = F.when(F.col("source") == F.col("held_out"), "test").otherwise("train")
-    return rows.groupBy("held_out", role.alias("role")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+def leave_one_source_out(df: DataFrame) -> DataFrame:
+    """Set sizes when each source in turn is held out: the source to test on, all rows less its own to train on."""
+    sizes = [F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("pos")]
+    whole = df.agg(*sizes).withColumnsRenamed({"n": "_n", "pos": "_pos"})
+    per_source = with_row(df.where("source IS NOT NULL").groupBy(F.col("source").alias("held_out")).agg(*sizes), whole)
+    test = F.struct(F.lit("test").alias("role"), "n", "pos")
+    train = F.struct(F.lit("train").alias("role"), (F.col("_n") - F.col("n")).alias("n"), (F.col("_pos") - F.col("pos")).alias("pos"))
+    return per_source.select("held_out", F.explode(F.array(train, test)).alias("s")).select("held_out", "s.*")
 
 
 def without_source(df: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:

@@ -12,8 +12,6 @@ from crivo.plans.registry import div, pct, query
 from crivo.session import materialise, scratch
 from crivo.sources import views as V
 
-HELD_OUT = ("src0", "src3")
-
 
 @query(
     "canonical_split_counts",
@@ -137,20 +135,13 @@ def oversampled_folds(spark, sf):
     "held_out_source_recall",
     f"SELECT config AS held_out, tp, fp, fn, tn, round_even({div('tp','tp+fn')},6) AS recall, round_even({div('fp','fp+tn')},6) AS fpr FROM (SELECT config, {_cells(f'score>={THRESHOLD}')} FROM ho GROUP BY config)",
     "corpus",
-    _lexicon_sql(f"SELECT h AS config, doc_id, label FROM corpus, (VALUES {', '.join(f'({s!r})' for s in HELD_OUT)}) v(h) WHERE source<>h")
-    + ", ho AS (SELECT c.source AS config, c.label, coalesce(sc.score,0::DOUBLE) AS score FROM corpus c LEFT JOIN sc ON sc.doc_id=c.doc_id AND sc.config=c.source WHERE c.source IN "
-    + f"({', '.join(repr(s) for s in HELD_OUT)}))",
+    _lexicon_sql("SELECT h AS config, doc_id, label FROM corpus, (SELECT DISTINCT source AS h FROM corpus) WHERE source<>h")
+    + ", ho AS (SELECT c.source AS config, c.label, coalesce(sc.score,0::DOUBLE) AS score FROM corpus c LEFT JOIN sc ON sc.doc_id=c.doc_id AND sc.config=c.source)",
 )
 def held_out_source_recall(spark, sf):
-    """For each source: a lexicon fitted to all other sources, judged on that one."""
-    c = V.corpus(spark, sf)
-    out = None
-    for source in HELD_OUT:
-        rest, held = SA.without_source(c, source)
-        part = ML.lexicon_scores(held, ML.lexicon(rest)).withColumn("held_out", F.lit(source))
-        out = part if out is None else out.unionByName(part)
-    m = M.binary_metrics(out, THRESHOLD, ["held_out"])
-    return m.select("held_out", "tp", "fp", "fn", "tn", "recall", "fpr")
+    """For every source: a lexicon fitted to all other sources, judged on that one."""
+    m = M.binary_metrics(ML.held_out_scores(V.corpus(spark, sf)), THRESHOLD, ["source"])
+    return m.select(F.col("source").alias("held_out"), "tp", "fp", "fn", "tn", "recall", "fpr")
 
 
 @query(

@@ -97,7 +97,7 @@ def domain_shift_experiment(
     }
     for name in ("test", "exposure"):
         part = scored.where(F.col("eval_set") == name)
-        out[f"ci_{name}"] = M.bootstrap_ci(part, threshold, "doc_id", with_ap=True, seed=seed)
+        out[f"ci_{name}"] = M.bootstrap_ci(part, threshold, with_ap=True, seed=seed)
     if check_similarity:
         out["pool_max_similarity"] = N.pool_max_similarity(train, pool, POOL)
     return out

@@ -134,11 +134,11 @@ def ratio_oversample(spark, sf):
 @query(
     "leave_one_source_out",
     """SELECT held_out, CASE WHEN source=held_out THEN 'test' ELSE 'train' END AS role, count(*) AS n, count(*) FILTER (label=1) AS pos
-      FROM corpus_all, (VALUES ('src0'),('src3')) h(held_out) GROUP BY ALL""",
+      FROM corpus_all, (SELECT DISTINCT source AS held_out FROM corpus_all) GROUP BY ALL""",
     "corpus_all",
 )
 def leave_one_source_out(spark, sf):
-    return SA.leave_one_source_out(V.corpus_all(spark, sf), ["src0", "src3"])
+    return SA.leave_one_source_out(V.corpus_all(spark, sf))
 
 
 # ---- tf-idf and similarity
@@ -442,38 +442,61 @@ def best_threshold(spark, sf):
 
 
 _REPLICATES = 2000
-_BOOT = f"""pos AS (SELECT count(*) FILTER (label=1 AND score>={THRESHOLD}) AS a, count(*) FILTER (label=1) AS b,
-      count(*) FILTER (label=1)+count(*) FILTER (label=0 AND score>={THRESHOLD}) AS c, count(*) AS n FROM e),
-    dr AS (SELECT rep, (('0x'||substr(md5('42:'||rep||':'||doc_id),1,15))::BIGINT % n) AS i FROM e, (SELECT unnest(range(1,{_REPLICATES + 1})) AS rep), pos)"""
+_TERMS = """list_reduce(list_transform(range(0, least(n, 200) + 1), lambda i: {'i': i::DOUBLE, 'p': 0::DOUBLE, 'c': 0::DOUBLE, 'j': 0::BIGINT}),
+      lambda a, e: {'i': e.i, 'p': a.p * (n - e.i) / (e.i + 1) * (rare / (1 - rare)), 'c': a.c + a.p, 'j': a.j + (a.c + a.p < u)::BIGINT},
+      {'i': 0::DOUBLE, 'p': pow(1 - rare, n::DOUBLE), 'c': 0::DOUBLE, 'j': 0::BIGINT}).j"""
+#: Counts draws(rep, cell, n) of cells(cell, weight), split in halves from the top by seeded binomial quantiles.
+_DRAWS = f"""size AS (SELECT CASE WHEN max(cell)=0 THEN 0 ELSE length(bin(max(cell))) END AS levels, sum(weight)::BIGINT AS total FROM cells),
+    sh AS (SELECT lvl, cell >> (levels-lvl) AS cell, coalesce((sum(weight) FILTER ((cell >> (levels-lvl-1)) % 2 = 0))::DOUBLE/nullif(sum(weight),0),0) AS share
+      FROM cells, size, (SELECT unnest(range(40))::INT AS lvl) WHERE lvl<levels GROUP BY ALL),
+    tree AS (SELECT rep, 0 AS lvl, 0::BIGINT AS cell, total AS n FROM size, (SELECT unnest(range(1,{_REPLICATES + 1})) AS rep)
+      UNION ALL SELECT rep, lvl+1, 2*cell+side, CASE side WHEN 0 THEN l ELSE n-l END FROM (
+        SELECT *, CASE WHEN share>0.5 THEN n-d ELSE d END AS l FROM (
+          SELECT *, CASE WHEN n*rare>50 THEN greatest(least(round(n*rare+sqrt(n*rare*(1-rare))*sqrt(-2*ln(u))*cos(2*pi()*u2))::BIGINT, n), 0) ELSE least({_TERMS}, n) END AS d FROM (
+            SELECT *, least(share, 1-share) AS rare, (('0x'||substr(h,1,13))::BIGINT+0.5::DOUBLE)/4503599627370496::DOUBLE AS u, (('0x'||substr(h,14,13))::BIGINT+0.5::DOUBLE)/4503599627370496::DOUBLE AS u2
+            FROM (SELECT tree.*, share, md5('42:'||rep||':'||tree.lvl||':'||tree.cell) AS h FROM tree JOIN sh ON sh.lvl=tree.lvl AND sh.cell=tree.cell WHERE n>0)))),
+        (VALUES (0),(1)) v(side)),
+    draws AS (SELECT rep, cell, n FROM tree, size WHERE lvl=levels AND n>0)"""
+_BOOT = f"""cells AS (SELECT unnest([0,1,2,3])::BIGINT AS cell, unnest([tp,fn,fp,tn]) AS weight FROM (SELECT {_cells(f'score>={THRESHOLD}')} FROM e)), {_DRAWS},
+    rr AS (SELECT *, {_RATES} FROM (SELECT rep, {', '.join(f'coalesce(sum(n) FILTER (cell={i}),0) AS {c}' for i, c in enumerate(('tp', 'fn', 'fp', 'tn')))} FROM draws GROUP BY rep))"""
 _ENTRIES = """SELECT metric, count(*) AS replicates, round_even(quantile_cont(v,0.025),4) AS low, round_even(quantile_cont(v,0.975),4) AS high
-      FROM (UNPIVOT (SELECT {cols} FROM rr WHERE tp+fn>0 AND fp+tn>0) ON {cols} INTO NAME metric VALUE v) GROUP BY metric"""
+      FROM (UNPIVOT (SELECT {cols} FROM rr WHERE {kept}) ON {cols} INTO NAME metric VALUE v) GROUP BY metric"""
+_TWO_CLASSES = "tp+fn>0 AND fp+tn>0"
 
 
-@query(
-    "bootstrap_ci",
-    _ENTRIES.format(cols="f1, recall, precision"),
-    "corpus",
-    f"""{SCORED}, e AS (SELECT * FROM s WHERE split='test'), {_BOOT}, rr AS (SELECT *, {_RATES} FROM (SELECT rep, count(*) FILTER (i<a) AS tp,
-      count(*) FILTER (i>=b AND i<c) AS fp, count(*) FILTER (i>=a AND i<b) AS fn, count(*) FILTER (i>=c) AS tn FROM dr, pos GROUP BY rep))""",
-)
+def _boot_sql(cols: str, ctes: str, kept: str = _TWO_CLASSES) -> str:
+    return f"SELECT * FROM (WITH RECURSIVE e AS (SELECT * FROM s WHERE split='test'), {ctes} {_ENTRIES.format(cols=cols, kept=kept)})"
+
+
+@query("bootstrap_ci", _boot_sql("f1, recall, precision", _BOOT), "corpus", SCORED)
 def bootstrap_ci(spark, sf):
-    return M.bootstrap_ci(scored(spark, sf).where("split = 'test'"), THRESHOLD, "doc_id", _REPLICATES)
+    return M.bootstrap_ci(scored(spark, sf).where("split = 'test'"), THRESHOLD, _REPLICATES)
+
+
+@query("bootstrap_ci_kept", _boot_sql("f1, recall", _BOOT, "true"), "corpus", SCORED)
+def bootstrap_ci_kept(spark, sf):
+    """The variant that keeps replicates with a single class: their undefined rates count as 0."""
+    ci = M.bootstrap_ci(scored(spark, sf).where("split = 'test'"), THRESHOLD, _REPLICATES, skip_degenerate=False)
+    return ci.where("metric <> 'precision'")
 
 
 @query(
     "bootstrap_ci_ap",
-    _ENTRIES.format(cols="f1, recall, precision, ap"),
-    "corpus",
-    f"""{SCORED}, e AS (SELECT * FROM s WHERE split='test'), {_BOOT},
-    ix AS (SELECT score, label, row_number() OVER (ORDER BY md5('42:index:'||doc_id), doc_id)-1 AS i FROM e),
-    g AS (SELECT rep, score, count(*) AS n, sum(label)::BIGINT AS pos FROM dr JOIN ix USING (i) GROUP BY rep, score),
+    _boot_sql(
+        "f1, recall, precision, ap",
+        f"""places AS (SELECT score, dense_rank() OVER (ORDER BY score DESC)-1 AS place, n, pos FROM (SELECT score, count(*) AS n, sum(label)::BIGINT AS pos FROM e GROUP BY score)),
+    cells AS (SELECT 2*place AS cell, pos AS weight FROM places UNION ALL SELECT 2*place+1, n-pos FROM places), {_DRAWS},
+    g AS (SELECT rep, score, sum(draws.n)::BIGINT AS n, coalesce(sum(draws.n) FILTER (cell % 2 = 0),0)::BIGINT AS pos FROM draws JOIN places ON place=cell//2 GROUP BY rep, score),
     pts AS (SELECT *, sum(pos) OVER d AS tpc, sum(n) OVER d AS nc FROM g WINDOW d AS (PARTITION BY rep ORDER BY score DESC)),
     rr AS (SELECT *, {_RATES} FROM (SELECT rep, coalesce(sum(pos) FILTER (score>={THRESHOLD}),0) AS tp, coalesce(sum(n-pos) FILTER (score>={THRESHOLD}),0) AS fp,
       coalesce(sum(pos) FILTER (score<{THRESHOLD}),0) AS fn, coalesce(sum(n-pos) FILTER (score<{THRESHOLD}),0) AS tn,
       {div('sum(pos*tpc::DOUBLE/nc)','sum(pos)')} AS ap FROM pts GROUP BY rep))""",
+    ),
+    "corpus",
+    SCORED,
 )
 def bootstrap_ci_ap(spark, sf):
-    return M.bootstrap_ci(scored(spark, sf).where("split = 'test'"), THRESHOLD, "doc_id", _REPLICATES, with_ap=True)
+    return M.bootstrap_ci(scored(spark, sf).where("split = 'test'"), THRESHOLD, _REPLICATES, with_ap=True)
 
 
 _NAMES = ("ap", "roc_auc", "f1", "precision", "recall")
@@ -666,6 +689,41 @@ def grid_search(spark, sf):
     return SE.grid_winner(grid)
 
 
+_FOLD_SPEC = TfidfSpec(min_df=2, max_df=0.9, max_features=1_000, low=1, high=2)
+
+
+@query(
+    "fold_vocabularies",
+    f"""SELECT fold, term, df, total, round_even(idf,6) AS idf FROM (
+      SELECT fold, term, df, total, ln((1.0::DOUBLE+n)/(1.0::DOUBLE+df))+1 AS idf, row_number() OVER (PARTITION BY fold ORDER BY total DESC, term) AS r FROM (
+        SELECT g.fold, term, count(*) AS df, sum(tf)::BIGINT AS total, any_value(n) AS n FROM gt JOIN ft USING (doc_id) JOIN (SELECT unnest(range(5))::INT AS fold) g ON g.fold<>ft.fold
+          JOIN (SELECT g2.fold, count(*) AS n FROM ft, (SELECT unnest(range(5))::INT AS fold) g2 WHERE ft.fold<>g2.fold GROUP BY ALL) z ON z.fold=g.fold GROUP BY g.fold, term)
+      WHERE df>=2 AND df<=0.9::DOUBLE*n) WHERE r<=1000""",
+    "corpus",
+    f"""ft AS (SELECT doc_id, text, ((row_number() OVER (PARTITION BY label ORDER BY {_hash_order(42)})-1)%5)::INT AS fold FROM corpus WHERE split='train'),
+    gw AS (SELECT doc_id, {TOKENS} AS ws FROM ft),
+    gt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i+1]))) AS term FROM gw) GROUP BY ALL)""",
+)
+def fold_vocabularies(spark, sf):
+    """What the vectoriser of each cross-validation fold knows: terms of the rows outside the fold."""
+    train, _, _ = _splits(spark, sf)
+    rows = materialise(train.join(SA.stratified_folds(train).select("doc_id", "fold"), "doc_id"), "fold-rows")
+    out = None
+    for fold in range(5):
+        part = vocabulary(rows.where(F.col("fold") != fold), _FOLD_SPEC)
+        part = part.select(F.lit(fold).alias("fold"), "term", "df", "total", F.bround("idf", 6).alias("idf"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("grid_search_in_fold")
+def grid_search_in_fold(spark, sf):
+    """The natural ratio with the vectoriser fitted inside every fold: 2 feature counts, 2 values of C, 5 folds."""
+    train, dev, _ = _splits(spark, sf)
+    grid, _ = ML.grid_search_in_fold(train, dev, (1_000, 10_000), (0.1, 10.0), spec=MODEL, max_iter=10)
+    return SE.grid_winner(grid)
+
+
 @query("final_eval")
 def final_eval(spark, sf):
     inside, pool = _domain(spark, sf)

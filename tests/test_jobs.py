@@ -26,7 +26,8 @@ def test_domain_shift_experiment(spark):
     assert {r.metric for r in out["ci_test"].collect()} == {"f1", "recall", "precision", "ap"}
 
 
-def test_grid_search_query_runs_the_whole_grid(monkeypatch):
+def test_grid_search_query_asks_for_the_whole_grid(monkeypatch):
+    """The registered query's settings; tests/test_grid.py runs a real, smaller grid."""
     from crivo.plans import model_queries as Q
 
     asked = {}

@@ -59,11 +59,11 @@ def test_bootstrap_covers_the_estimate(spark):
     p = preds(spark, y, rng.normal(size=120) + y)
     point = M.binary_metrics(p, 0.5).first()
     for with_ap in (False, True):
-        ci = {r.metric: r for r in M.bootstrap_ci(p, 0.5, "doc_id", 200, with_ap=with_ap).collect()}
+        ci = {r.metric: r for r in M.bootstrap_ci(p, 0.5, 200, with_ap=with_ap).collect()}
         assert ci["f1"].low < point.f1 < ci["f1"].high and ci["f1"].replicates == 200
     one_class = preds(spark, [1, 0], [1.0, -1.0])
-    kept = M.bootstrap_ci(one_class, 0.0, "doc_id", 100, skip_degenerate=False).first().replicates
-    assert kept == 100 > M.bootstrap_ci(one_class, 0.0, "doc_id", 100).first().replicates
+    kept = M.bootstrap_ci(one_class, 0.0, 100, skip_degenerate=False).first().replicates
+    assert kept == 100 > M.bootstrap_ci(one_class, 0.0, 100).first().replicates
 
 
 def test_running_totals_do_not_depend_on_buckets(spark):
@@ -90,3 +90,29 @@ def test_prediction_join_checks(spark):
     assert SE.prediction_join(p, corpus).count() == 1
     with pytest.raises(ValueError):
         SE.prediction_join(p, corpus, check=True)
+
+
+def test_draws_have_the_moments_of_a_multinomial(spark):
+    """Means, variances and covariances of counts drawn down the tree, for small and for large numbers of rows."""
+    for weights in ([3, 0, 5, 1, 1], [4000, 3, 2500, 0, 1200, 9000, 1]):
+        n, reps = sum(weights), 3000
+        cells = spark.createDataFrame(list(enumerate(weights)), "cell bigint, weight bigint")
+        rows = M.multinomial_draws(cells, reps, seed=1).collect()
+        x = np.zeros((reps, len(weights)))
+        for r in rows:
+            x[r.replicate - 1, r.cell] = r.n
+        p = np.array(weights) / n
+        assert (x.sum(axis=1) == n).all() and (x[:, p == 0] == 0).all()
+        sd = np.sqrt(n * p * (1 - p))
+        assert (np.abs(x.mean(axis=0) - n * p) <= 5 * sd / np.sqrt(reps) + 0.02).all()
+        cov = n * (np.diag(p) - np.outer(p, p))
+        assert (np.abs(np.cov(x.T) - cov) <= 0.12 * np.outer(sd, sd) + 0.03).all()
+
+
+def test_draws_do_not_grow_with_the_rows(spark):
+    """Work is cells times replicates: a table of 10 and one of 10**12 rows give as many counts."""
+    for scale in (1, 10**11):
+        cells = spark.createDataFrame([(0, 3 * scale), (1, 2 * scale), (2, 5 * scale)], "cell bigint, weight bigint")
+        assert M.multinomial_draws(cells, 50).count() <= 3 * 50
+    plan = M.bootstrap_ci(preds(spark, [1, 0, 1], [1.0, 0.5, 0.2]), 0.4)._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(1, 2000" not in plan

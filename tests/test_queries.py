@@ -37,7 +37,7 @@ def test_plan_is_distributed(spark, name):
 
 @pytest.mark.parametrize("name", THRESHOLDED)
 def test_thresholded_matches_take_no_grid(spark, name, monkeypatch):
-    monkeypatch.setattr(neardup, "_deal_blocks", None)
+    monkeypatch.setattr(neardup, "best_matches", None)
     assert entry.queries()[name](spark, ROOT).count() > 0
 
 
