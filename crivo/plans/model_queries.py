@@ -744,26 +744,38 @@ def embedding_probe(spark, sf):
     return ML.embedding_probe(v.where("split = 'train'"), v.where("split <> 'train'"))
 
 
-_PROMPT_WORDS = r"regexp_extract_all('query: '||text,'[^\t-\r\x1c-\x1f\x85\p{Z}]+')"
+_KNOWN = 20_000
 
 
 @query(
     "batch_predict",
-    f"SELECT doc_id, round_even(len(list_distinct({_PROMPT_WORDS}))::DOUBLE/len({_PROMPT_WORDS}),5) AS prediction FROM documents",
+    "SELECT doc_id, coalesce(score,0::DOUBLE) AS prediction FROM corpus LEFT JOIN sc USING (doc_id)",
+    "corpus",
+    _lexicon_sql(_ALL_TRAIN, f"nth<={_KNOWN}"),
 )
 def batch_predict(spark, sf):
-    """The share of distinct words stands in for an encoder: any model that maps a batch of strings to numbers fits."""
+    """A fitted model applied in batches: the weights of the train split's lexicon, sent to each worker once."""
+    c = V.corpus(spark, sf)
+    fitted = ML.lexicon(c.where("split = 'train'"), max_features=_KNOWN).toArrow()  # _KNOWN rows at most
+    shared = spark.sparkContext.broadcast((fitted["term"].to_pylist(), fitted["weight"].to_pylist()))
 
     def make():
-        def predict(texts: np.ndarray) -> np.ndarray:
-            words = [t.split() for t in texts]
-            return np.fromiter((len(set(w)) / max(len(w), 1) for w in words), float, len(words))
+        import re
+
+        place = {t: i for i, t in enumerate(shared.value[0])}
+        weight = np.array([*shared.value[1], 0], np.int64)  # the last one stands for unknown terms
+        word = re.compile(r"\w\w+")
+
+        def predict(prompts: np.ndarray) -> np.ndarray:
+            known = [list({place.get(w, -1) for w in word.findall(t.lower())}) or [-1] for t in prompts]
+            sizes = np.fromiter(map(len, known), np.int64, len(known))
+            total = np.add.reduceat(weight[np.concatenate(known)], np.cumsum(sizes) - sizes)
+            return total / 10000.0
 
         return predict
 
-    c = V.table(spark, sf, "documents").select("doc_id", F.concat(F.lit(ML.QUERY_PREFIX), "text").alias("prompt"))
-    out = ML.batch_predict(c, make, [F.col("prompt")], DoubleType())
-    return out.select("doc_id", F.bround("prediction", 5).alias("prediction"))
+    prompts = c.select("doc_id", F.concat(F.lit(ML.QUERY_PREFIX), "text").alias("prompt"))
+    return ML.batch_predict(prompts, make, [F.col("prompt")], DoubleType()).select("doc_id", "prediction")
 
 
 @query("seed_variance")
