@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from crivo.functions.scores import argmax2, predict_at, sigmoid, softmax_positive
@@ -659,6 +661,52 @@ def _splits(spark, sf):
     return c.where("split = 'train'"), c.where("split = 'dev'"), c.where("split = 'test'")
 
 
+_SEEDS = (42, 43, 44)
+_SEEDED = " UNION ALL ".join(
+    f"""SELECT 'seed_variance' AS model, 'seed {k}' AS set_name, doc_id, label FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {_hash_order(k)}) AS r,
+      count(*) FILTER (label=1) OVER () AS np FROM tr) WHERE label=1 OR r<=2*np"""
+    for k in _SEEDS
+)
+_PROBE = f"""SELECT 'embedding_probe' AS model, 'fold ' || ((row_number() OVER (PARTITION BY label ORDER BY {_hash_order(42)})-1)%5) AS set_name, doc_id, label FROM vectors WHERE split='train'"""
+
+
+@query(
+    "model_inputs",
+    f"""SELECT model, set_name, count(*) AS n, count(*) FILTER (label=1) AS pos, sum(doc_id)::BIGINT AS members,
+      round_even(CASE WHEN model='weighted_logreg' THEN {div('count(*) FILTER (label=0)', 'count(*) FILTER (label=1)')} ELSE 1 END,6) AS weight FROM (
+        SELECT 'svm_scores' AS model, 'train' AS set_name, doc_id, label FROM tr UNION ALL SELECT 'weighted_logreg', 'train', doc_id, label FROM tr
+        UNION ALL SELECT 'ratio_sweep', set_name, doc_id, label FROM u UNION ALL {_SEEDED} UNION ALL {_PROBE}
+        UNION ALL SELECT 'final_eval', CASE split WHEN 'train' THEN 'train' ELSE 'test' END, doc_id, label FROM d WHERE domain='in' AND split<>'dev'
+        UNION ALL SELECT 'final_eval', 'exposure', doc_id, label FROM ex WHERE set_name='1a4') GROUP BY model, set_name""",
+    "corpus vectors",
+    f"{_TRAIN_SETS}, {_DOM}, {_EXP}",
+)
+def model_inputs(spark, sf):
+    """What every model query is fitted on or judged by, apart from the solver: members of its sets and folds, class weights."""
+    train, _, _ = _splits(spark, sf)
+    inside, pool = _domain(spark, sf)
+    exposure = SA.exposure_sets(pool, inside.where("split = 'train'"), EXPOSURE).where("set_name = '1a4'")
+    probe = SA.stratified_folds(V.vectors(spark, sf).where("split = 'train'"))
+
+    def part(model, name, rows):
+        name = name if isinstance(name, Column) else F.lit(name)
+        return rows.select(F.lit(model).alias("model"), name.alias("set_name"), F.col("doc_id").cast("bigint").alias("doc_id"), "label")
+
+    ratios = SA.ratio_undersample(train, RATIOS)
+    parts = [
+        part("svm_scores", "train", train), part("weighted_logreg", "train", train), part("ratio_sweep", F.col("set_name"), ratios),
+        *[part("seed_variance", f"seed {k}", SA.ratio_undersample(train, {"s": 2.0}, k)) for k in _SEEDS],
+        part("embedding_probe", F.concat(F.lit("fold "), F.col("fold").cast("string")), probe),
+        part("final_eval", "train", inside.where("split = 'train'")), part("final_eval", "test", inside.where("split = 'test'")),
+        part("final_eval", "exposure", exposure),
+    ]
+    rows = reduce(DataFrame.unionByName, parts)
+    sizes = rows.groupBy("model", "set_name").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("pos"), F.sum("doc_id").alias("members"))
+    weight = ML.class_weights(train).agg(F.max(F.when(F.col("label") == 1, F.col("weight"))).alias("_w"))
+    sizes = with_row(sizes, weight)
+    return sizes.withColumn("weight", F.when(F.col("model") == "weighted_logreg", F.bround("_w", 6)).otherwise(1.0)).drop("_w")
+
+
 @query("svm_scores")
 def svm_scores(spark, sf):
     train, dev, test = _splits(spark, sf)
@@ -781,4 +829,4 @@ def batch_predict(spark, sf):
 @query("seed_variance")
 def seed_variance(spark, sf):
     train, dev, _ = _splits(spark, sf)
-    return ML.seed_variance(train, dev, 2.0, (42, 43, 44), MODEL)
+    return ML.seed_variance(train, dev, 2.0, _SEEDS, MODEL)

@@ -142,3 +142,26 @@ def test_every_source_held_out_by_subtraction(spark, corpus):
             assert got[r.doc_id] == pytest.approx(r.score)
     lone = rows.withColumn("source", F.when(F.col("doc_id") > 5, F.col("source")))
     assert ML.held_out_scores(lone, min_df=3).count() == rows.count() - 6
+
+
+def test_penalty_and_weights_of_the_plain_fits(spark):
+    """`svm` minimises the hinge loss whose C is the experiment's, and class weights are the ratio of the classes."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 3))
+    y = (x[:, 0] + 0.5 * rng.normal(size=80) > 0).astype(int)
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(int(b), Vectors.dense([float(v) for v in a])) for a, b in zip(x, y)], ["label", "features"])
+    c = 0.5
+    model = ML.svm(80, c, 200).fit(df.coalesce(1))
+    sign = np.where(y == 1, 1.0, -1.0)
+
+    def hinge(w, b):
+        return 0.5 * w @ w + c * np.maximum(0, 1 - sign * (x @ w + b)).sum()
+
+    w, b = model.coefficients.toArray(), model.intercept
+    best = hinge(w, b)
+    assert all(hinge(w + d[:3], b + d[3]) >= best * (1 - 2e-3) for d in rng.normal(0, 0.05, (50, 4)))
+    rows = spark.createDataFrame([(i, int(i < 5)) for i in range(25)], "doc_id bigint, label int")
+    assert {(r.label, r.weight) for r in ML.class_weights(rows).collect()} == {(1, 4.0), (0, 1.0)}
+    assert {r.weight for r in ML.class_weights(rows, "1a2").collect()} == {1.0}
