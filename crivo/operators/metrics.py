@@ -212,7 +212,11 @@ def multinomial_draws(cells: DataFrame, replicates: int, seed: int = 42) -> Data
         half = F.shiftright("cell", levels - level - 1)
         left = F.sum(F.when(half % 2 == 0, F.col("weight")).otherwise(0)).cast("double")
         shares = cells.groupBy(F.shiftright("cell", levels - level).alias("cell")).agg(F.coalesce(F.try_divide(left, F.sum("weight")), F.lit(0.0)).alias("share"))
-        state = state.where("n > 0").join(F.broadcast(shares) if level <= BROADCAST_LEVELS else shares, "cell")  # 2 ** level rows
+        state = state.where("n > 0")
+        if level:
+            state = state.join(F.broadcast(shares) if level <= BROADCAST_LEVELS else shares, "cell")  # 2 ** level rows
+        else:
+            state = with_row(state, shares.select("share"))
         u, u2 = uniforms(seed, F.col("replicate"), level, F.col("cell"))
         state = state.withColumn("left", binomial_draw(F.col("n"), F.col("share"), u, u2))
         sides = F.array(F.struct((F.col("cell") * 2).alias("cell"), F.col("left").alias("n")), F.struct((F.col("cell") * 2 + 1).alias("cell"), (F.col("n") - F.col("left")).alias("n")))
