@@ -116,3 +116,23 @@ def test_draws_do_not_grow_with_the_rows(spark):
         assert M.multinomial_draws(cells, 50).count() <= 3 * 50
     plan = M.bootstrap_ci(preds(spark, [1, 0, 1], [1.0, 0.5, 0.2]), 0.4)._jdf.queryExecution().executedPlan().toString()
     assert "sequence(1, 2000" not in plan
+
+
+def test_row_draws_draw_every_row_of_every_replicate(spark):
+    """The draws by key against md5 row by row; the registered query draws so, and not counts of four cells."""
+    import hashlib
+
+    from crivo.plans.model_queries import bootstrap_ci
+    from crivo.plans.registry import ORACLE
+
+    y, s = [1, 0, 1, 0, 0, 1, 0], [1.0, 0.5, -0.2, -1.0, 0.1, 0.3, -0.4]
+    keys = [5, 9, 12, 12, 40, 41, None]
+    df = spark.createDataFrame(list(zip(keys, y, s)), "doc_id bigint, label int, score double")
+    tp, fn, fp, n = 2, 1, 2, 7
+    want = []
+    for rep in range(1, 31):
+        at = [int(hashlib.md5(":".join(["42", str(rep)] + ([] if k is None else [str(k)])).encode()).hexdigest()[:15], 16) % n for k in keys]
+        want.append((rep, sum(i < tp for i in at), sum(tp + fn <= i < tp + fn + fp for i in at), sum(tp <= i < tp + fn for i in at), sum(i >= tp + fn + fp for i in at)))
+    got = M.row_draws(df, 0.0, "doc_id", 30).select("replicate", "tp", "fp", "fn", "tn").collect()
+    assert sorted(map(tuple, got)) == want and all(sum(r[1:]) == n for r in want)
+    assert "md5('42:'||rep||':'||doc_id)" in ORACLE["bootstrap_ci"] and 'key="doc_id"' in __import__("inspect").getsource(bootstrap_ci)
