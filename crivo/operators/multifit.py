@@ -2,8 +2,9 @@
 
 The objective of a model is half the squared norm of its weights, the intercept included, plus C times the sum of its rows'
 squared hinges. Rows stay where they are: an evaluation sends the weights to the tasks and brings back the sum of the tasks'
-losses and gradients, for all models at once, added up in groups first. L-BFGS steps are taken for all columns side by side.
-So a grid costs as many jobs as one fit, and what passes the driver is features times models, whatever the number of rows.
+losses and gradients, added up on the cluster in blocks of columns. L-BFGS steps are taken side by side for all models with the
+same number of features, as far as their weights are bounded. So what the driver holds at once is a few times MOST_WEIGHTS numbers and
+the finished weights, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from crivo.session import ship
 
 STEPS = (1.0, 0.5, 0.25, 0.125, 1 / 16, 1 / 64)
 MEMORY = 6
-GROUPS = 8
+MOST_WEIGHTS = 1 << 19  # of the models fitted side by side
+SENT = 1 << 17  # losses and gradients in one row
 ROWS = "label int, fold int, idx array<int>, w array<double>"
 
 
@@ -57,7 +59,8 @@ class Rows:
             b = min(self.n, a + step)
             part = slice(self.ptr[a], self.ptr[b])
             dense = np.zeros((b - a, width), np.float32)
-            dense[np.repeat(np.arange(b - a), np.diff(self.ptr[a : b + 1])), self.idx[part]] = self.w[part]
+            known = self.idx[part] < width
+            dense[np.repeat(np.arange(b - a), np.diff(self.ptr[a : b + 1]))[known], self.idx[part][known]] = self.w[part][known]
             yield a, b, dense
 
     def margins(self, a: int, b: int, dense: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -86,29 +89,36 @@ def evaluate(rows: Rows, settings: Sequence[Setting], weights: np.ndarray, direc
 
 
 def _sum(df: DataFrame, settings: Sequence[Setting], weights: np.ndarray, direction: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """`evaluate` over all rows: per task, then per group of tasks, then GROUPS rows on the driver."""
+    """`evaluate` over all rows: per task, then per block of columns over all tasks; the driver gets each block once."""
     shared = df.sparkSession.sparkContext.broadcast((weights.astype(np.float32), direction.astype(np.float32)))
     counts = [s.features for s in settings]
-    size = len(STEPS) * len(settings)
+    step = max(1, SENT // (len(STEPS) + len(weights)))
+    blocks = range(0, len(settings), step)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if got:
-            losses, gradient = evaluate(Rows(pa.Table.from_batches(got), counts), settings, *shared.value)
-            whole = np.concatenate([losses.ravel(), gradient.ravel()]).tobytes()
-            part = zlib.crc32(whole[:4096]) % GROUPS
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([whole], pa.binary())], names=["part", "total"])
+        whole = None
+        for batch in batches:
+            if batch.num_rows:
+                made = np.vstack(evaluate(Rows(pa.Table.from_batches([batch]), counts), settings, *shared.value))
+                whole = made if whole is None else whole + made
+        if whole is not None:
+            for a in blocks:
+                part = whole[:, a : a + step].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([part], pa.binary())], names=["part", "total"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py()) for x in table["total"])
-        return pa.table({"total": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"part": table["part"][:1], "total": pa.array([total.tobytes()], pa.binary())})
 
     made = df.mapInArrow(run, "part int, total binary")
-    if df.rdd.getNumPartitions() > GROUPS:
-        made = made.groupBy("part").applyInArrow(add, "total binary")
-    total = sum((np.frombuffer(r["total"]) for r in made.select("total").collect()), np.zeros(size + weights.size))
+    if df.rdd.getNumPartitions() > 1:
+        made = made.groupBy("part").applyInArrow(add, "part int, total binary")
+    total = np.zeros((len(STEPS) + len(weights), len(settings)))
+    for r in made.toLocalIterator():
+        a = r["part"]
+        total[:, a : a + step] += np.frombuffer(r["total"]).reshape(len(total), -1)
     shared.unpersist()
-    return total[:size].reshape(len(STEPS), -1), total[size:].reshape(weights.shape)
+    return total[: len(STEPS)], total[len(STEPS) :]
 
 
 def _two_loops(g: np.ndarray, history: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -134,6 +144,19 @@ def fit_many(df: DataFrame, settings: Sequence[Setting], max_iter: int = 40, tol
     A column stands still once its gradient has fallen to `tolerance` of what it was at the start.
     """
     ship(df.sparkSession)
+    out = np.zeros((max(s.features for s in settings) + 1, len(settings)))
+    for k in sorted({s.features for s in settings}):
+        same = [i for i, s in enumerate(settings) if s.features == k]
+        step = max(1, MOST_WEIGHTS // (k + 1))
+        for at in range(0, len(same), step):
+            columns = same[at : at + step]
+            w = _fit(df, [settings[i] for i in columns], max_iter, tolerance)
+            out[:k, columns], out[-1, columns] = w[:-1], w[-1]
+    return out
+
+
+def _fit(df: DataFrame, settings: Sequence[Setting], max_iter: int, tolerance: float) -> np.ndarray:
+    """The models of some settings, side by side."""
     k = max(s.features for s in settings)
     counts = np.array([s.features for s in settings])
     known = np.vstack([np.arange(k)[:, None] < counts[None, :], np.ones((1, len(settings)), bool)])

@@ -165,3 +165,26 @@ def test_penalty_and_weights_of_the_plain_fits(spark):
     rows = spark.createDataFrame([(i, int(i < 5)) for i in range(25)], "doc_id bigint, label int")
     assert {(r.label, r.weight) for r in ML.class_weights(rows).collect()} == {(1, 4.0), (0, 1.0)}
     assert {r.weight for r in ML.class_weights(rows, "1a2").collect()} == {1.0}
+
+
+def test_gradients_come_back_once_in_blocks(spark, monkeypatch):
+    """Models of one feature count are fitted side by side, within bounds, and the driver gets each sum once."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        idx = sorted(int(t) for t in rng.choice(12, 4, replace=False))
+        rows.append((int(rng.random() < 0.4), i % 3, idx, [0.5] * 4))
+    df = spark.createDataFrame(rows, MF.ROWS).repartition(5)
+    settings = [MF.Setting(k, c, f) for k in (5, 12) for c in (0.5, 2.0) for f in (-1, 0, 1)]
+    weights, direction = rng.normal(size=(13, len(settings))).astype(np.float32), rng.normal(size=(13, len(settings))).astype(np.float32)
+    table = df.toArrow()
+    losses, gradient = MF.evaluate(MF.Rows(table, [s.features for s in settings]), settings, weights, direction)
+    whole = MF.fit_many(df, settings, 15)
+    monkeypatch.setattr(MF, "SENT", 50)
+    monkeypatch.setattr(MF, "MOST_WEIGHTS", 30)
+    got = MF._sum(df, settings, weights, direction)
+    assert np.allclose(got[0], losses, rtol=1e-4) and np.allclose(got[1], gradient, rtol=1e-3, atol=1e-3)
+    sizes, fit = [], MF._fit
+    monkeypatch.setattr(MF, "_fit", lambda d, some, *a: sizes.append((len(some), {s.features for s in some})) or fit(d, some, *a))
+    assert np.allclose(MF.fit_many(df, settings, 15), whole, atol=2e-2)
+    assert [n for n, _ in sizes] == [5, 1, 2, 2, 2] and all(len(k) == 1 for _, k in sizes)
