@@ -66,6 +66,25 @@ def test_indexed_search_equals_a_scan_and_reads_less(spark, tmp_path):
     assert whole.search(corpus, needle).count() == hits
 
 
+def test_index_lists_trigrams_per_group_of_documents(spark, tmp_path, monkeypatch):
+    """Neighbouring documents share a row of a list, and groups of any size give the true rows, null and repeated keys too."""
+    import crivo.operators.textindex as T
+
+    df = spark.range(400).selectExpr("id AS doc_id", "concat('common words ', if(id % 100 = 7, 'Odd😀one', 'x')) AS text").coalesce(1)
+    index = T.TrigramIndex(spark, f"{tmp_path}/same").build(df)
+    lists = spark.read.parquet(f"{tmp_path}/same/lists")
+    assert lists.count() < 100 and lists.agg(F.sum("n")).first()[0] == 396 * 12 + 4 * 18
+    assert sorted(r.doc_id for r in index.search(df, "odd😀ONE").collect()) == [7, 107, 207, 307]
+    texts = ["abc", "ab", "", None, "cab abc", "b", "c", "zabcz", "aaaa", "😀😀😀"]
+    got = {}
+    for first, row, start, grams in (g for size in (1, 4, 1000) for g in T._distinct_trigrams([t or "" for t in texts][:size])):
+        for gram, a, b in zip(grams, start, [*start[1:], len(row)]):
+            got.setdefault(gram, set()).update((row[a:b] + first).tolist())
+    assert got == {g: {i for i, t in enumerate(texts) if g in (t or "")} for g in got} and len(got) == 9
+    monkeypatch.setattr(T, "CHARACTERS", 5)
+    assert sorted(int(r) + first for first, row, _, _ in T._distinct_trigrams(["abc"] * 9) for r in row) == list(range(9))
+
+
 def test_tree_reads_only_buckets_that_differ(spark, tmp_path):
     rows = [(f"u{i}", f"text {i}", i % 2) for i in range(500)] + [(None, "lone", 1), ("", "lone", 0)]
     schema = "url string, text string, label int"
