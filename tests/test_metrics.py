@@ -136,3 +136,32 @@ def test_row_draws_draw_every_row_of_every_replicate(spark):
     got = M.row_draws(df, 0.0, "doc_id", 30).select("replicate", "tp", "fp", "fn", "tn").collect()
     assert sorted(map(tuple, got)) == want and all(sum(r[1:]) == n for r in want)
     assert "md5('42:'||rep||':'||doc_id)" in ORACLE["bootstrap_ci"] and 'key="doc_id"' in __import__("inspect").getsource(bootstrap_ci)
+
+
+def test_ap_of_replicates_from_one_row_per_drawn_score(spark, monkeypatch):
+    """Both counts of a score are drawn as one row, and blocks of places of any size add up to the plain average precision."""
+    rng = np.random.default_rng(4)
+    y, s = rng.integers(0, 2, 300), np.round(rng.normal(size=300), 1)
+    df = preds(spark, y, s)
+    scores = sorted(set(s.tolist()), reverse=True)
+    cells = [(2 * i + (1 - v), int(((s == x) & (y == v)).sum())) for i, x in enumerate(scores) for v in (1, 0)]
+    weights = spark.createDataFrame(cells, "cell bigint, weight bigint")
+    drawn = {}
+    for r in M.multinomial_draws(weights, 20).collect():
+        drawn.setdefault(r.replicate, {})[r.cell] = r.n
+    paired = M.paired_draws(weights, 20).collect()
+    assert {(r.replicate, r.node): (r.left, r.n - r.left) for r in paired} == {
+        (k, c // 2): (d.get(c // 2 * 2, 0), d.get(c // 2 * 2 + 1, 0)) for k, d in drawn.items() for c in d
+    }
+    want = {}
+    for k, d in drawn.items():
+        tp = fp = ap = 0
+        for i in range(len(scores)):
+            pos = d.get(2 * i, 0)
+            tp, fp = tp + pos, fp + d.get(2 * i + 1, 0)
+            ap += pos * tp / max(tp + fp, 1)
+        want[k] = (sum(d.get(2 * i, 0) for i, x in enumerate(scores) if x >= 0.2), ap / tp)
+    for bits in (1, 3, 10):
+        monkeypatch.setattr(M, "PLACE_BITS", bits)
+        got = {r.replicate: (r.tp, r.ap) for r in M.bootstrap_replicates(df, 0.2, 20, with_ap=True).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
