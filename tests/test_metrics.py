@@ -165,3 +165,24 @@ def test_ap_of_replicates_from_one_row_per_drawn_score(spark, monkeypatch):
         monkeypatch.setattr(M, "PLACE_BITS", bits)
         got = {r.replicate: (r.tp, r.ap) for r in M.bootstrap_replicates(df, 0.2, 20, with_ap=True).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_a_grid_of_lexicons_from_one_pass_equals_single_ones(spark):
+    """Every training set and feature count as fitted alone; repeated rows, a null key and null texts among them."""
+    from crivo.operators import modeling as ML
+
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(0, 2)), " ".join(f"w{int(t)}" for t in rng.integers(0, 25, 12))) for i in range(80)]
+    rows += [rows[3], (None, 1, "w1 w2"), (90, 0, None), (91, None, "w3 w4")]
+    df = spark.createDataFrame(rows, "doc_id bigint, label int, text string")
+    train, dev = df.where("doc_id % 4 <> 0"), df.where("doc_id % 4 = 0 OR doc_id IS NULL OR doc_id = 90")
+    sets = train.selectExpr("'all' AS set_name", "doc_id").unionByName(train.where("doc_id % 3 = 0").selectExpr("'third' AS set_name", "doc_id"))
+    names, sizes = ["all", "third", "none"], (3, 10, 100)
+    grid = ML.lexicon_grid(train, sets, names, sizes)
+    got = {}
+    for r in ML.lexicon_grid_scores(dev, grid, names, sizes).collect():
+        got.setdefault((r.config, r.max_features), []).append((str(r.doc_id), r.label, r.score))
+    for name in names:
+        for k in sizes:
+            alone = ML.lexicon_scores(dev, ML.lexicon(ML.one_set(train, sets, name), max_features=k))
+            assert sorted(got[name, k]) == sorted((str(r.doc_id), r.label, r.score) for r in alone.collect())
