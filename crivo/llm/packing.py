@@ -17,13 +17,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from crivo.llm.subwords import coder
-from crivo.session import materialise, ship
+from crivo.session import materialise, release, ship
 
 CAPACITY = 2048
 END = 1
@@ -70,14 +69,18 @@ def _pieces(tokenizer: str, capacity: int, end: int, max_slack: int):
                     cols, held = [[] for _ in schema], 0
         if cols[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        release()
 
     return run
 
 
 def _first_fit(capacity: int):
-    """Bins for the pieces of part-filled bins: longest first, each into the first bin with room."""
+    """Bins for the pieces of part-filled bins: longest first, each into the first bin with room.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    The pandas frame's type is not named: the tasks that tokenise load this module too and need no pandas.
+    """
+
+    def run(rows):
         rows = rows.sort_values(["length", "place"], ascending=[False, True], ignore_index=True)
         room: list[int] = []
         bins, offsets = [], []

@@ -1,3 +1,4 @@
+import os
 import struct
 import zlib
 from collections import defaultdict
@@ -32,6 +33,18 @@ def test_cached_ids_equal_the_tokenizer():
         assert coder.encode(t) == coder.whole(t), ascii(t)
 
 
+def test_kept_words_are_bounded_and_frequent():
+    coder, asked = Coder(FILE, max_words=100), []
+    code = coder.known.code
+    coder.known.code = lambda word: (asked.append(word), code(word))[1]
+    coder.encode(" ".join(f"rare{i}" for i in range(1000)))
+    assert len(coder.known) < 10  # a word met once is not kept
+    for i in range(2000):
+        assert coder.encode(f"often odd{i} odd{i}") == coder.whole(f"often odd{i} odd{i}")
+        assert len(coder.known) + len(coder.known.older) <= 100
+    assert asked.count("often") == 2
+
+
 @pytest.mark.parametrize("capacity", [2048, 100])
 def test_round_trip(spark, capacity):
     got = packing.pack(edge.docs(spark), FILE, capacity=capacity).collect()
@@ -63,3 +76,11 @@ def test_round_trip(spark, capacity):
 
 def test_empty(spark):
     assert packing.pack(edge.empty(spark), FILE).count() == 0
+
+
+def test_tokenising_tasks_need_no_pandas():
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", "import sys, crivo.llm.packing; print('pandas' in sys.modules)"], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    assert said.stdout.strip() == "False", said.stderr
