@@ -219,6 +219,35 @@ def test_ids_are_counted_over_whole_texts(spark):
     assert (classes.of == want.of).all() and np.allclose(classes.share, want.share)
 
 
+def test_a_block_is_taken_in_parts(monkeypatch):
+    """No task splits a whole block of texts at once or gives its windows in one batch; parts change no result."""
+    import pyarrow as pa
+
+    r = random.Random(6)
+    texts = ["", "a\x1cb\u2003c d", words(r, "fr", 3000)] + [words(r, "en", r.randint(0, 60)) for _ in range(2500)]
+    batch = pa.record_batch([pa.array([0] * len(texts), pa.int64()), pa.array(texts), pa.array([i % 7 == 2 for i in range(len(texts))])], names=["block", "text", "held_out"])
+    batches = list(lm._gather(tokenizer_file())(iter([batch])))
+    windows = [b.num_rows - b.column("windows").null_count for b in batches]
+    assert sum(windows) > 2000 and max(windows) < 1100
+    assert all(b.column("windows").null_count in (0, b.num_rows) for b in batches)
+
+    gathered = pa.Table.from_batches(batches)
+    seen = gathered.filter(pa.compute.is_valid(gathered["word"]))
+    table = pa.table({"block": seen["block"], "word": seen["word"], "c": seen["n"]})
+    docs = pa.table({"doc_id": range(len(texts)), "text": texts, "held_out": batch["held_out"]})
+    counts = np.ones(lm.VOCABULARY)
+    classes = lm.fold(counts)
+    score = lm._score_block(tokenizer_file(), classes, lm.start(counts, classes), 5, 1000, 500)
+    whole, split, sizes = score(docs, table), lm._split, []
+    monkeypatch.setattr(lm, "PART_CHARS", 20_000)
+    monkeypatch.setattr(lm, "PART_WORDS", 7)
+    monkeypatch.setattr(lm, "_split", lambda t: (sizes.append((len(t), pa.compute.sum(pa.compute.binary_length(t)).as_py())), split(t))[1])
+    parted = score(docs, table)
+    assert len(sizes) > 5 and all(n == 1 or size <= 20_000 for n, size in sizes)
+    assert whole.drop(["score"]) == parted.drop(["score"])
+    assert np.allclose(whole["score"].to_numpy(), parted["score"].to_numpy(), rtol=1e-6)
+
+
 def test_toxic_word_late_in_an_unbroken_run():
     """A word counts wherever it stands in a run without white space, and its span is where it is."""
     field = toxicity.fit(["you vileword here " + "calm words " * 5] * 12, ["calm words and more here you"] * 30)
