@@ -5,18 +5,22 @@ squared hinges. Rows stay where they are: an evaluation sends the weights to the
 losses and gradients, added up on the cluster in blocks of columns. L-BFGS steps are taken side by side for all models with the
 same number of features, as far as their weights are bounded. So what the driver holds at once is a few times MOST_WEIGHTS numbers and
 the finished weights, whatever the number of rows.
+
+Rows of at most LOCAL_ENTRIES terms in all are no work for the cluster: then each task reads all of them and takes the same steps for
+some of the models by itself, without a job per step.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from crivo.operators.blockfiles import can_open, read_files
 from crivo.operators.sparse import EXPAND
 from crivo.session import ship
 
@@ -24,6 +28,7 @@ STEPS = (1.0, 0.5, 0.25, 0.125, 1 / 16, 1 / 64)
 MEMORY = 6
 MOST_WEIGHTS = 1 << 19  # of the models fitted side by side
 SENT = 1 << 17  # losses and gradients in one row
+LOCAL_ENTRIES = 8_000_000  # terms of all rows that one task may hold: 100 MB
 ROWS = "label int, fold int, idx array<int>, w array<double>"
 
 
@@ -143,20 +148,50 @@ def fit_many(df: DataFrame, settings: Sequence[Setting], max_iter: int = 40, tol
 
     A column stands still once its gradient has fallen to `tolerance` of what it was at the start.
     """
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
     out = np.zeros((max(s.features for s in settings) + 1, len(settings)))
+    if can_open(spark) and df.inputFiles() and (df.agg(F.sum(F.size("idx"))).first()[0] or 0) <= LOCAL_ENTRIES:
+        for columns, w in _fit_apart(df, settings, max_iter, tolerance):
+            out[: len(w) - 1, columns], out[-1, columns] = w[:-1], w[-1]
+        return out
     for k in sorted({s.features for s in settings}):
         same = [i for i, s in enumerate(settings) if s.features == k]
         step = max(1, MOST_WEIGHTS // (k + 1))
         for at in range(0, len(same), step):
             columns = same[at : at + step]
-            w = _fit(df, [settings[i] for i in columns], max_iter, tolerance)
+            mine = [settings[i] for i in columns]
+            w = _fit(lambda w, d, mine=mine: _sum(df, mine, w, d), mine, max_iter, tolerance)
             out[:k, columns], out[-1, columns] = w[:-1], w[-1]
     return out
 
 
-def _fit(df: DataFrame, settings: Sequence[Setting], max_iter: int, tolerance: float) -> np.ndarray:
-    """The models of some settings, side by side."""
+def _fit_apart(df: DataFrame, settings: Sequence[Setting], max_iter: int, tolerance: float) -> Iterator[tuple[list[int], np.ndarray]]:
+    """(settings' numbers, their weights) from tasks that read all rows of the written table and fit some models of one feature count each."""
+    files, spark = sorted(df.inputFiles()), df.sparkSession
+    each = max(1, -(-len(settings) // (2 * spark.sparkContext.defaultParallelism)))
+    groups = []
+    for k in sorted({s.features for s in settings}, reverse=True):  # the longest work first
+        same = [i for i, s in enumerate(settings) if s.features == k]
+        step = min(each, max(1, MOST_WEIGHTS // (k + 1)))
+        groups += [same[at : at + step] for at in range(0, len(same), step)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                mine = [settings[i] for i in groups[at]]
+                rows = Rows(read_files(files), [s.features for s in mine])
+                w = _fit(lambda w, d: evaluate(rows, mine, w.astype(np.float32), d.astype(np.float32)), mine, max_iter, tolerance)
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([w.tobytes()], pa.binary())], names=["at", "w"])
+
+    made = spark.range(0, len(groups), 1, len(groups)).mapInArrow(run, "at int, w binary")
+    for r in made.collect():  # the finished weights
+        columns = groups[r["at"]]
+        yield columns, np.frombuffer(r["w"]).reshape(-1, len(columns))
+
+
+def _fit(total: Callable, settings: Sequence[Setting], max_iter: int, tolerance: float) -> np.ndarray:
+    """The models of some settings, side by side; `total` gives `evaluate` over all rows."""
     k = max(s.features for s in settings)
     counts = np.array([s.features for s in settings])
     known = np.vstack([np.arange(k)[:, None] < counts[None, :], np.ones((1, len(settings)), bool)])
@@ -166,7 +201,7 @@ def _fit(df: DataFrame, settings: Sequence[Setting], max_iter: int, tolerance: f
     def whole(losses, weights):
         return losses + 0.5 * (weights * weights).sum(axis=0)
 
-    losses, g = _sum(df, settings, w, still)
+    losses, g = total(w, still)
     f, g = losses[0], g * known
     start = np.sqrt((g * g).sum(axis=0))
     history: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -178,14 +213,14 @@ def _fit(df: DataFrame, settings: Sequence[Setting], max_iter: int, tolerance: f
         slope = (g * d).sum(axis=0)
         d = np.where(slope < 0, d, -g * open_)
         slope = (g * d).sum(axis=0)
-        losses, gradient = _sum(df, settings, w, d)
+        losses, gradient = total(w, d)
         tried = np.array([whole(x, w + t * d) for x, t in zip(losses, STEPS)])
         good = tried <= f + 1e-4 * np.array(STEPS)[:, None] * slope
         pick = np.where(good.any(axis=0), good.argmax(axis=0), len(STEPS) - 1)
         step = np.array(STEPS)[pick]
         moved = w + step * d
         if (step[open_] != 1.0).any():
-            _, gradient = _sum(df, settings, moved, still)
+            _, gradient = total(moved, still)
         new = (gradient + moved) * known
         s, y = moved - w, new - g
         curve = (s * y).sum(axis=0)
