@@ -151,7 +151,7 @@ def shuffled_rows(spark, sf):
 
 
 @query(
-    "optional_input",
+    "input_optional",
     "SELECT split, count(*) AS n FROM corpus_all WHERE split<>'test' GROUP BY split",
     "corpus_all",
 )
